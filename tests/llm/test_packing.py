@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -9,11 +10,17 @@ from runlens.llm.tokens import ChunkEncoder, default_tokenizer
 from .helpers import SF, awkward, empty
 
 
-def ids_of(text, end):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
     t.encode_special_tokens = True
+    return t
+
+
+def ids_of(text, end):
+    t = library()
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
