@@ -1,19 +1,23 @@
 """Token ids from a public tokenizer file, fast enough for whole corpora.
 
-The vocabulary's pre-tokenizer drops white space and never joins across it, so the ids of a text are the ids of
-its space-separated chunks in turn. Each Python worker remembers the ids of chunks it has met, up to a fixed
-number; chunks it has not met are encoded together in one call of the library.
+The vocabulary's pre-tokenizer drops white space and never joins across it, and it parts letters and digits from
+the symbols behind them. So a text's ids are those of its space-separated words in turn, where ASCII punctuation
+at a word's end counts as a word of its own. Each Python worker remembers the ids of words it has met, up to a
+fixed number; words it has not met are encoded together in one call of the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from typing import Any
 
 from .common import worker_cache
 
-#: Chunks whose ids a worker remembers, and the longest chunk that it remembers.
-CACHE_CHUNKS, CACHE_LENGTH = 400_000, 32
+#: Words whose ids a worker remembers, and the longest word that it remembers.
+CACHE_WORDS, CACHE_LENGTH = 900_000, 32
+#: ASCII punctuation between a letter or digit and a space.
+WORD_END = r"(?<=[^\W_])([!-/:-@\[-`{-~]+)(?= )"
 
 
 def default_tokenizer() -> str:
@@ -24,73 +28,76 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """encode(text) gives little-endian unsigned 32-bit ids as bytes."""
+    """encode_many(texts) gives little-endian unsigned 32-bit ids as bytes, one string of them per text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {"": b""}
-        self.mark, self.mark_id = self._separator()
-
-    def _separator(self) -> tuple[str, int]:
-        """A character that is one token of its own, to part chunks encoded in one call."""
-        for char in "☃♫♠★♥✓€":
-            ids = self.tokenizer.encode(char, add_special_tokens=False).ids
-            if len(ids) == 1:
-                return char, ids[0]
-        return "", -1
+        self.part = re.compile(WORD_END).sub
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def whole(self, text: str) -> bytes:
+    def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def split(self, text: str) -> list[str]:
+        try:  # the tokenizer lower-cases; within Latin-1 that is surely the same here, and fewer words differ
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return self.part(r" \1", text.replace("\n", " ") + " ").split(" ")
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Words of letters alone are one pre-token each, which ends with its only end-of-word token."""
         import numpy as np
 
-        plain = [c for c in chunks if not self.mark or self.mark not in c]
-        found = {c: self.whole(c) for c in chunks if self.mark and self.mark in c} if self.mark else {c: self.whole(c) for c in chunks}
-        if self.mark and plain:
-            ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(plain), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            raw, at, ends = ids.tobytes(), 0, [*(cuts * 4).tolist(), len(ids) * 4]
-            if len(ends) != len(plain):  # a chunk holds a token like the mark's
-                return found | {c: self.whole(c) for c in plain}
-            for chunk, end in zip(plain, ends, strict=True):
-                found[chunk] = raw[at:end]
-                at = end + 4
-        return found
+        plain = [w for w in words if w.isalpha()]
+        odd = [w for w in words if not w.isalpha()]
+        fresh = dict(zip(odd, self.whole(odd), strict=True)) if odd else {}
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(stops) != len(part) or stops[-1] != len(ids) * 4:
+                fresh |= zip(part, self.whole(part), strict=True)
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(part, stops, strict=True):
+                fresh[word] = raw[start:stop]
+                start = stop
+        if len(self.known) + len(fresh) <= CACHE_WORDS:
+            self.known |= ((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_LENGTH)
+        return fresh
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(known) if split else set()
+        known = self.known.get
+        split = [self.split(t) for t in texts]
+        rows = [list(map(known, words)) for words in split]
+        gaps, missing = [], set()
+        for words, row in zip(split, rows, strict=True):
+            gap, i = [], -1
+            try:
+                while True:
+                    i = row.index(None, i + 1)
+                    gap.append(i)
+                    missing.add(words[i])
+            except ValueError:
+                gaps.append(gap)
         if missing:
-            fresh = self._learn(list(missing))
-            room = CACHE_CHUNKS - len(known)
-            if room > 0:
-                for chunk, ids in fresh.items():
-                    if len(chunk) <= CACHE_LENGTH:
-                        known[chunk] = ids
-                        room -= 1
-                        if not room:
-                            break
-            if len(fresh.keys() - known.keys()):
-                both = _Two(known, fresh)
-                return [b"".join(map(both.get, parts)) for parts in split]
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
-
-
-class _Two:
-    def __init__(self, first: dict[str, bytes], second: dict[str, bytes]):
-        self.first, self.second = first, second
-
-    def get(self, chunk: str) -> bytes:
-        ids = self.first.get(chunk)
-        return self.second[chunk] if ids is None else ids
+            fresh = self._learn(missing)
+            for words, row, gap in zip(split, rows, gaps, strict=True):
+                for i in gap:
+                    row[i] = fresh[words[i]]
+        return [b"".join(row) for row in rows]
 
 
 def encoder(path: str) -> ChunkEncoder:
