@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ids_and_texts, worker_cache
+from .common import Scratch, drop_rows, ids_and_texts, worker_cache
 
 #: Words in a window, and in one hashed gram. Every window holds WINDOW - GRAM + 1 grams and keeps the smallest
 #: hash, so two texts that share WINDOW words keep the same gram there.
@@ -193,6 +193,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return current
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without a hit, with the columns of docs; rows with a null id stay."""
+    found = contamination(docs, benchmark, id_col, text_col)
+    gone = Scratch(docs.sparkSession, "contaminated").write(found.where("contaminated").select("doc_id").distinct(), "removed")
+    return drop_rows(docs, id_col, gone)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
