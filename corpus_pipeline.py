@@ -1,4 +1,7 @@
-"""A corpus preparation pipeline over `documents`: the stages in order, each from Parquet to Parquet."""
+"""A corpus preparation pipeline over `documents`: the stages in order, each from Parquet to Parquet.
+
+Every stage takes all that its predecessor kept. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +10,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runlens.llm.common import Scratch
+from runlens.llm.decontamination import drop_contaminated
 from runlens.llm.exact_dedup import drop_exact_duplicates
+from runlens.llm.language_id import keep_identified
 from runlens.llm.packing import pack
+from runlens.llm.simhash import drop_near_copies
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a sure language."""
+    return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest identifier."""
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest identifier."""
+    return drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents in sequences of 2048 tokens."""
     return pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
 
+#: Language identification and packing can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
