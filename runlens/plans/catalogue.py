@@ -1,6 +1,6 @@
 """All queries of the plan modules."""
 
-from . import experiments, models
+from . import experiments, models, operations
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "experiments", "models"]
+__all__ = ["ORACLE_SQL", "QUERIES", "experiments", "models", "operations"]
