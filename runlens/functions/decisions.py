@@ -61,4 +61,4 @@ def severity(status: Column) -> Column:
 
 
 def worst(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), rank.cast("int"))
+    return F.when(rank.isNotNull(), F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), rank.cast("int")))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
 #: The validation that a kind of affected node asks for, and its priority.
 CHECKS = {
     "dataset": ("data_quality_and_schema", "high"),
@@ -49,19 +51,19 @@ def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame, downstream: bool = True, include_roots: bool = True, max_depth: int = 1000) -> DataFrame:
     """id, distance of all transitive consumers (downstream) or dependencies of the roots; cycles are harmless.
 
-    A frontier loop: each round is one join of the frontier with the edges and an anti join with what is known. Both
-    are checkpointed, so that plans stay short and a lost executor costs one round.
+    A frontier loop: each round is one join of the frontier with the edges and an anti join with what is known. Each
+    frontier is checkpointed, so that plans stay short and a lost executor costs one round.
     """
     start, end = ("target", "source") if downstream else ("source", "target")
     steps = edges.select(F.col(start).alias("id"), F.col(end).alias("next")).distinct()
-    known = roots.select("id", F.lit(0).alias("distance")).distinct().checkpoint()
-    frontier = known
+    frontier = checkpointed(roots.select("id", F.lit(0).alias("distance")).distinct())
+    known = frontier
     for distance in range(1, max_depth + 1):
         ahead = frontier.select("id").join(steps, "id").select(F.col("next").alias("id")).distinct()
-        frontier = ahead.join(known, "id", "left_anti").withColumn("distance", F.lit(distance)).checkpoint()
+        frontier = checkpointed(ahead.join(known, "id", "left_anti").withColumn("distance", F.lit(distance)))
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier).checkpoint()
+        known = known.unionByName(frontier)
     return known if include_roots else known.where("distance > 0")
 
 

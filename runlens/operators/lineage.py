@@ -150,7 +150,9 @@ def parse_diff(lines: DataFrame, by: list[str], place: str = "place", text: str
     start = F.col(text).rlike(hunk)
     head = F.col(text).rlike(r"^(\+\+\+ |--- |diff --git |index )")
     rows = lines.withColumns({"start_": start, "head_": head, "path_": F.when(path != "/dev/null", path), "old_": old})
-    rows = rows.withColumns({"path": F.last("path_", True).over(w), "oldpath_": F.last("old_", True).over(w), "hunk_": F.sum(F.col("start_").cast("int")).over(w), "fresh_": F.sum(F.col("head_").cast("int")).over(w)})
+    rows = rows.withColumns({"hunk_": F.sum(F.col("start_").cast("int")).over(w), "file_": F.sum(F.col("old_").isNotNull().cast("int")).over(w)})
+    whole = Window.partitionBy(*by, "file_")
+    rows = rows.withColumns({"path": F.max("path_").over(whole), "oldpath_": F.max("old_").over(whole)})
     inside = rows.where("hunk_ > 0 AND NOT head_")
     h = Window.partitionBy(*by, "hunk_").orderBy(place)
     first = lambda g: F.first(F.when(F.col("start_"), F.regexp_extract(text, hunk, g).cast("long")), True).over(h)

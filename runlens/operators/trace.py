@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
 
 def first_abnormal(events: DataFrame, by: list[str], seq: str, abnormal: str = "abnormal") -> DataFrame:
     """The first abnormal event's place per group; partial aggregation only."""
@@ -38,14 +40,14 @@ def ancestry(links: DataFrame, starts: DataFrame, by: list[str], max_depth: int
     links is by..., node, parent; starts is by..., node. Each round joins the frontier with the links and drops what
     is known; frontiers are checkpointed, so a cycle ends and plans stay short.
     """
-    known = starts.select(*by, "node", F.lit(0).alias("depth")).distinct().checkpoint()
-    frontier = known
+    frontier = checkpointed(starts.select(*by, "node", F.lit(0).alias("depth")).distinct())
+    known = frontier
     for depth in range(1, max_depth + 1):
         up = frontier.join(links, [*by, "node"]).where(F.col("parent").isNotNull()).select(*by, F.col("parent").alias("node")).distinct()
-        frontier = up.join(known, [*by, "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = checkpointed(up.join(known, [*by, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier).checkpoint()
+        known = known.unionByName(frontier)
     return known
 
 
