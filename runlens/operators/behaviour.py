@@ -138,3 +138,22 @@ def behaviour_decision(summary: DataFrame, thresholds: Mapping[str, float]) -> D
     """regression where the candidate's accuracy interval lies below the threshold."""
     limit = F.lit(float(thresholds.get("accuracy", 0.0)))
     return summary.withColumn("regression", F.col("upper") < -limit)
+
+
+def calibration_interval(df: DataFrame, baseline: str, candidate: str, label: str, row: str, resamples: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Interval of the difference of two models' calibration errors over shared resamples of the rows.
+
+    Each row is reduced to its bins, confidences and hits once; resamples are drawn from those.
+    """
+    from .statistics import indexed, interval, resampled
+
+    def terms(scores: str, p: str) -> list[Column]:
+        c = confidence(F.col(scores)).cast("double")
+        return [F.least(F.lit(BINS - 1), F.floor(c * BINS)).cast("int").alias(f"{p}_bin"), c.alias(f"{p}_conf"), (argmax(F.col(scores)) == F.col(label)).cast("double").alias(f"{p}_hit")]
+
+    rows = df.select(F.lit(0).alias("g"), F.col(row).alias("row_"), F.struct(*terms(baseline, "b"), *terms(candidate, "c")).alias("t"))
+    drawn = resampled(indexed(rows, ["g"], ["row_"], "t"), ["g"], resamples, seed)
+    sides = drawn.select("r", F.explode(F.array(*[F.struct(F.lit(s).alias("sign"), F.col(f"value.{p}_bin").alias("bin"), F.col(f"value.{p}_conf").alias("conf"), F.col(f"value.{p}_hit").alias("hit")) for p, s in (("b", -1.0), ("c", 1.0))])).alias("x"))
+    bins = sides.groupBy("r", "x.sign", "x.bin").agg(F.count(F.lit(1)).alias("m"), F.avg("x.conf").alias("conf"), F.avg("x.hit").alias("hit"))
+    per = bins.groupBy("r").agg((2 * F.sum(F.col("sign") * F.col("m") * F.abs(F.col("conf") - F.col("hit"))) / F.sum("m")).alias("s"))
+    return interval(per, [], level)

@@ -105,3 +105,29 @@ def last_finite(df: DataFrame, keys: list[str], order: list[str], value: str = "
     """A series' outcome: its last finite value, else (none finite) its last value; partial aggregation only."""
     at = F.struct(*order)
     return df.groupBy(*keys).agg(F.coalesce(F.max_by(F.when(is_finite(F.col(value)), F.col(value)), F.when(is_finite(F.col(value)), at)), F.max_by(value, at)).alias("outcome"), F.count(F.lit(1)).alias("observations"), F.count_if(~is_finite(F.col(value))).alias("nonfinite_within"))
+
+
+def merge_identified(parent: DataFrame, child: DataFrame, key: list[str], pos: str = "pos") -> DataFrame:
+    """Keyed upsert: the child's row wins, the place is that of the first appearance."""
+    rest = [c for c in parent.columns if c not in (*key, pos)]
+    both = parent.withColumn("rank_", F.lit(0)).unionByName(child.withColumn("rank_", F.lit(1)))
+    first = F.min_by(pos, F.struct("rank_", pos)).alias(pos)
+    return both.groupBy(*key).agg(first, *[F.max_by(c, F.struct("rank_", pos)).alias(c) for c in rest])
+
+
+def observation_identity(df: DataFrame, by: list[str], order: list[str], explicit: str, step: str) -> DataFrame:
+    """Adds identity and identity_kind: the explicit one, else the step, else the place among the series' rows."""
+    place = (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("string")
+    kind = F.when(F.col(explicit).isNotNull(), "declared").when(F.col(step).isNotNull(), "step").otherwise("position")
+    return df.withColumns({"identity": F.coalesce(F.col(explicit).cast("string"), F.col(step).cast("string"), place), "identity_kind": kind})
+
+
+def series_identity_kind(df: DataFrame, by: list[str]) -> DataFrame:
+    """A series' one kind of identity, or mixed."""
+    return df.groupBy(*by).agg(F.when(F.count_distinct("identity_kind") > 1, "mixed").otherwise(F.first("identity_kind")).alias("identity_kind"))
+
+
+def symmetric_difference(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """key..., side: what only one side has."""
+    l, r = left.select(*key).distinct(), right.select(*key).distinct()
+    return l.join(r, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(r.join(l, key, "left_anti").withColumn("side", F.lit("unexpected")))
