@@ -74,6 +74,33 @@ def independent_bootstrap(baseline: DataFrame, candidate: DataFrame, by: list[st
     return both.join(bounds, by) if by else both.join(F.broadcast(bounds), F.lit(True))
 
 
+def poisson_weight(u: Column) -> Column:
+    """The Poisson(1) count whose distribution function first exceeds u in [0, 1), up to 9."""
+    import math
+
+    bounds = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+    out = F.lit(9)
+    for k, bound in reversed(list(enumerate(bounds))):
+        out = F.when(u < bound, k).otherwise(out)
+    return out
+
+
+def poisson_bootstrap(df: DataFrame, by: list[str], key: str, value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """by..., n, estimate, lower, upper, p_value of a mean, for large samples.
+
+    Each row counts in each resample a hashed Poisson(1) number of times instead of being drawn, an approximation
+    that differs little once there are a few hundred rows. There is no join: rows are exploded into partial sums
+    that combine before the shuffle, so what moves is groups * resamples rows per task, whatever the sample's size.
+    """
+    word = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col(key).cast("string"))), 1, 8)
+    w = poisson_weight(F.conv(word, 16, 10).cast("double") / F.lit(float(1 << 32)))
+    rows = df.select(*by, key, F.col(value).alias("value"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    stats = rows.withColumn("w", w).groupBy(*by, "r").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("s"))
+    whole = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("estimate"))
+    bounds = interval(stats, by, confidence)
+    return whole.join(bounds, by) if by else whole.join(F.broadcast(bounds), F.lit(True))
+
+
 def effect_size(differences: DataFrame, by: list[str], value: str = "difference") -> DataFrame:
     """mean / sample deviation; with no deviation zero for a zero mean, else a signed infinity."""
     out = differences.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))

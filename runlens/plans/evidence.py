@@ -34,6 +34,21 @@ def resource_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "lower", "upper", "p_value")
 
 
+def _poisson_sql() -> str:
+    import math
+
+    bounds = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+    return "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate(bounds)) + " ELSE 9 END"
+
+
+@query("poisson_bootstrap", f"""WITH u AS (SELECT event_type AS name, value, r, CAST('0x' || substr(md5('4:' || r || ':' || event_id), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0 AS u FROM events, range(50) AS t(r)),
+w AS (SELECT name, r, value, {_poisson_sql()} AS w FROM u), s AS (SELECT name, r, sum(w * value) / sum(w) AS s FROM w GROUP BY 1, 2), e AS (SELECT event_type AS name, count(*) AS n, avg(value) AS estimate FROM events GROUP BY 1)
+SELECT name, any_value(n) AS n, any_value(estimate) AS estimate, {BOUNDS} FROM s JOIN e USING (name) GROUP BY name""")
+def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "name")
+    return statistics.poisson_bootstrap(e, ["name"], "event_id", "value", 50, 4)
+
+
 @query("merged_evidence", """WITH u AS (SELECT user_id, event_id AS pos, event_type, 0 AS k FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, event_type, 1 FROM events WHERE event_id % 3 = 0)
 SELECT user_id, arg_min(pos, (k, pos)) AS pos, arg_max(event_type, (k, pos)) AS event_type FROM u GROUP BY user_id""")
 def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
