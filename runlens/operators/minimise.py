@@ -185,3 +185,99 @@ def shrink_structure(value: Any, predicate: Callable[[Any], bool], **limits: Any
     while before != value and not test.spent:
         before, value = value, step(value, lambda v: v)
     return value
+
+
+def shrink_tabular(rows: list[dict[str, Any]], predicate: Callable[[list[dict[str, Any]]], bool], drop_columns: bool = False, **limits: Any) -> list[dict[str, Any]]:
+    """Fewest rows, then (if allowed) fewest columns, then simpler cells."""
+    test = Evaluator(predicate, **limits)
+    rows = ddmin(rows, test)
+    if drop_columns and rows:
+        columns = ddmin(sorted({c for r in rows for c in r}), lambda kept: test([{c: r[c] for c in kept if c in r} for r in rows]))
+        rows = [{c: r[c] for c in columns if c in r} for r in rows]
+    for i in range(len(rows)):
+        for c in sorted(rows[i]):
+            for v in scalar_candidates(rows[i][c]):
+                trial = [*rows[:i], {**rows[i], c: v}, *rows[i + 1 :]]
+                if test(trial):
+                    rows = trial
+                    break
+    return rows
+
+
+def shrink_text(tokens: Sequence[str], spans: Sequence[tuple[int, int]], predicate: Callable[[list[str], list[tuple[int, int]]], bool], **limits: Any) -> tuple[list[str], list[tuple[int, int]]]:
+    """Fewest tokens; spans (from, to) follow the tokens that are left, and a span's own tokens stay."""
+    fixed = {i for a, b in spans for i in range(a, b)}
+
+    def moved(kept: Sequence[int]) -> tuple[list[str], list[tuple[int, int]]]:
+        place = {old: new for new, old in enumerate(kept)}
+        return [tokens[i] for i in kept], [(place[a], place[b - 1] + 1) for a, b in spans]
+
+    free = [i for i in range(len(tokens)) if i not in fixed]
+    kept = ddmin(free, lambda k: predicate(*moved(sorted({*k, *fixed}))), **limits) if free else []
+    return moved(sorted({*kept, *fixed}))
+
+
+def shrink_tensor(value: Any, predicate: Callable[[Any], bool], preserve_shape: bool = True, **limits: Any) -> Any:
+    """A NumPy array with shorter dimensions (unless the shape is to stay), more zeros, and smaller numbers."""
+    import numpy as np
+
+    test = Evaluator(predicate, **limits)
+    key = lambda a: [a.shape, a.dtype.str, a.tobytes().hex()]
+    ok = lambda a: test(a, key(a))
+    now = np.array(value)
+    if not ok(now):
+        raise ValueError("the predicate does not hold for the whole tensor")
+    if not preserve_shape:
+        for axis in range(now.ndim):
+            whole = now
+            kept = ddmin(range(whole.shape[axis]), lambda k, w=whole, a=axis: len(k) > 0 and ok(np.take(w, list(k), axis=a)))
+            now = np.take(whole, list(kept), axis=axis)
+    flat = now.ravel()
+    filled = np.flatnonzero(flat)
+
+    def only(places: Sequence[int]) -> Any:
+        out = np.zeros_like(flat)
+        out[list(places)] = flat[list(places)]
+        return out.reshape(now.shape)
+
+    if len(filled):
+        now = only(ddmin(filled.tolist(), lambda p: ok(only(p))))
+    for simpler in (np.sign(now).astype(now.dtype), np.round(now).astype(now.dtype)):
+        if ok(simpler):
+            return simpler
+    return now
+
+
+def shrink_image(value: Any, predicate: Callable[[Any], bool], **limits: Any) -> Any:
+    """A smaller crop of a (height, width[, channels]) array, fewer channels, then half resolution while it holds."""
+    import numpy as np
+
+    test = Evaluator(predicate, **limits)
+    ok = lambda a: a.size > 0 and test(a, [a.shape, a.tobytes().hex()])
+    now = np.array(value)
+    if not ok(now):
+        raise ValueError("the predicate does not hold for the whole image")
+    for axis in (0, 1):
+        step = now.shape[axis] // 2
+        while step:
+            n = now.shape[axis]
+            for trial in (np.take(now, range(step, n), axis=axis), np.take(now, range(n - step), axis=axis)):
+                if trial.shape[axis] and ok(trial):
+                    now = trial
+                    break
+            else:
+                step //= 2
+    if now.ndim == 3:
+        whole = now
+        now = np.take(whole, ddmin(range(whole.shape[2]), lambda k: len(k) > 0 and ok(np.take(whole, list(k), axis=2))), axis=2)
+    while min(now.shape[:2]) > 1 and ok(now[::2, ::2]):
+        now = now[::2, ::2]
+    return now
+
+
+def shrink(value: Any, predicate: Callable[..., bool], kind: str = "auto", **options: Any) -> Any:
+    """The strategy for a kind of value, or for what the value looks like."""
+    if kind == "auto":
+        kind = "table" if isinstance(value, DataFrame) else "tensor" if hasattr(value, "dtype") else "text" if isinstance(value, str) else "rows" if isinstance(value, list) else "structure"
+    strategies = {"table": shrink_rows, "tensor": shrink_tensor, "image": shrink_image, "text": shrink_tokens, "rows": ddmin, "tabular": shrink_tabular, "structure": shrink_structure}
+    return strategies[kind](value, predicate, **options)
