@@ -24,12 +24,27 @@ def by_value() -> None:
 by_value()
 
 
-def worker_cache(name: str, make: Any) -> Any:
-    """An object that lives as long as the Python worker and is shared by its tasks."""
+def worker_cache(name: str, make: Any, large: bool = False) -> Any:
+    """An object that lives as long as the Python worker and is shared by its tasks; of large ones only the last."""
     held = sys.__dict__.setdefault("_runlens_worker_cache", {})
     if name not in held:
-        held[name] = make()
-    return held[name]
+        if large:
+            for other in [k for k, (_, big) in held.items() if big]:
+                del held[other]
+        held[name] = (make(), large)
+    return held[name][0]
+
+
+def free_large_caches() -> None:
+    """Let go of the worker's large object; for tasks that have none of their own."""
+    import gc
+
+    held = sys.__dict__.get("_runlens_worker_cache", {})
+    large = [k for k, (_, big) in held.items() if big]
+    for name in large:
+        del held[name]
+    if large:
+        gc.collect()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,8 +80,16 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches of at most 16 MB, unless the session asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64m") in ("64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(name, "16m")
+
+
 def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under names of its own; a null text is the empty one."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -24,7 +24,7 @@ ORDER = 5
 #: Rows of the trie, and words, that one Python worker holds at a time. Larger ones are worked through in slices.
 MAX_TRIE_ROWS, MAX_WORDS = 8_000_000, 8_000_000
 #: Different words or byte strings that a counting task gathers before it passes them on, and bytes worked on at once.
-MAX_COUNTED, MAX_GRAMS, BLOCK_BYTES = 400_000, 2_000_000, 1_000_000
+MAX_COUNTED, MAX_GRAMS, BLOCK_BYTES = 300_000, 1_500_000, 500_000
 #: What stands behind a word and at the end of a text (no word has these bytes); the number of symbols.
 SPACE, END, SYMBOLS = b" ", b"\n", 256
 
@@ -173,7 +173,8 @@ class Trie:
             if k and len(codes):  # what these symbols count in the next shorter context
                 lower = tables[order - k + 1]
                 below = np.add.reduceat(lower[1][np.searchsorted(lower[0], codes & np.uint64((1 << 8 * k) - 1))], first)
-            self.levels.append((codes, counts, of[first], total, kinds, below))
+            narrow = [x.astype(np.float32) if len(x) and x.max() < 1 << 24 else x for x in (counts, total, kinds, below)]  # whole numbers stay exact
+            self.levels.append((codes, narrow[0], of[first], *narrow[1:]))
 
     def log10(self, codes: Any) -> Any:
         """log10 of the probability of each symbol after its context."""
@@ -190,8 +191,8 @@ class Trie:
             hit = table[entry] == code
             at = np.minimum(np.searchsorted(contexts, code >> np.uint64(8)), len(contexts) - 1)
             known = contexts[at] == code >> np.uint64(8)
-            n, d = total[at] - minus_total[left], kinds[at] - minus_kinds[left]
-            out[left[hit]] += np.log10(counts[entry[hit]] / (n[hit] + d[hit]))
+            n, d = total[at].astype(np.float64) - minus_total[left], kinds[at].astype(np.float64) - minus_kinds[left]
+            out[left[hit]] += np.log10(counts[entry[hit]].astype(np.float64) / (n[hit] + d[hit]))
             escapes = known & ~hit & (d > 0)
             out[left[escapes]] += np.log10(d[escapes] / (n[escapes] + d[escapes]))
             miss = known & ~hit
@@ -215,7 +216,7 @@ def _read_table(folder: str, columns: list[str]) -> Any:
 
 def _held_one(name: str, key: str, make: Any) -> Any:
     """A worker's only object of this kind: another key replaces it."""
-    held = worker_cache(name, dict)
+    held = worker_cache("lm-tables", dict, large=True).setdefault(name, {})
     if key not in held:
         held.clear()
         held[key] = make()
@@ -245,7 +246,8 @@ class WordTable:
         h, c = (np.zeros(0, dtype=np.int64),) * 2 if table is None else (table[x].to_numpy() for x in ("h", "c"))
         del table
         sort = np.argsort(h)
-        self.h, self.c = h[sort], c[sort]
+        self.h, self.c = h[sort], c[sort].astype(np.int32 if not len(c) or c.max() < 1 << 31 else np.int64)
+        del h, c, sort
         self.shared: dict[bytes, int] = {}
         twice = np.unique(self.h[1:][self.h[1:] == self.h[:-1]])
         if len(twice):
@@ -277,7 +279,7 @@ def _hashes() -> Any:
         def __missing__(self, word: bytes) -> int:
             h = xxhash.xxh64_intdigest(word, 42)
             h -= (h >> 63) << 64
-            if len(self) < 200_000:
+            if len(self) < 100_000:
                 self[word] = h
             return h
 
