@@ -197,16 +197,26 @@ def mentions(text: str, find: Callable[[str], Any]) -> Iterator[tuple[int, int,
 
 def _finder() -> Callable[[str], Any]:
     made = worker_cache("pii-pattern", pattern)
-    digit_or_sign = worker_cache("pii-screen", _screen)
-    return lambda text: made.finditer(text) if digit_or_sign(text) else ()
+    can_hold = worker_cache("pii-screen", _screen)
+    return lambda text: made.finditer(text) if can_hold(text) else ()
 
 
-def _screen() -> Any:
-    """Whether a text can hold any entity at all: a cheap look before the whole expression."""
+def _screen() -> Callable[[str], bool]:
+    """Whether a text can hold any entity at all: cheap looks before the whole expression."""
     import re
 
-    words = {t for ts in TITLES.values() for t in ts} | {n for ns in GIVEN.values() for n in ns}
-    return re.compile(r"@|AKIA|ASIA|gh[pousr]_|\d[\d ().-]{6}|(?i:passw|pwd|token|secret|api.?key)|\b(?:" + "|".join(sorted(words)) + r")\b").search
+    names = {t for ts in TITLES.values() for t in ts} | {n for ns in GIVEN.values() for n in ns}
+    numbers = re.compile(r"\d[\d ().-]{6}|[A-Z]{2}\d\d ?[A-Z0-9]{4}").search
+    capitalised = re.compile(r"[A-ZА-ЯЁ]\w+").findall
+    exact, folded = ("@", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("passw", "pwd", "token", "secret", "api")
+
+    def look(text: str) -> bool:
+        if any(x in text for x in exact) or numbers(text):
+            return True
+        low = text.lower()
+        return any(x in low for x in folded) or not names.isdisjoint(capitalised(text))
+
+    return look
 
 
 def _detect(source: Iterator[Any]) -> Iterator[Any]:
