@@ -49,10 +49,7 @@ def free_large_caches() -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where the setting is absent."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file:///tmp/runlens-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/runlens-checkpoints"
     return folder.rstrip("/")
 
 

@@ -16,7 +16,7 @@ WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text that one pass holds; more is worked through in blocks.
 BLOCK_BYTES = 16 << 20
 #: Words whose hash a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 CARRIED = "doc_id long, text string, hits binary, items array<string>"
@@ -27,8 +27,7 @@ def word_table() -> bytes:
     return bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def _hashes(words: list[bytes]) -> Any:
-    import numpy as np
+def _word_cache() -> Any:
     import xxhash
 
     class Cache(dict):
@@ -38,7 +37,13 @@ def _hashes(words: list[bytes]) -> Any:
                 self[word] = h
             return h
 
-    known = worker_cache("word-hashes", Cache)
+    return Cache()
+
+
+def _hashes(words: list[bytes]) -> Any:
+    import numpy as np
+
+    known = worker_cache("word-hashes", _word_cache, large=True)
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

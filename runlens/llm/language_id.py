@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_broadcast, drop_rows, worker_cache
+from .common import Scratch, bounded_broadcast, drop_rows, free_large_caches, small_batches, worker_cache
 
 #: The classifier is fitted on about so many labelled rows, chosen by a hash of the identifier, whose texts have at
 #: most so many characters.
@@ -85,6 +85,7 @@ def _likelihoods(model: Any, names: list[str], temper: float) -> Any:
         import numpy as np
         import pyarrow as pa
 
+        free_large_caches()
         made, table = model.value, worker_cache("language-classes", class_table)
         for batch in source:
             if not batch.num_rows:
@@ -120,6 +121,7 @@ def identify(df: DataFrame, model: TrigramModel, id_col: str = "doc_id", text_co
     languages accepts nothing.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "language")
+    small_batches(spark)
     names, n_lang = model.names, len(model.languages)
     none = F.lit(None).cast("string")
     tag = F.nullif(F.substring_index(F.substring_index(F.lower(F.trim(declared if declared is not None else none)), "-", 1), "_", 1), F.lit(""))

@@ -15,7 +15,7 @@ from typing import Any
 from .common import worker_cache
 
 #: Words whose ids a worker remembers, and the longest word that it remembers.
-CACHE_WORDS, CACHE_LENGTH = 900_000, 32
+CACHE_WORDS, CACHE_LENGTH = 600_000, 32
 #: ASCII punctuation between a letter or digit and a space.
 WORD_END = r"(?<=[^\W_])([!-/:-@\[-`{-~]+)(?= )"
 
@@ -101,7 +101,7 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    return worker_cache(f"encoder:{path}", lambda: ChunkEncoder(path))
+    return worker_cache(f"encoder:{path}", lambda: ChunkEncoder(path), large=True)
 
 
 def text_groups(texts: list[Any], limit: int = 1_000_000) -> list[list[int]]:
