@@ -8,13 +8,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, drop_rows, ids_and_texts
-from .graph import components
+from .common import Scratch, drop_rows, free_large_caches, ids_and_texts
+from .graph import components, forest, pairs_out
 
 #: Comparisons made at a time, and found pairs kept before they are reduced to a forest.
-BLOCK_PAIRS, KEPT_PAIRS = 4_000_000, 1_000_000
-#: Rows of a tile of wide fingerprints.
-TILE_ROWS = 8192
+BLOCK_PAIRS, KEPT_PAIRS = 1_000_000, 300_000
+#: Rows of a tile of wide fingerprints, and comparisons that one task makes.
+TILE_ROWS, TASK_COMPARISONS = 8192, 20_000_000
 
 
 def fingerprint(raw: bytes, shingle: int, words64: int, distinct: bool) -> tuple[Any, int]:
@@ -59,6 +59,7 @@ def _fingerprints(shingle: int, words64: int, distinct: bool) -> Any:
         import numpy as np
         import pyarrow as pa
 
+        free_large_caches()
         schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), *((f"f{w}", pa.int64()) for w in range(words64))])
         for batch in source:
             if not batch.num_rows:
@@ -75,26 +76,6 @@ def _fingerprint_table(df: DataFrame, id_col: str, text_col: str, scratch: Scrat
     return scratch.write(ids_and_texts(df, id_col, text_col).mapInArrow(_fingerprints(shingle, words64, distinct), schema), "fingerprints")
 
 
-def forest(a: Any, b: Any) -> tuple[Any, Any]:
-    """Fewer links that connect the same nodes: every node to the smallest one of its group here."""
-    import numpy as np
-
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ia, ib = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        la, lb = label[ia], label[ib]
-        low, new = np.minimum(la, lb), label.copy()
-        np.minimum.at(new, la, low)
-        np.minimum.at(new, lb, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 class _Links:
     """Found pairs, reduced to a forest whenever there are many."""
 
@@ -117,11 +98,9 @@ class _Links:
         self.a, self.b, self.n = [a], [b], len(a)
 
     def out(self) -> Iterator[Any]:
-        import pyarrow as pa
-
         if self.n:
             self._reduce()
-            yield from batches(pa.schema([("a", pa.int64()), ("b", pa.int64())]), [self.a[0].tolist(), self.b[0].tolist()])
+            yield from pairs_out(self.a[0], self.b[0], "a", "b")
 
 
 def neighbour_offsets(radius: int, parts: int = 8) -> list[int]:
@@ -237,14 +216,14 @@ def _tile(words64: int, rows: int) -> Any:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("uid", pa.int64()), *((c, pa.int64()) for c in ("lo", "hi", "lo_bits", "hi_bits")), ("data", pa.binary())])
+        schema = pa.schema([("uid", pa.int64()), *((c, pa.int64()) for c in ("lo", "hi", "lo_bits", "hi_bits", "n")), ("data", pa.binary())])
         base, made, held = TaskContext.get().partitionId() << 32, 0, []
 
         def cut(table: Any) -> Any:
             nonlocal made
             made += 1
             bits = np.bitwise_count(table[:, 2:].view(np.uint64)).sum(axis=1, dtype=np.int64)
-            row = {"uid": base + made, "lo": int(table[0, 1]), "hi": int(table[-1, 1]), "lo_bits": int(bits.min()), "hi_bits": int(bits.max()), "data": table.tobytes()}
+            row = {"uid": base + made, "lo": int(table[0, 1]), "hi": int(table[-1, 1]), "lo_bits": int(bits.min()), "hi_bits": int(bits.max()), "n": len(table), "data": table.tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in source:
@@ -324,20 +303,24 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = [f"f{w}" for w in range(words64)]
     reps = scratch.write(prints.groupBy("shingles", *names).agg(F.min("doc_id").alias("rep")), "reps")
     ordered = reps.where("rep IS NOT NULL").select("rep", "shingles", *names).repartitionByRange("shingles", "f0").sortWithinPartitions("shingles", "f0")
-    tiles = scratch.write(ordered.mapInArrow(_tile(words64, tile_rows), "uid long, lo long, hi long, lo_bits long, hi_bits long, data binary"), "tiles")
-    meta = sorted(tiles.select("lo", "hi", "uid").collect())
-    last, reach = 0, []
-    for i, (_, hi, uid) in enumerate(meta):
-        last = max(last, i)
+    tiles = scratch.write(ordered.mapInArrow(_tile(words64, tile_rows), "uid long, lo long, hi long, lo_bits long, hi_bits long, n long, data binary"), "tiles")
+    meta = sorted(tiles.select("lo", "hi", "uid", "n").collect())
+    last, reach, work, ahead = 0, [], 0, 0
+    for i, (_, hi, uid, n) in enumerate(meta):
+        if last <= i:
+            last, ahead = i, n
         while last + 1 < len(meta) and meta[last + 1][0] * similarity <= hi:
             last += 1
+            ahead += meta[last][3]
         reach.append((uid, i, last))
+        work += n * ahead  # comparisons of this tile with the rows from here to the last one in reach
+        ahead -= n
     placed = tiles.join(F.broadcast(spark.createDataFrame(reach, "uid long, i long, last long")), "uid")
     mine = placed.select("i", F.explode(F.sequence("i", "last")).alias("j"), F.col("lo_bits").alias("a_lo"), F.col("hi_bits").alias("a_hi"), F.col("data").alias("mine"))
     theirs = placed.select(F.col("i").alias("j"), F.col("lo_bits").alias("b_lo"), F.col("hi_bits").alias("b_hi"), F.col("data").alias("theirs"))
     meet = mine.join(theirs, "j").where((F.col("a_lo") - F.col("b_hi") <= radius) & (F.col("b_lo") - F.col("a_hi") <= radius))
     pairs = sum(last - i + 1 for _, i, last in reach)
-    dealt = meet.select("mine", "theirs", (F.col("i") == F.col("j")).alias("same")).repartition(max(1, min(pairs, 200_000)))
+    dealt = meet.select("mine", "theirs", (F.col("i") == F.col("j")).alias("same")).repartition(max(1, min(pairs, work // TASK_COMPARISONS + 1, 200_000)))
     links = scratch.write(dealt.mapInArrow(_compare_tiles(words64, radius, similarity), "a long, b long"), "links")
     roots = components(links, scratch)
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("shingles", *names, F.coalesce("root", "rep").alias("component_id"))

@@ -121,5 +121,6 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 200), (None, 3), (300, 299)]
     rng.shuffle(edges)
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.node: r.root for r in components(df, Scratch(spark, "test")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 50)} | {300: 299}
+    for bound in (1_000_000, 0):  # in one task, and by rounds
+        got = {r.node: r.root for r in components(df, Scratch(spark, "test"), max_local_links=bound).collect()}
+        assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 50)} | {300: 299}
