@@ -28,12 +28,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = scratch.write(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "several")
     few = several.count() <= max_broadcast_groups
     members = scratch.write(rows.join(F.broadcast(several) if few else several, "hash", "left_semi").select("hash", "doc_id", "text"), "members")
-    same = members.groupBy("hash", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that both sides of the join below are plain shuffles, of which a very large group can be split
+    same = scratch.write(members.groupBy("hash", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "same")
     decided = (
         members.join(same, ["hash", "text"])
         .select(F.col("doc_id").alias("member_id"), F.sha2("text", 256).alias("member_sha"), "keep_id", "group_size")
-        .distinct()
     )
+    decided = scratch.write(decided, "decided").distinct()
     every = rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
     joined = every.join(decided, F.col("doc_id").eqNullSafe(F.col("member_id")) & (F.col("text_sha256") == F.col("member_sha")), "left")
     alone = F.col("group_size").isNull()
