@@ -9,11 +9,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, filesystem
+from .common import Scratch, batches, filesystem, small_batches
 
 #: Payloads of at least so many bytes are stored once; later equal ones refer to it.
 MIN_REVISIT_BYTES = 1000
-#: The dictionary is trained on at most so many records of at most so many bytes, chosen by a hash of the identifier.
+#: The dictionary is trained on about so many records (twice as many at most) of at most so many bytes, chosen by a
+#: hash of the identifier.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 32_768, 65_536
 #: An archive is closed and another begun beyond so many bytes.
 MAX_ARCHIVE_BYTES = 1 << 30
@@ -202,14 +203,17 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     columns are not read.
     """
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "warc")
+    small_batches(spark)
     folder = folder or f"{scratch.path}/files"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "key": F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha2("html", 256)))})
     groups = scratch.write(rows.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("target")).where("n > 1 AND target IS NOT NULL").select("key", "target"), "groups")
     few = groups.count() <= max_broadcast_groups
     marked = rows.join(F.broadcast(groups) if few else groups, "key", "left").select("page_id", "url", "html", "digest", "target")
-    sample = rows.where(F.octet_length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id", "digest")).limit(SAMPLE_RECORDS).select("page_id", "url", "html", "digest")
-    dictionary = train_dictionary([make_record(r.page_id, r.url, r.html.encode(), r.digest, None, date, False) for r in sample.collect()])
+    usable = rows.where(F.octet_length("html") <= SAMPLE_BYTES)
+    share = min(1.0, 1.3 * SAMPLE_RECORDS / max(1, pages.count()))
+    sample = usable.where(F.pmod(F.xxhash64("page_id", F.lit("sample")), F.lit(10**9)) <= int(10**9 * share)).limit(2 * SAMPLE_RECORDS)
+    dictionary = train_dictionary([make_record(r.page_id, r.url, r.html.encode(), r.digest, None, date, False) for r in sample.select("page_id", "url", "html", "digest").collect()])
     return scratch.write(marked.mapInArrow(_writer(folder, dictionary, date, max_archive_bytes), MANIFEST), "manifest")
 
 
