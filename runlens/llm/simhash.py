@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, drop_rows, free_large_caches, ids_and_texts
@@ -15,29 +16,49 @@ from .graph import components, forest, pairs_out
 BLOCK_PAIRS, KEPT_PAIRS = 1_000_000, 300_000
 #: Rows of a tile of wide fingerprints, and comparisons that one task makes.
 TILE_ROWS, TASK_COMPARISONS = 8192, 20_000_000
+#: Shingles of the texts that are verified against each other at a time; larger groups are cut into blocks.
+BLOCK_SHINGLES = 2_000_000
 
 
-def fingerprint(raw: bytes, shingle: int, words64: int, distinct: bool) -> tuple[Any, int]:
-    """(the fingerprint as 64-bit words, the number of shingles) of a text in UTF-8.
-
-    Each shingle's hash is XXH64 with seed 42; further words mix that hash again. A bit is 1 if it is set in over
-    half of the hashes.
-    """
+def shingle_hashes(raw: bytes, shingle: int, distinct: bool) -> Any:
+    """The XXH64 hashes with seed 42 of a text's shingles; the distinct ones are sorted."""
     import numpy as np
     import xxhash
 
     words = raw.lower().split()
     n = len(words)
     if not n:
-        return np.zeros(words64, dtype=np.uint64), 0
+        return np.zeros(0, dtype=np.uint64)
     size, joined = min(shingle, n), b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[s:e], 42) for s, e in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    if distinct:
-        h = np.unique(h)
+    return np.unique(h) if distinct else h
+
+
+def set_key(h: Any) -> int:
+    """A 64-bit name of a set of hashes: their sum, as a signed number."""
+    import numpy as np
+
+    return int(h.sum(dtype=np.uint64).astype(np.int64))
+
+
+def fingerprint(raw: bytes, shingle: int, words64: int, distinct: bool) -> tuple[Any, int]:
+    """(the fingerprint as 64-bit words, the number of shingles) of a text in UTF-8.
+
+    Each shingle's hash is XXH64 with seed 42; further words mix that hash again. A bit is 1 if it is set in over
+    half of the hashes.
+    """
+    h = shingle_hashes(raw, shingle, distinct)
+    return _bits(h, words64), len(h)
+
+
+def _bits(h: Any, words64: int) -> Any:
+    """The fingerprint of hashes as 64-bit words."""
+    import numpy as np
+
     out = np.zeros(words64, dtype=np.uint64)
     for w in range(words64):
         x = h
@@ -51,7 +72,7 @@ def fingerprint(raw: bytes, shingle: int, words64: int, distinct: bool) -> tuple
             part = np.ascontiguousarray(x[at : at + 65_536])
             counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[w] = np.packbits(counts * 2 > len(x), bitorder="little").view("<u8")[0]
-    return out, len(h)
+    return out
 
 
 def _fingerprints(shingle: int, words64: int, distinct: bool) -> Any:
@@ -60,19 +81,26 @@ def _fingerprints(shingle: int, words64: int, distinct: bool) -> Any:
         import pyarrow as pa
 
         free_large_caches()
-        schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.int64()), *((f"f{w}", pa.int64()) for w in range(words64))])
+        names = ["doc_id", "shingles", *(["key"] if distinct else []), *(f"f{w}" for w in range(words64))]
+        schema = pa.schema([(n, pa.int64()) for n in names])
         for batch in source:
             if not batch.num_rows:
                 continue
-            found = [fingerprint(raw, shingle, words64, distinct) for raw in batch.column(1).cast(pa.binary()).to_pylist()]
-            bits = np.stack([f for f, _ in found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in found], type=pa.int64()), *(pa.array(bits[:, w]) for w in range(words64))], schema=schema)
+            counts, keys, found = [], [], []
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                h = shingle_hashes(raw, shingle, distinct)
+                counts.append(len(h))
+                keys.append(set_key(h))
+                found.append(_bits(h, words64))
+            bits = np.stack(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64()) for c in ([counts, keys] if distinct else [counts])), *(pa.array(bits[:, w]) for w in range(words64))], schema=schema)
 
     return run
 
 
 def _fingerprint_table(df: DataFrame, id_col: str, text_col: str, scratch: Scratch, shingle: int, words64: int, distinct: bool) -> DataFrame:
-    schema = "doc_id long, shingles long, " + ", ".join(f"f{w} long" for w in range(words64))
+    """doc_id, shingles, the words f0.. of the fingerprint, and of distinct shingles the key of their set."""
+    schema = f"doc_id long, shingles long, {'key long, ' if distinct else ''}" + ", ".join(f"f{w} long" for w in range(words64))
     return scratch.write(ids_and_texts(df, id_col, text_col).mapInArrow(_fingerprints(shingle, words64, distinct), schema), "fingerprints")
 
 
@@ -241,7 +269,7 @@ def _tile(words64: int, rows: int) -> Any:
 
 
 def _compare_tiles(words64: int, radius: int, ratio: float) -> Any:
-    """Pairs of tiles: rows within the radius whose shingle counts allow the similarity."""
+    """Pairs of tiles: rows within the radius whose shingle counts allow the similarity of different sets."""
 
     def run(source: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
@@ -250,7 +278,7 @@ def _compare_tiles(words64: int, radius: int, ratio: float) -> Any:
 
         def pair(left: Any, right: Any, same: bool) -> None:
             step = max(1, BLOCK_PAIRS // max(1, len(right)))
-            lp, rp = left[:, 2:].view(np.uint64), right[:, 2:].view(np.uint64)
+            lp, rp = (np.ascontiguousarray(x[:, 2:].view(np.uint64).T) for x in (left, right))
             for at in range(0, len(left), step):
                 block = left[at : at + step]
                 lo = np.searchsorted(right[:, 1], block[0, 1] * ratio, side="left")
@@ -260,16 +288,14 @@ def _compare_tiles(words64: int, radius: int, ratio: float) -> Any:
                 if lo >= hi:
                     continue
                 near = np.zeros((len(block), hi - lo), dtype=np.uint16)
-                half = max(1, words64 // 2)
-                for w in range(half):
-                    near += np.bitwise_count(lp[at : at + step, w, None] ^ rp[None, lo:hi, w])
+                for w in range(words64):
+                    near += np.bitwise_count(lp[w, at : at + step, None] ^ rp[w, None, lo:hi])
                 i, j = np.nonzero(near <= radius)
-                bits = near[i, j].astype(np.int64)
                 i, j = i + at, j + lo
-                for w in range(half, words64):
-                    bits += np.bitwise_count(lp[i, w] ^ rp[j, w])
                 a, b = left[i, 1], right[j, 1]
-                fits = (bits <= radius) & (np.minimum(a, b) >= ratio * np.maximum(a, b))
+                low, high = np.minimum(a, b), np.maximum(a, b)
+                shared = low - (low == high)  # at most, of different sets
+                fits = (shared > 0) & (shared / np.maximum(a + b - shared, 1) >= ratio)
                 if same:
                     fits &= i < j
                 if fits.any():
@@ -284,24 +310,134 @@ def _compare_tiles(words64: int, radius: int, ratio: float) -> Any:
     return run
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
+def candidate_radius(bits: int, similarity: float) -> int:
+    """Differing bits that texts of the similarity stay within: the mean and seven standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 7 * math.sqrt(bits * share * (1 - share)))
+
+
+class _Group:
+    """Texts of one group in one or two blocks, and the links between them that the exact similarity makes."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.ids: list[int] = []
+        self.sides: list[bool] = []
+        self.sets: list[Any] = []
+
+    def add(self, doc_id: int, side: bool, hashes: Any) -> None:
+        self.ids.append(doc_id)
+        self.sides.append(side)
+        self.sets.append(hashes)
+
+    def links(self, two: bool) -> tuple[list[int], list[int]]:
+        """Links that connect what all pairs of similar texts connect; with two blocks, only pairs across them.
+
+        Each text in turn meets the later ones it isn't connected with yet, all at once.
+        """
+        import numpy as np
+
+        n, a, b = len(self.ids), [], []
+        ids, sides, sizes = np.array(self.ids, dtype=np.int64), np.array(self.sides), np.array([len(h) for h in self.sets])
+        ends = np.cumsum(sizes)
+        values, codes = np.unique(np.concatenate(self.sets), return_inverse=True)
+        holders = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(codes, kind="stable")]  # the texts of each shingle in turn
+        held = np.bincount(codes, minlength=len(values))
+        first = np.cumsum(held) - held
+        label = np.arange(n)
+        for p in range(n - 1):
+            later = label[p + 1 :] != label[p]
+            if two:
+                later &= sides[p + 1 :] != sides[p]
+            if not later.any():
+                continue
+            own = codes[ends[p] - sizes[p] : ends[p]]
+            some = held[own]
+            at = np.repeat(first[own] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+            shared = np.bincount(holders[at], minlength=n)[p + 1 :]
+            links = p + 1 + np.flatnonzero(later & (shared > 0) & (shared / np.maximum(sizes[p] + sizes[p + 1 :] - shared, 1) >= self.similarity))
+            if len(links):
+                label[np.isin(label, label[links])] = label[p]
+                a += [int(ids[p])] * len(links)
+                b += ids[links].tolist()
+        return a, b
+
+
+def _verify(shingle: int, similarity: float) -> Any:
+    """Rows sorted by group and pair of blocks: links between texts whose distinct shingles have the similarity."""
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        links, now, group, seen = _Links(), None, _Group(similarity), set()
+
+        def close() -> None:
+            if len(group.ids) > 1:
+                a, b = group.links(now[1] != now[2])
+                if a:
+                    links.add(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+
+        for batch in source:
+            rest = [batch.column(i).to_pylist() for i in range(6)]
+            for *at, block, doc_id, key, raw in zip(*rest, batch.column(6).cast(pa.binary()).to_pylist(), strict=True):
+                if at != now:
+                    close()
+                    now, group, seen = at, _Group(similarity), set()
+                if (doc_id, key) in seen:
+                    continue
+                hashes = shingle_hashes(raw, shingle, True)
+                if set_key(hashes) == key:  # an id may be repeated with another text
+                    seen.add((doc_id, key))
+                    group.add(doc_id, block != at[1], hashes)
+        close()
+        yield from links.out()
+
+    return run
+
+
+def _verified(df: DataFrame, id_col: str, text_col: str, reps: DataFrame, candidates: DataFrame, scratch: Scratch, shingle: int, similarity: float, block_shingles: int) -> DataFrame:
+    """Links (a, b) inside the groups that the candidates connect, by the exact similarity of distinct shingles.
+
+    Members of a group are ordered by their counts of shingles and cut into blocks of about block_shingles shingles;
+    each pair of blocks whose counts allow the similarity is the work of one task at a time.
+    """
+    roots = components(candidates, scratch)
+    nodes = scratch.write(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
+    running = F.sum("shingles").over(Window.partitionBy("root").orderBy("shingles", "rep", "key").rowsBetween(Window.unboundedPreceding, -1))
+    members = reps.join(nodes, F.col("rep") == F.col("node")).select("root", "rep", "key", "shingles")
+    members = scratch.write(members.withColumn("block", F.floor(F.coalesce(running, F.lit(0)) / block_shingles)), "members")
+    ranges = members.groupBy("root", "block").agg(F.min("shingles").alias("lo"), F.max("shingles").alias("hi"))
+    left, right = ranges.select("root", F.col("block").alias("i"), "hi"), ranges.select("root", F.col("block").alias("j"), "lo")
+    pairs = left.join(right, "root").where((F.col("i") <= F.col("j")) & (F.col("lo") * similarity <= F.col("hi"))).select("root", "i", "j")
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    dealt = members.join(sides, ["root", "block"]).select("root", "i", "j", "block", "rep", "key")
+    rows = dealt.join(ids_and_texts(df, id_col, text_col), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "block", "rep", "key", "text")
+    ready = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return scratch.write(ready.mapInArrow(_verify(shingle, similarity), "a long, b long"), "verified")
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, tile_rows: int = TILE_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per input row: doc_id, component_id, for near copies by word shingles.
 
-    The fingerprint has 64 * words64 bits over the distinct shingles of a text. Two texts link if at least the share
-    `similarity` of their fingerprints' bits agree and the counts of their shingles differ by no more than that
-    ratio. With 256 bits, texts that share 0.8 of their shingles differ in about 39 bits and link at 51 or fewer;
-    unrelated ones differ in about 128.
+    Two texts link if the Jaccard similarity of their sets of distinct shingles is `similarity` or more. Equal sets
+    are first made one. The fingerprint has 64 * words64 bits over the set, and only finds candidates: its radius is
+    seven standard deviations above the number of bits in which texts of exactly that similarity differ (with 256
+    bits and 0.8, 38.8 on average, radius 78; unrelated texts differ in about 128). A pair at 0.8 is missed with a
+    chance of about one in ten million at worst, which is for texts of four against five shingles. Candidates link
+    only after their sets are compared, as 64-bit hashes of the shingles.
 
-    Different fingerprints are sorted by their counts of shingles and cut into tiles; a tile meets the tiles whose
+    Different sets are sorted by their counts of shingles and cut into tiles; a tile meets the tiles whose
     ranges of shingle counts and population counts can hold partners, and compares every pair there by
-    exclusive-or and bit counts. The driver sees one row per tile, with those ranges only. Nulls, empty texts and
-    tables, repeated rows and other columns as in simhash_components.
+    exclusive-or and bit counts. The driver sees one row per tile, with those ranges only. What the candidates
+    connect is then verified in groups, large ones in pairs of blocks. Nulls, empty texts and tables, repeated rows
+    and other columns as in simhash_components.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "similar")
-    radius = int(64 * words64 * (1 - similarity))
+    radius = candidate_radius(64 * words64, similarity)
     prints = _fingerprint_table(df, id_col, text_col, scratch, shingle, words64, True)
     names = [f"f{w}" for w in range(words64)]
-    reps = scratch.write(prints.groupBy("shingles", *names).agg(F.min("doc_id").alias("rep")), "reps")
+    reps = scratch.write(prints.groupBy("shingles", "key", *names).agg(F.min("doc_id").alias("rep")), "reps")
     ordered = reps.where("rep IS NOT NULL").select("rep", "shingles", *names).repartitionByRange("shingles", "f0").sortWithinPartitions("shingles", "f0")
     tiles = scratch.write(ordered.mapInArrow(_tile(words64, tile_rows), "uid long, lo long, hi long, lo_bits long, hi_bits long, n long, data binary"), "tiles")
     meta = sorted(tiles.select("lo", "hi", "uid", "n").collect())
@@ -321,11 +457,12 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     meet = mine.join(theirs, "j").where((F.col("a_lo") - F.col("b_hi") <= radius) & (F.col("b_lo") - F.col("a_hi") <= radius))
     pairs = sum(last - i + 1 for _, i, last in reach)
     dealt = meet.select("mine", "theirs", (F.col("i") == F.col("j")).alias("same")).repartition(max(1, min(pairs, work // TASK_COMPARISONS + 1, 200_000)))
-    links = scratch.write(dealt.mapInArrow(_compare_tiles(words64, radius, similarity), "a long, b long"), "links")
-    roots = components(links, scratch)
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("shingles", *names, F.coalesce("root", "rep").alias("component_id"))
+    candidates = scratch.write(dealt.mapInArrow(_compare_tiles(words64, radius, similarity), "a long, b long"), "links")
+    links = _verified(df, id_col, text_col, reps.where("rep IS NOT NULL"), candidates, scratch, shingle, similarity, block_shingles)
+    roots = components(links, Scratch(spark, "similar-verified"))
+    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("shingles", "key", F.coalesce("root", "rep").alias("component_id"))
     named = scratch.write(named, "named")
-    return prints.join(named, ["shingles", *names]).select("doc_id", "component_id")
+    return prints.join(named, ["shingles", "key"]).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
