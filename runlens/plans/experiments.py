@@ -111,7 +111,7 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pairing_quality", QUALITY)
 def pairing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = dirty_events(spark, sf_dir).select(F.col("event_type").alias("name"), F.col("user_id").alias("token"), "ts", "value")
-    return pairing.pairing_quality(e.where("ts < '2024-01-02'"), e.where("ts >= '2024-01-29'"), ["name"])
+    return pairing.pairing_quality(e.where("ts < '2024-01-16'"), e.where("ts >= '2024-01-16'"), ["name"])
 
 
 @query("identity_ambiguity", """WITH e AS (SELECT event_type, CASE WHEN event_id % 50 = 0 THEN NULL ELSE user_id * 1000 + day(ts) END AS token FROM events),

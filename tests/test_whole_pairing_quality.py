@@ -1,0 +1,5 @@
+from .whole import same_without_cut
+
+
+def test_pairing_quality_reads_the_whole_table(spark):
+    same_without_cut(spark, "pairing_quality", ("WHERE ts < TIMESTAMP '2024-01-02' OR ts >= TIMESTAMP '2024-01-29'", ""), ("2024-01-02", "2024-01-16"))

@@ -1,0 +1,19 @@
+"""A query against its SQL twin with the twin's cut of the table replaced, as here the twin reads less than the query."""
+
+import duckdb
+
+from runlens.plans import catalogue
+
+from .test_twins import SF, TABLES, ordered
+
+
+def same_without_cut(spark, name, *cuts):
+    sql = catalogue.ORACLE_SQL[name]
+    for old, new in cuts:
+        assert old in sql
+        sql = sql.replace(old, new)
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df, twin = catalogue.QUERIES[name](spark, SF), con.sql(sql)
+    assert ordered(df.collect(), df.columns) == ordered(twin.fetchall(), list(twin.columns))
