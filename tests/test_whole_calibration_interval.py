@@ -1,0 +1,5 @@
+from .whole import same_without_cut
+
+
+def test_calibration_interval_reads_the_whole_table(spark):
+    same_without_cut(spark, "calibration_interval", (" WHERE event_id % 20 = 0", ""))
