@@ -30,7 +30,7 @@ def calibration_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT name, s2.s - s1.s AS s FROM s1 JOIN s2 USING (name, r)) SELECT name, {BOUNDS} FROM d GROUP BY name""")
 def resource_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "name")
-    out = statistics.independent_bootstrap(e.where("ts < '2024-01-04'"), e.where("ts >= '2024-01-28'"), ["name"], ["event_id"], "value", 30, 1, aggregate="p95")
+    out = statistics.independent_bootstrap(e.where("ts < '2024-01-16'"), e.where("ts >= '2024-01-16'"), ["name"], ["event_id"], "value", 30, 1, aggregate="p95")
     return out.select("name", "lower", "upper", "p_value")
 
 

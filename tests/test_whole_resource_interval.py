@@ -1,0 +1,5 @@
+from .whole import same_without_cut
+
+
+def test_resource_interval_reads_the_whole_table(spark):
+    same_without_cut(spark, "resource_interval", ("2024-01-04", "2024-01-16"), ("2024-01-28", "2024-01-16"))
