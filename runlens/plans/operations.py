@@ -214,7 +214,7 @@ def bisect_nonmonotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT rev_idx, n, estimate, lower, upper, CASE WHEN n < 5 THEN 'inconclusive' WHEN upper < -2.0 THEN 'bad' WHEN lower >= -2.0 THEN 'good' ELSE 'inconclusive' END AS status FROM b JOIN n USING (rev_idx)""")
 def bisect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").alias("rev_idx"), F.col("user_id").alias("seed")).agg(F.avg("value").alias("score"))
-    return bisection.classify(s.where("rev_idx BETWEEN 2 AND 8"), s.where("rev_idx = 1"), tolerance=2.0, resamples=60, seed=5).drop("p_value")
+    return bisection.classify(s.where("rev_idx > 1"), s.where("rev_idx = 1"), tolerance=2.0, resamples=60, seed=5).drop("p_value")
 
 
 @query("bisect_uncomputed", "SELECT DISTINCT user_id, day(ts)::INT AS rev_idx FROM events ANTI JOIN (SELECT DISTINCT user_id, day(ts)::INT AS d FROM events WHERE event_id % 3 = 0) k ON k.user_id = events.user_id AND k.d = day(ts)")

@@ -1,0 +1,5 @@
+from .whole import same_without_cut
+
+
+def test_bisect_scores_reads_the_whole_table(spark):
+    same_without_cut(spark, "bisect_scores", ("c.rev_idx BETWEEN 2 AND 8", "c.rev_idx > 1"))
