@@ -12,3 +12,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/runlens-checkpoints")
     return df.checkpoint()
+
+
+def extended(known: DataFrame, frontier: DataFrame, round_: int, every: int = 50) -> DataFrame:
+    """known with the frontier of this round; written anew now and then, so that long loops keep short plans."""
+    both = known.unionByName(frontier)
+    return checkpointed(both) if round_ % every == 0 else both

@@ -5,10 +5,12 @@ An edge points from the consumer (source) to what it depends on (target).
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import checkpointed, extended
 
 #: The validation that a kind of affected node asks for, and its priority.
 CHECKS = {
@@ -48,22 +50,25 @@ def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(own.withColumnRenamed("id", "source"), "source", "left_semi").join(own.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def closure(edges: DataFrame, roots: DataFrame, downstream: bool = True, include_roots: bool = True, max_depth: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, downstream: bool = True, include_roots: bool = True, max_depth: int | None = None) -> DataFrame:
     """id, distance of all transitive consumers (downstream) or dependencies of the roots; cycles are harmless.
 
     A frontier loop: each round is one join of the frontier with the edges and an anti join with what is known. Each
-    frontier is checkpointed, so that plans stay short and a lost executor costs one round.
+    frontier is checkpointed, so that plans stay short and a lost executor costs one round. The loop ends when nothing
+    new is found; nodes that lie further than a given max_depth are an error, never left out.
     """
     start, end = ("target", "source") if downstream else ("source", "target")
     steps = edges.select(F.col(start).alias("id"), F.col(end).alias("next")).distinct()
     frontier = checkpointed(roots.select("id", F.lit(0).alias("distance")).distinct())
     known = frontier
-    for distance in range(1, max_depth + 1):
+    for distance in count(1):
         ahead = frontier.select("id").join(steps, "id").select(F.col("next").alias("id")).distinct()
         frontier = checkpointed(ahead.join(known, "id", "left_anti").withColumn("distance", F.lit(distance)))
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier)
+        if max_depth is not None and distance > max_depth:
+            raise ValueError(f"nodes lie further than max_depth={max_depth}")
+        known = extended(known, frontier, distance)
     return known if include_roots else known.where("distance > 0")
 
 

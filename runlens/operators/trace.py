@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpointed
+from ..checkpoints import checkpointed, extended
 
 
 def first_abnormal(events: DataFrame, by: list[str], seq: str, abnormal: str = "abnormal") -> DataFrame:
@@ -34,20 +36,23 @@ def every_kth(events: DataFrame, by: list[str], step: str, k: int, keep: int) ->
     return events.where(F.col(step) % k == 0).withColumn("rank_", F.row_number().over(w)).where(F.col("rank_") <= keep).drop("rank_")
 
 
-def ancestry(links: DataFrame, starts: DataFrame, by: list[str], max_depth: int = 200) -> DataFrame:
+def ancestry(links: DataFrame, starts: DataFrame, by: list[str], max_depth: int | None = None) -> DataFrame:
     """by..., node, depth of every ancestor (the start itself at depth 0); shortest path counts.
 
     links is by..., node, parent; starts is by..., node. Each round joins the frontier with the links and drops what
-    is known; frontiers are checkpointed, so a cycle ends and plans stay short.
+    is known, until nothing new is found; frontiers are checkpointed, so a cycle ends and plans stay short. A chain
+    that is longer than a given max_depth is an error, never a shorter result.
     """
     frontier = checkpointed(starts.select(*by, "node", F.lit(0).alias("depth")).distinct())
     known = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         up = frontier.join(links, [*by, "node"]).where(F.col("parent").isNotNull()).select(*by, F.col("parent").alias("node")).distinct()
         frontier = checkpointed(up.join(known, [*by, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        known = known.unionByName(frontier)
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"ancestors lie deeper than max_depth={max_depth}")
+        known = extended(known, frontier, depth)
     return known
 
 
