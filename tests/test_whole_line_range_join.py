@@ -1,0 +1,5 @@
+from .whole import same_without_cut
+
+
+def test_line_range_join_reads_the_whole_table(spark):
+    same_without_cut(spark, "line_range_join", (" WHERE l_orderkey % 100 = 0", ""))
