@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from runlens.llm.common import Scratch
-from runlens.llm.pii import canonical_of, dress, luhn_digit, mentions, pattern, pseudonymise, settle, surrogate_of
+from runlens.llm.pii import canonical_of, dress, luhn_digit, mentions, parts_of, pattern, pseudonymise, screen, settle, surrogate_of
 
 from .helpers import SF, awkward, empty
 
@@ -15,7 +15,7 @@ EMAIL, IP, PHONE, CARD, KEY = r"[\w.+-]+@[\w-]+\.[\w.]*\w", r"(?<![\w.])\d{1,3}(
 def test_table_loses_every_planted_value_and_nothing_else(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    got = {r.doc_id: r for r in pseudonymise(docs).collect()}
+    got = {r.doc_id: r for r in pseudonymise(docs, "k").collect()}
     assert set(got) == set(texts)
     seen, mapping = 0, {}
     for d, text in texts.items():
@@ -44,7 +44,7 @@ def test_kinds_formats_and_coreference(spark):
         None,
         "",
     ]
-    rows = pseudonymise(awkward(spark, texts)).orderBy("doc_id").collect()
+    rows = pseudonymise(awkward(spark, texts), "k").orderBy("doc_id").collect()
     out = [r.text for r in rows]
     assert out[4] == texts[4] and out[5:] == ["", ""]
     assert [r.n_entities for r in rows] == [5, 5, 6, 3, 0, 0, 0]
@@ -61,18 +61,19 @@ def test_kinds_formats_and_coreference(spark):
 
 
 def test_clashing_surrogates_are_drawn_again(spark):
-    names = [f"m:john {a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] * 1
-    rows = [("person", n) for n in names] + [("ssn", f"{i:03d}") for i in range(30)]
-    rows.append(("person", surrogate_of("person", names[0], "k")))  # a surrogate that is an entity itself
+    names = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [("surname", n) for n in names] + [("ssn", f"{i:03d}") for i in range(30)] + [("given", f"m:{n}") for n in names[:100]]
+    rows += [("email", f"{c}@x.y") for c in "abcdefghijklmnopqrstuvwxyz李王"] + [("ssn", str(i)) for i in range(10)]
+    rows.append(("surname", surrogate_of("surname", names[0], "k")))  # a surrogate that is an entity itself
     again = {(r.kind, r.canonical): r.attempt for r in settle(spark.createDataFrame(rows, "kind string, canonical string"), "k", Scratch(spark, "t")).collect()}
     drawn = [(k, surrogate_of(k, c, "k", again.get((k, c), 0))) for k, c in rows]
     assert again and len(set(drawn)) == len(drawn) and not set(drawn) & set(rows)
 
 
 def test_odd_tables(spark):
-    assert pseudonymise(empty(spark)).count() == 0
+    assert pseudonymise(empty(spark), "k").count() == 0
     rows = [(None, "a@b.com"), (3, "a@b.com"), (3, "a@b.com"), (4, "x " * 200_000 + "a@b.com")]
-    got = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), max_broadcast_docs=0).collect()
+    got = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k", max_broadcast_docs=0).collect()
     assert len(got) == 4 and len({r.text.split()[-1] for r in got}) == 1 and got[0].text.split()[-1] != "a@b.com"
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert {r.text for r in pseudonymise(docs, key="one").where("n_entities > 0").collect()} != {r.text for r in pseudonymise(docs, key="two").where("n_entities > 0").collect()}
@@ -82,12 +83,69 @@ def test_odd_tables(spark):
 @given(st.text(alphabet="ab1.@+-() 5Mr J", max_size=60))
 def test_mentions_never_overlap_and_surrogates_fit(text):
     at = 0
-    for start, end, kind, canonical, value in mentions(text, FIND):
+    for start, end, kind, parts, value in mentions(text, FIND):
         assert at <= start < end and text[start:end] == value
         at = end
-        assert len(dress(kind, value, surrogate_of(kind, canonical, "k"))) > 0
+        assert len(dress(kind, value, [surrogate_of(*p, "k") for p in parts])) > 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(alphabet="0123456789+-(). ,xAKIAGB@", max_size=40), st.text(alphabet="MrsJohn Smith.ſKpaßwordAPIkey=:12345678_-АннаЖ\u0301", max_size=60), st.from_regex(r"\+\d{1,3}(?:[ -]?\(?\d{1,4}\)?){1,2}(?:[ -]?\d{2,4}){2,3}", fullmatch=True), st.from_regex(r"(?:password|paſſwd|API[_-]?KEY|toKen)\s?[=:][a-z0-9]{8,12}", fullmatch=True)))
+def test_the_screen_passes_whatever_the_pattern_finds(text):
+    if next(FIND(text), None):
+        assert screen()(text)
+
+
+def test_numbers_that_end_a_text_or_a_sentence_are_found(spark):
+    texts = ["call +123456, please", "call +123456", "+1 212 555 0100!"]
+    assert [r.n_entities for r in pseudonymise(awkward(spark, texts), "k").orderBy("doc_id").collect()] == [1, 1, 1]
+
+
+def test_scripts_keep_their_letters_and_small_spaces_do_not_end_the_job(spark):
+    texts = ["李明@example.com", "王芳@example.com", *(f"{c}@b.com" for c in "abcdefghijklmnopqrstuvwxyz"), "Dr Γιώργος Παπάς", "عمر@example.org", "Ёлка@пример.com", "Mrs Ёлкина"]
+    rows = pseudonymise(awkward(spark, texts), "k").orderBy("doc_id").collect()
+    out = [r.text for r in rows]
+    assert all(r.n_entities == 1 for r in rows[:29]) and len(set(out)) == len(out) and not set(out) & set(texts)
+    assert all(re.fullmatch(r"[\u4e00-\u9fff]{2,}@\w+\.com", x) for x in out[:2])
+    assert re.fullmatch(r"Dr [\u0370-\u03ff]{7,} [\u0370-\u03ff]{5,}", out[28])
+    assert re.fullmatch(r"[\u0600-\u06ff]{3,}@\w+\.org", out[29]) and re.fullmatch(r"Mrs [А-Яа-яё]+", out[31])
+
+
+def test_names_and_numbers_stay_the_same_across_their_forms(spark):
+    texts = ["Mr. Smith met John Smith and Dr John Smith; John Smithson did not.", "+1 (212) 555-0100 is 212-555-0100 is +1 212 555 0100"]
+    a, b = (r.text for r in pseudonymise(awkward(spark, texts), "k").orderBy("doc_id").collect())
+    m = re.fullmatch(r"Mr\. (\w+) met (\w+) (\w+) and Dr (\w+) (\w+); (\w+) (\w+) did not\.", a)
+    assert m and m[1] == m[3] == m[5] != m[7] and m[2] == m[4] == m[6] and m[1] != "Smith" and m[2] != "John"
+    x, y, z = (re.sub(r"\D", "", p)[-10:] for p in b.split(" is "))
+    assert x == y == z != "2125550100"
+
+
+def test_table_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs |= {-1 - i: t for i, t in enumerate(["Mr. Smith met John Smith", "a@b.c a@b.co", "x@b.co y@b.co", "李@b.co", None])}
+    entities = sorted({p for t in docs.values() for _, _, _, parts, _ in mentions(t or "", FIND) for p in parts})
+    attempt = dict.fromkeys(entities, 0)
+    while True:
+        drawn = {e: (e[0], surrogate_of(*e, "k", attempt[e])) for e in entities}
+        taken, again = set(), []
+        for e in entities:
+            if drawn[e] in taken or (e[0] != "given" and drawn[e] in attempt):
+                again.append(e)
+            taken.add(drawn[e])
+        if not again:
+            break
+        for e in again:
+            attempt[e] += 1
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for r in pseudonymise(df, "k").collect():
+        text, at, out = docs[r.doc_id] or "", 0, ""
+        for start, end, kind, parts, value in mentions(text, FIND):
+            out += text[at:start] + dress(kind, value, [drawn[p][1] for p in parts])
+            at = end
+        assert r.text == out + text[at:]
 
 
 def test_canonical_forms():
-    assert canonical_of("phone", "", "+1 (212) 555-0100") == ("phone", "12125550100")
-    assert canonical_of("titled", "Mrs. Mary Smith", "Mary Smith") == canonical_of("named", "Mary Smith", "Mary  Smith") == ("person", "f:mary smith")
+    assert canonical_of("phone", "+1 (212) 555-0100") == canonical_of("phone", "212-555-0100") == ("phone", "2125550100")
+    assert parts_of("titled", "Mrs. Mary Smith", "Mary Smith") == parts_of("named", "Mary Smith", "Mary  Smith") == [("given", "f:mary"), ("surname", "smith")]
+    assert parts_of("titled", "Mr. Smith", "Smith") == [("surname", "smith")]
