@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,10 @@ SLACK = 2
 #: Rows (pieces) that one packing task holds at most.
 MAX_ROWS = 400_000
 
+#: The share of bins left after a round from which on it counts as stalled, and the round from which on all do (round
+#: numbers have eight bits of a sequence's number).
+STALLED, MOST_ROUNDS = 0.95, 150
+
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, room int"
 
 
@@ -57,11 +62,11 @@ def _arrow_schema() -> Any:
     return pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("room", pa.int32())])
 
 
-def _bin_ids(round_no: int, count: int, seen: int) -> Any:
+def _bin_ids(round_no: int, n: int, seen: int) -> Any:
     import numpy as np
     from pyspark import TaskContext
 
-    return (round_no << 57) + (TaskContext.get().partitionId() << 32) + seen + np.arange(count, dtype=np.int64)
+    return (round_no << 55) + (TaskContext.get().partitionId() << 32) + seen + np.arange(n, dtype=np.int64)
 
 
 def _packer(path: str, capacity: int, end_id: int, max_rows: int) -> Any:
@@ -130,9 +135,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
 
     A document is its ids followed by end_id; only one longer than the capacity is cut. Each task packs what it
     reads by best-fit decreasing. Bins with no more than `slack` room are done; the others are items of the next
-    round, in ever fewer groups of at most max_rows rows, until one group is left. If a round of several groups
-    no longer lowers the number of bins by one in a thousand, those bins stay as they are: that happens only
-    when hardly any two of them fit together, and it keeps every task's memory bounded.
+    round, dealt out by a hash to ever fewer groups of about max_rows rows, until one group is left. If a round of
+    several groups no longer lowers the number of bins by one in twenty, hardly any two of them fit together: those
+    more than half full are done then. Any two of the rest do fit, so the rounds after that halve them down to one
+    group, and nothing is ever left out.
 
     Null text is the empty document (one id). Null and repeated ids are packed like others, row by row. An empty
     table gives no rows. Other columns are not read.
@@ -141,19 +147,22 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     path = tokenizer or default_tokenizer()
     current = scratch.write(ids_and_texts(df, id_col, text_col).mapInArrow(_packer(path, capacity, end_id, max_rows), SCHEMA), "round0")
     done = []
-    for round_no in range(1, 60):
+    for round_no in count(1):
         done.append(current.where(F.col("room") <= slack))
-        rest = current.where(F.col("room") > slack)
-        n, bins = rest.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
+        current = current.where(F.col("room") > slack)
+        n, bins = current.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
         if not n:
             break
         groups = -(-n // max_rows)
-        dealt = rest.repartitionById(groups, F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(groups)).cast("int"))
+        dealt = current.repartitionById(groups, F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(groups)).cast("int"))
         current = scratch.write(dealt.mapInArrow(_merger(round_no, capacity), SCHEMA), f"round{round_no}")
-        after = current.agg(F.count_distinct("sequence_id")).first()[0]
-        if groups == 1 or after > 0.999 * bins:
+        if groups == 1:
             done.append(current)
             break
+        after = current.agg(F.count_distinct("sequence_id")).first()[0]
+        if after > STALLED * bins or round_no >= MOST_ROUNDS:
+            done.append(current.where((F.col("room") > slack) & (F.col("room") * 2 < capacity)))
+            current = current.where((F.col("room") <= slack) | (F.col("room") * 2 >= capacity))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -1,9 +1,10 @@
 """Token ids from a public tokenizer file, fast enough for whole corpora.
 
-The vocabulary's pre-tokenizer drops white space and never joins across it, and it parts letters and digits from
+The word vocabulary's pre-tokenizer drops white space and never joins across it, and it parts letters and digits from
 the symbols behind them. So a text's ids are those of its space-separated words in turn, where ASCII punctuation
 at a word's end counts as a word of its own. Each Python worker remembers the ids of words it has met, up to a
-fixed number; words it has not met are encoded together in one call of the library.
+fixed number; words it has not met are encoded together in one call of the library. Whether a file has these
+properties is read from it; texts are given to the library whole where it has not.
 """
 
 from __future__ import annotations
@@ -20,6 +21,23 @@ CACHE_WORDS, CACHE_LENGTH = 600_000, 32
 WORD_END = r"(?<=[^\W_])([!-/:-@\[-`{-~]+)(?= )"
 
 
+#: The steps of a tokenizer file that works word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def works_by_words(path: str) -> bool:
+    """Whether the file's normaliser, pre-tokenizer and model give a text's ids word by word."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    byte_level = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in steps[1:])
+    return spec.get("normalizer") == NORMALIZER and steps[0] == split and byte_level and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
 def default_tokenizer() -> str:
     """The word-level BPE file of the installed public vocabularies."""
     import public_tokenizers
@@ -37,6 +55,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.wordwise = works_by_words(path)
         self.known: dict[str, bytes] = {"": b""}
         self.part = re.compile(WORD_END).sub
         vocabulary = self.tokenizer.get_vocab()
@@ -79,6 +98,8 @@ class ChunkEncoder:
         return fresh
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        if not self.wordwise:
+            return self.whole(texts)
         known = self.known.get
         split = [self.split(t) for t in texts]
         rows = [list(map(known, words)) for words in split]

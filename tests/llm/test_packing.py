@@ -80,3 +80,26 @@ def test_encoder_equals_the_library():
     texts = ["don't they're ΣΑΣ ΣΑΣ, x", "ǅ ﬁ é e ́x", "12 3.4% $5", "a\r\nb\x0bc d", "☃x ☃ ☃", "日本語 text", " lead  and   trail ", "İstanbul İ"]
     for _ in range(2):  # unknown chunks first, remembered ones then
         assert [np.frombuffer(b, dtype="<u4").tolist() for b in made.encode_many(texts)] == [ids_of(t, 0)[:-1] for t in texts]
+
+
+def test_rounds_that_stall_lose_nothing(spark, monkeypatch):
+    """Texts of which no two fit together, and a few small ones; every round counts as stalled."""
+    monkeypatch.setattr("runlens.llm.packing.STALLED", 0.0)
+    texts = ["a " * (9 + i % 3) for i in range(150)] + ["b " * (1 + i % 5) for i in range(60)]
+    bins, least = check(pack(awkward(spark, texts).repartition(6), capacity=16, max_rows=5).collect(), dict(enumerate(texts)), 16)
+    assert bins <= 190
+
+
+def test_other_tokenizer_files_are_encoded_whole(tmp_path):
+    import json
+
+    spec = json.load(open(default_tokenizer()))
+    spec["normalizer"] = None  # does not lower-case any more
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    from tokenizers import Tokenizer
+
+    made, library = ChunkEncoder(str(path)), Tokenizer.from_file(str(path))
+    texts = ["Hello World, x", "don't", ""]
+    assert not made.wordwise and ChunkEncoder(default_tokenizer()).wordwise
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in made.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
