@@ -56,7 +56,7 @@ def pattern() -> Any:
         r"|(?:\b(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_+/.~-]{8,128})"
         r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
         r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
-        r"|(?P<card>(?<![\w.-])[3-6](?:\d{12,18}|\d{3}(?:[ -]\d{4}){3})(?![\w-]))"
+        r"|(?P<card>(?<![\w.-])[2-6](?:\d{12,18}|\d{3}(?:[ -]\d{4}){3})(?![\w-]))"
         r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
         r"|(?P<phone>(?<![\w.])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ -]?\(?\d{1,4}\)?){1,2}(?:[ -]?\d{2,4}){2,3}(?![\w.]))"
         r"|\b(?:" + titles + r")\.?\s(?P<titled>\p{Lu}[\p{Ll}'’]+(?:[ -]\p{Lu}[\p{Ll}'’]+){0,2})"
@@ -70,6 +70,15 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+#: Ranges of the leading digits of payment card numbers, and the lengths in use there.
+CARD_RANGES = [("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)), ("3528", "3589", (16,)), ("6011", "6011", (16,)), ("62", "62", (16, 17, 18, 19)), ("644", "659", (16,))]
+
+
+def is_card_number(digits: str) -> bool:
+    """Whether the leading digits and the length are in use; other numbers with a good check digit are no cards."""
+    return any(low <= digits[: len(low)] <= high and len(digits) in lengths for low, high, lengths in CARD_RANGES)
+
+
 class Stream:
     """Keyed pseudo-random numbers for one entity and attempt."""
 
@@ -178,7 +187,7 @@ def surrogate_of(kind: str, canonical: str, key: str, attempt: int = 0) -> str:
         site = Stream(key, "domain", domain)  # one domain stays one domain
         return f"{draw.longer(local, attempt if len(local) + attempt <= 64 else more)}@{'.'.join([*(site.like(x) for x in labels[:-1]), labels[-1]])}"
     if kind == "card":
-        body = canonical[0] + draw.longer(canonical[1:-1], more)
+        body = canonical[:4] + draw.longer(canonical[4:-1], more)
         return body + luhn_digit(body)
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4 + more))
@@ -241,7 +250,7 @@ def mentions(text: str, find: Callable[[str], Any]) -> Iterator[tuple[int, int,
         value = m.group(kind)
         if kind == "card":
             digits = _digits(value)
-            if luhn_digit(digits[:-1]) != str(int(digits[-1])):
+            if luhn_digit(digits[:-1]) != str(int(digits[-1])) or not is_card_number(digits):
                 continue
         if kind == "iban":
             account = value.replace(" ", "")

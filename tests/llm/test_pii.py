@@ -145,6 +145,12 @@ def test_table_against_brute_force(spark):
         assert r.text == out + text[at:]
 
 
+def test_only_numbers_of_card_ranges_are_cards():
+    for number, card in (("4111111111111111", True), ("378282246310005", True), ("5555555555554444", True), ("3627072101032238", False), ("7536784127813050", False), ("4111111111111112", False)):
+        found = [k for _, _, k, _, _ in mentions(f"no {number} here", FIND)]
+        assert found == (["card"] if card else [])
+
+
 def test_canonical_forms():
     assert canonical_of("phone", "+1 (212) 555-0100") == canonical_of("phone", "212-555-0100") == ("phone", "2125550100")
     assert parts_of("titled", "Mrs. Mary Smith", "Mary Smith") == parts_of("named", "Mary Smith", "Mary  Smith") == [("given", "f:mary"), ("surname", "smith")]
