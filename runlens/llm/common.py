@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -48,8 +49,13 @@ def free_large_caches() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the setting is absent."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/runlens-checkpoints"
+    """The folder named by spark.checkpoint.dir; one of our own only where the setting is absent and all runs in one
+    process, as in tests. On a cluster without the setting this is an error: a machine's folder isn't shared."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file:///tmp/runlens-checkpoints"
     return folder.rstrip("/")
 
 
@@ -124,13 +130,21 @@ def unique_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def drop_rows(docs: DataFrame, id_col: str, removed: DataFrame, removed_col: str = "doc_id", max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The rows of docs whose id is not among the removed ones, with the columns of docs; null ids stay."""
-    mark = unique_name(docs, "removed_id")
-    gone = removed.select(F.col(removed_col).alias(mark)).where(F.col(mark).isNotNull())
+def sign_of(text: Column) -> Column:
+    """The hash that tells texts of one id apart; a null text is the empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def drop_rows(docs: DataFrame, id_col: str, text_col: str, removed: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose id and text are not among removed(doc_id, sign), with the columns of docs.
+
+    Of rows that repeat an id only those with the removed text go; a null id is an id like any other.
+    """
+    own_id, own_sign = unique_name(docs, "removed_id"), unique_name(docs, "removed_sign")
+    gone = removed.select(F.col("doc_id").alias(own_id), F.col("sign").alias(own_sign)).distinct()
     if small_enough(gone, max_broadcast_rows):
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col(mark), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col(own_id)) & (sign_of(docs[text_col]) == F.col(own_sign)), "left_anti")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,25 +1,27 @@
-"""Benchmark decontamination by winnowed word-gram fingerprints, extended to exact word windows."""
+"""Benchmark decontamination: winnowed fingerprints of both sides are joined and their hits extended to word windows."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_rows, ids_and_texts, worker_cache
+from .common import Scratch, bounded_broadcast, drop_rows, ids_and_texts, worker_cache
 
 #: Words in a window, and in one hashed gram. Every window holds WINDOW - GRAM + 1 grams and keeps the smallest
 #: hash, so two texts that share WINDOW words keep the same gram there.
 WINDOW, GRAM = 10, 5
-#: Bytes of benchmark text that one pass holds; more is worked through in blocks.
-BLOCK_BYTES = 16 << 20
+#: Fingerprints of the benchmark (8 bytes each) up to which a sorted array of them goes to every worker; more are
+#: joined with the documents' by a shuffle. Windows and documents with hits up to which their tables are broadcast.
+MAX_SEEDS, MAX_BROADCAST_WINDOWS, MAX_BROADCAST_DOCS = 4_000_000, 500_000, 500_000
 #: Words whose hash a worker remembers.
 CACHE_WORDS = 150_000
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-CARRIED = "doc_id long, text string, hits binary, items array<string>"
+WINDOWS = "item string, size int, fp long, h1 long, h2 long"
+SCANNED = "doc_id long, sign long, n_words long, hits array<struct<start:int,size:int,h1:long,h2:long>>"
 
 
 def word_table() -> bytes:
@@ -77,132 +79,168 @@ def window_minima(grams: Any, width: int) -> Any:
     return out
 
 
-class Fingerprints:
-    """The windows of a block of benchmark items: exact word strings, and the winnowed hashes that lead to them."""
+def marks_of(hashes: Any, size: int, window: int, gram: int) -> Any:
+    """For each start of `size` words the hash that stands for it: winnowed, or of a shorter item all of it."""
+    if size < window:
+        return gram_hashes(hashes, size)
+    return window_minima(gram_hashes(hashes, gram), window - gram + 1)
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, gram: int = GRAM):
+
+def _window_hash(words: list[bytes], at: int, size: int) -> tuple[int, int]:
+    import xxhash
+
+    h = xxhash.xxh3_128_digest(b" ".join(words[at : at + size]))
+    return int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
+
+
+def _item_windows(window: int, gram: int) -> Any:
+    """The windows of benchmark items: size, winnowed fingerprint and 128-bit hash of the words."""
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
+        import pyarrow as pa
 
-        self.window, self.gram, table = window, gram, word_table()
-        self.exact: dict[int, dict[bytes, set[str]]] = {}
-        hashes: dict[int, list[Any]] = {}
-        for item, raw in items:
-            words = raw.translate(table).split()
-            size = min(window, len(words))
-            if not size:
-                continue
-            exact = self.exact.setdefault(size, {})
-            for i in range(len(words) - size + 1):
-                exact.setdefault(b" ".join(words[i : i + size]), set()).add(item)
-            hashes.setdefault(size, []).append(self.marks(_hashes(words), size))
-        self.seeds = {size: np.unique(np.concatenate(h)) for size, h in hashes.items()}
-
-    def marks(self, hashes: Any, size: int) -> Any:
-        """For each start of `size` words the hash that stands for it."""
-        if size < self.window:
-            return gram_hashes(hashes, size)
-        return window_minima(gram_hashes(hashes, self.gram), self.window - self.gram + 1)
-
-    def match(self, words: list[bytes], hits: Any, items: set[str]) -> None:
-        """Set hits for the words inside any occurring window and add the items that have one."""
+        table = word_table()
+        for batch in source:
+            for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = raw.translate(table).split()
+                size = min(window, len(words))
+                if size:
+                    prints = np.ascontiguousarray(marks_of(_hashes(words), size, window, gram)).view(np.int64)
+                    exact = [_window_hash(words, i, size) for i in range(len(prints))]
+                    columns = [pa.array([item] * len(prints)), pa.array([size] * len(prints), type=pa.int32()), pa.array(prints), *(pa.array([h[k] for h in exact], type=pa.int64()) for k in range(2))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "size", "fp", "h1", "h2"])
+
+    return run
+
+
+def _scan(sizes: list[int], seeds: Any, window: int, gram: int) -> Any:
+    """Words of each document, and the hashes of its windows whose fingerprint is a seed: seeds of all documents, or
+    where that is None the document's own in a fourth column."""
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
+        import pyarrow as pa
 
-        hashes = _hashes(words)
-        for size, seeds in self.seeds.items():
-            marks = self.marks(hashes, size)
-            if not len(marks):
-                continue
-            runs = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
-            values = marks[runs]
-            at = np.searchsorted(seeds, values)
-            at[at == len(seeds)] = 0
-            found = seeds[at] == values
-            if not found.any():
+        table, common = word_table(), None if seeds is None else seeds.value
+        kind = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+        for batch in source:
+            if not batch.num_rows:
                 continue
-            ends = np.r_[runs[1:], len(marks)]
-            exact = self.exact[size]
-            for start, end in zip(runs[found].tolist(), ends[found].tolist(), strict=True):
-                for i in range(start, end):
-                    owners = exact.get(b" ".join(words[i : i + size]))
-                    if owners:
-                        hits[i : i + size] = True
-                        items |= owners
+            own = batch.column(3).to_pylist() if common is None else None
+            counts, offsets, found = [], [0], [[], [], [], []]
+            for i, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                words = raw.translate(table).split()
+                counts.append(len(words))
+                mine = common if own is None else {z: np.sort(np.array([m["fp"] for m in own[i] or () if m["size"] == z], dtype=np.int64).view(np.uint64)) for z in sizes}
+                hashes = _hashes(words) if own is None or own[i] else None
+                for size in sizes if hashes is not None else ():
+                    known = mine[size]
+                    marks = marks_of(hashes, size, window, gram)
+                    if not len(marks) or not len(known):
+                        continue
+                    runs = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
+                    values, ends = marks[runs], np.r_[runs[1:], len(marks)]
+                    hit = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+                    for start, end in zip(runs[hit].tolist(), ends[hit].tolist(), strict=True):
+                        for at in range(start, end):
+                            for c, v in zip(found, (at, size, *_window_hash(words, at, size)), strict=True):
+                                c.append(v)
+                offsets.append(len(found[0]))
+            hits = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(found, kind, strict=True)], fields=list(kind)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, type=pa.int64()), hits], names=["doc_id", "sign", "n_words", "hits"])
+
+    return run
 
 
-def _scan(prints: Any, last: bool, first: bool) -> Any:
-    """One pass of one block over documents; the last one reports, the others carry text and hits on."""
+def _doc_prints(sizes: list[int], window: int, gram: int) -> Any:
+    """The different winnowed fingerprints of each document."""
 
     def run(source: Iterator[Any]) -> Iterator[Any]:
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
-        table, block = word_table(), prints.value
+        table = word_table()
         for batch in source:
-            keys, raws = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            before = None if first else (batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            out: list[list[Any]] = [[] for _ in range(6)]
-            for i, (key, raw) in enumerate(zip(keys, raws, strict=True)):
-                words = raw.translate(table).split()
-                hits = np.zeros(len(words), dtype=bool)
-                items: set[str] = set()
-                if before:
-                    hits |= np.unpackbits(np.frombuffer(before[0][i], dtype=np.uint8), count=len(words)).astype(bool)
-                    items |= set(before[1][i])
-                block.match(words, hits, items)
-                if last:
-                    n = int(hits.sum())
-                    row = (key, len(words), n, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n > 0)
-                else:
-                    row = (key, raw.decode(), np.packbits(hits).tobytes(), sorted(items))
-                for c, v in zip(out, row, strict=False):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] if last else [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string())]
-            names = [c.split()[0] for c in (RESULT if last else CARRIED).split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=False)], names=names)
+            for doc_id, raw, sign in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                hashes = _hashes(raw.translate(table).split())
+                for size in sizes:
+                    prints = np.unique(marks_of(hashes, size, window, gram)).view(np.int64)
+                    if len(prints):
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(prints), type=pa.int64()), pa.array([sign] * len(prints), type=pa.int64()), pa.array([size] * len(prints), type=pa.int32()), pa.array(prints)], names=["doc_id", "sign", "size", "fp"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, gram: int, max_seeds: int) -> DataFrame:
+    """contamination, with the text's sign."""
+    import numpy as np
+
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "decontamination")
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("raw")).where("raw IS NOT NULL")
+    windows = scratch.write(items.mapInArrow(_item_windows(window, gram), WINDOWS).distinct(), "windows")
+    prints = scratch.write(windows.select("size", "fp").distinct(), "prints")
+    sizes = sorted(r.size for r in prints.select("size").distinct().collect())
+    rows = ids_and_texts(docs, id_col, text_col).withColumn("sign", F.xxhash64("text"))
+
+    if prints.count() <= max_seeds:
+        found = prints.toArrow()
+        fp, size = found["fp"].to_numpy().view(np.uint64), found["size"].to_numpy()
+        seeds = spark.sparkContext.broadcast({z: np.sort(fp[size == z]) for z in sizes})
+    else:
+        seeds = None
+        own = rows.mapInArrow(_doc_prints(sizes, window, gram), "doc_id long, sign long, size int, fp long")
+        joined = scratch.write(own.join(prints, ["size", "fp"], "left_semi"), "joined")
+        marks = scratch.write(joined.groupBy(F.col("doc_id").alias("own_id"), F.col("sign").alias("own_sign")).agg(F.collect_set(F.struct("size", "fp")).alias("marks")), "marks")
+        same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("sign") == F.col("own_sign"))
+        rows = rows.join(bounded_broadcast(marks, MAX_BROADCAST_DOCS), same, "left").select("doc_id", "text", "sign", "marks")
+    scanned = scratch.write(rows.mapInArrow(_scan(sizes, seeds, window, gram), SCANNED), "scanned")
+
+    exact = ["size", "h1", "h2"]
+    hits = scanned.where(F.size("hits") > 0).dropDuplicates(["doc_id", "sign"]).select("doc_id", "sign", F.inline("hits"))
+    wanted = scratch.write(windows.select(*exact).distinct(), "wanted")
+    matched = scratch.write(hits.join(bounded_broadcast(wanted, MAX_BROADCAST_WINDOWS), exact, "left_semi"), "matched")
+    # of windows sorted by their start, each adds the words that lie behind the last one's end
+    step = lambda a, w: F.struct((a["n"] + F.greatest(w["end"] - F.greatest(w["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], w["end"]).alias("end"))
+    spans = F.array_sort(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("size")).alias("end"))))
+    cover = matched.groupBy("doc_id", "sign").agg(spans.alias("spans"))
+    cover = cover.select("doc_id", "sign", F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"].cast("long").alias("n_hit"))
+    owners = matched.select("doc_id", "sign", *exact).distinct().join(windows.select(*exact, "item").distinct(), exact).select("doc_id", "sign", "item").distinct()
+    owners = owners.groupBy("doc_id", "sign").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    both = cover.join(owners, cover["doc_id"].eqNullSafe(owners["doc_id"]) & (cover["sign"] == owners["sign"])).select(cover["doc_id"].alias("hit_id"), cover["sign"].alias("hit_sign"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    both = scratch.write(both, "verdicts")
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sign") == F.col("hit_sign"))
+    joined = scanned.drop("hits").join(bounded_broadcast(both, MAX_BROADCAST_DOCS), same, "left")
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return joined.select("doc_id", "sign", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. A window is `window` consecutive
-    words of a benchmark item, or all of an item with fewer. The winnowed fingerprints of both sides are joined
-    and each hit is extended to whole windows, whose words are compared, so hash collisions never count.
+    words of a benchmark item, or all of an item with fewer. The winnowed fingerprints of both sides are joined, so
+    that no shared window is missed; each hit is extended to the windows around it, whose words are compared by
+    128-bit hashes in a second join.
 
-    The benchmark is the query set: its windows go to every task, in blocks of at most block_bytes of text, one
-    block after another over all documents; the documents are neither shuffled nor grouped.
+    Up to max_seeds fingerprints, the benchmark's side of the first join is a sorted array in every worker and the
+    documents are read once, without a shuffle. Beyond, the documents' fingerprints are shuffled to it, and texts are
+    read again. Only windows with a hit and the counts of words are written, never the texts; the second join, by
+    which windows find their items, is of those windows alone.
 
     Null or empty documents have no words; null or empty items have no windows. A null item_id matches like any
-    other and is written as "null". Repeated rows give repeated results. Empty tables are allowed on either side.
-    Columns other than the named ones are not read.
+    other and is written as "null". Null ids are ids like others, and rows that repeat an id are judged by their own
+    text each; repeated rows give repeated results. Empty tables are allowed on either side. Columns other than the
+    named ones are not read.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("raw")).where("raw IS NOT NULL")
-    total = items.agg(F.sum(F.length("raw"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    current = ids_and_texts(docs, id_col, text_col)
-    scratch = Scratch(spark, "decontamination")
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "raw"), F.lit(blocks)) == b)
-        prints = spark.sparkContext.broadcast(Fingerprints([(r.item, bytes(r.raw)) for r in part.collect()], window, gram))
-        last = b == blocks - 1
-        current = current.mapInArrow(_scan(prints, last, b == 0), RESULT if last else CARRIED)
-        if not last:
-            current = scratch.write(current, f"block{b}")
-            prints.unpersist()
-            if b:
-                scratch.drop(f"block{b - 1}")
-    return current
+    return _contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, window, gram, max_seeds).drop("sign")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without a hit, with the columns of docs; rows with a null id stay."""
-    found = contamination(docs, benchmark, id_col, text_col)
-    gone = Scratch(docs.sparkSession, "contaminated").write(found.where("contaminated").select("doc_id").distinct(), "removed")
-    return drop_rows(docs, id_col, gone)
+    """The rows of docs without a hit, with the columns of docs. Nulls, repeats and empty tables as in contamination."""
+    found = _contamination(docs, benchmark, id_col, text_col, "item_id", "text", WINDOW, GRAM, MAX_SEEDS)
+    gone = Scratch(docs.sparkSession, "contaminated").write(found.where("contaminated").select("doc_id", "sign"), "removed")
+    return drop_rows(docs, id_col, text_col, gone)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -54,20 +55,20 @@ def pairs_out(a: Any, b: Any, first: str, second: str) -> Iterator[Any]:
         yield pa.RecordBatch.from_arrays([pa.array(a[at : at + BATCH_ROWS]), pa.array(b[at : at + BATCH_ROWS])], names=[first, second])
 
 
-def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60, max_local_links: int = MAX_LOCAL_LINKS) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, max_local_links: int = MAX_LOCAL_LINKS) -> DataFrame:
     """(node, root) for every node of links(a long, b long) other than roots: root is the smallest node it can reach.
 
     While there are more than max_local_links links, each round hooks the larger neighbours of a node to its
     smallest neighbour, then the smaller ones likewise; every such round lowers the number of links towards one per
     node, and their number grows with the logarithm of the longest chain. Links are written between the rounds, and
     so is each table of smallest neighbours, so that a join with a very common node has two shuffled inputs that
-    can be split. As soon as the counted links are few enough, one task finishes them. Null ends and self-links are
-    ignored.
+    can be split. As soon as the counted links are few enough, one task finishes them. Rounds go on until nothing
+    changes. Null ends and self-links are ignored.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to"))
     edges = scratch.write(edges, "edges0")
     state = _state(edges)
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         if state[0] <= max_local_links:
             return scratch.write(edges.repartition(1).mapInArrow(_whole_forest, "node long, root long"), "roots") if state[0] else edges.select("node", F.col("to").alias("root"))
         both = edges.unionByName(edges.select(F.col("to").alias("node"), F.col("node").alias("to")))
@@ -80,8 +81,7 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60, max_loc
         scratch.drop(f"edges{i - 1}", f"least{i}", f"down{i}", f"roots{i}")
         edges, before, state = after, state, _state(after)
         if state == before:
-            break
-    return edges.select("node", F.col("to").alias("root"))
+            return edges.select("node", F.col("to").alias("root"))
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

@@ -9,15 +9,18 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_rows, free_large_caches, ids_and_texts
+from .common import Scratch, bounded_broadcast, drop_rows, free_large_caches, ids_and_texts
 from .graph import components, forest, pairs_out
 
 #: Comparisons made at a time, and found pairs kept before they are reduced to a forest.
 BLOCK_PAIRS, KEPT_PAIRS = 1_000_000, 300_000
-#: Rows of a tile of wide fingerprints, and comparisons that one task makes.
-TILE_ROWS, TASK_COMPARISONS = 8192, 20_000_000
+#: Rows of a tile of wide fingerprints, and comparisons and pairs of tiles that one task makes.
+TILE_ROWS, TASK_COMPARISONS, TASK_TILE_PAIRS = 8192, 20_000_000, 256
 #: Shingles of the texts that are verified against each other at a time; larger groups are cut into blocks.
 BLOCK_SHINGLES = 2_000_000
+#: Smallest hashes of a set by which texts meet, texts of a band beyond which its hash says nothing, and the bands with
+#: fewer texts that a text must have to do without tiles. Bands up to whose number their table is broadcast.
+SKETCH, COMMON, NEEDED, MAX_BROADCAST_BANDS = 16, 1000, 12, 200_000
 
 
 def shingle_hashes(raw: bytes, shingle: int, distinct: bool) -> Any:
@@ -75,33 +78,40 @@ def _bits(h: Any, words64: int) -> Any:
     return out
 
 
-def _fingerprints(shingle: int, words64: int, distinct: bool) -> Any:
+def _fingerprints(shingle: int, words64: int, distinct: bool, sketch: int) -> Any:
     def run(source: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
         import pyarrow as pa
 
         free_large_caches()
-        names = ["doc_id", "shingles", *(["key"] if distinct else []), *(f"f{w}" for w in range(words64))]
-        schema = pa.schema([(n, pa.int64()) for n in names])
+        names = ["doc_id", "shingles", *(["sign", "key", "low"] if distinct else []), *(f"f{w}" for w in range(words64))]
+        schema = pa.schema([(n, pa.list_(pa.int64()) if n == "low" else pa.int64()) for n in names])
         for batch in source:
             if not batch.num_rows:
                 continue
-            counts, keys, found = [], [], []
+            counts, keys, lows, found = [], [], [], []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
                 h = shingle_hashes(raw, shingle, distinct)
                 counts.append(len(h))
-                keys.append(set_key(h))
                 found.append(_bits(h, words64))
+                if distinct:
+                    keys.append(set_key(h))
+                    lows.append(h[:sketch].view(np.int64))
             bits = np.stack(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.int64()) for c in ([counts, keys] if distinct else [counts])), *(pa.array(bits[:, w]) for w in range(words64))], schema=schema)
+            own = [batch.column(2), pa.array(keys, type=pa.int64()), pa.array(lows, type=pa.list_(pa.int64()))] if distinct else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, type=pa.int64()), *own, *(pa.array(bits[:, w]) for w in range(words64))], schema=schema)
 
     return run
 
 
-def _fingerprint_table(df: DataFrame, id_col: str, text_col: str, scratch: Scratch, shingle: int, words64: int, distinct: bool) -> DataFrame:
-    """doc_id, shingles, the words f0.. of the fingerprint, and of distinct shingles the key of their set."""
-    schema = f"doc_id long, shingles long, {'key long, ' if distinct else ''}" + ", ".join(f"f{w} long" for w in range(words64))
-    return scratch.write(ids_and_texts(df, id_col, text_col).mapInArrow(_fingerprints(shingle, words64, distinct), schema), "fingerprints")
+def _fingerprint_table(df: DataFrame, id_col: str, text_col: str, scratch: Scratch, shingle: int, words64: int, distinct: bool, sketch: int = 0) -> DataFrame:
+    """doc_id, shingles, the words f0.. of the fingerprint; of distinct shingles also the text's sign, the key of
+    their set and its `sketch` smallest hashes, low."""
+    rows = ids_and_texts(df, id_col, text_col)
+    if distinct:
+        rows = rows.withColumn("sign", F.xxhash64("text"))
+    schema = f"doc_id long, shingles long, {'sign long, key long, low array<long>, ' if distinct else ''}" + ", ".join(f"f{w} long" for w in range(words64))
+    return scratch.write(rows.mapInArrow(_fingerprints(shingle, words64, distinct, sketch), schema), "fingerprints")
 
 
 class _Links:
@@ -244,14 +254,14 @@ def _tile(words64: int, rows: int) -> Any:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("uid", pa.int64()), *((c, pa.int64()) for c in ("lo", "hi", "lo_bits", "hi_bits", "n")), ("data", pa.binary())])
+        schema = pa.schema([("tile", pa.int64()), *((c, pa.int64()) for c in ("lo", "hi", "lo_bits", "hi_bits", "n")), ("data", pa.binary())])
         base, made, held = TaskContext.get().partitionId() << 32, 0, []
 
         def cut(table: Any) -> Any:
             nonlocal made
             made += 1
             bits = np.bitwise_count(table[:, 2:].view(np.uint64)).sum(axis=1, dtype=np.int64)
-            row = {"uid": base + made, "lo": int(table[0, 1]), "hi": int(table[-1, 1]), "lo_bits": int(bits.min()), "hi_bits": int(bits.max()), "n": len(table), "data": table.tobytes()}
+            row = {"tile": base + made, "lo": int(table[0, 1]), "hi": int(table[-1, 1]), "lo_bits": int(bits.min()), "hi_bits": int(bits.max()), "n": len(table), "data": table.tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in source:
@@ -268,6 +278,15 @@ def _tile(words64: int, rows: int) -> Any:
     return run
 
 
+def _sizes_fit(a: Any, b: Any, ratio: float) -> Any:
+    """Whether different sets of these sizes can have the similarity."""
+    import numpy as np
+
+    low = np.minimum(a, b)
+    shared = low - (a == b)  # at most
+    return (shared > 0) & (shared / np.maximum(a + b - shared, 1) >= ratio)
+
+
 def _compare_tiles(words64: int, radius: int, ratio: float) -> Any:
     """Pairs of tiles: rows within the radius whose shingle counts allow the similarity of different sets."""
 
@@ -292,10 +311,7 @@ def _compare_tiles(words64: int, radius: int, ratio: float) -> Any:
                     near += np.bitwise_count(lp[w, at : at + step, None] ^ rp[w, None, lo:hi])
                 i, j = np.nonzero(near <= radius)
                 i, j = i + at, j + lo
-                a, b = left[i, 1], right[j, 1]
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                shared = low - (low == high)  # at most, of different sets
-                fits = (shared > 0) & (shared / np.maximum(a + b - shared, 1) >= ratio)
+                fits = _sizes_fit(left[i, 1], right[j, 1], ratio)
                 if same:
                     fits &= i < j
                 if fits.any():
@@ -325,8 +341,8 @@ class _Group:
         self.sides: list[bool] = []
         self.sets: list[Any] = []
 
-    def add(self, doc_id: int, side: bool, hashes: Any) -> None:
-        self.ids.append(doc_id)
+    def add(self, uid: int, side: bool, hashes: Any) -> None:
+        self.ids.append(uid)
         self.sides.append(side)
         self.sets.append(hashes)
 
@@ -380,16 +396,16 @@ def _verify(shingle: int, similarity: float) -> Any:
 
         for batch in source:
             rest = [batch.column(i).to_pylist() for i in range(6)]
-            for *at, block, doc_id, key, raw in zip(*rest, batch.column(6).cast(pa.binary()).to_pylist(), strict=True):
+            for *at, block, uid, key, raw in zip(*rest, batch.column(6).cast(pa.binary()).to_pylist(), strict=True):
                 if at != now:
                     close()
                     now, group, seen = at, _Group(similarity), set()
-                if (doc_id, key) in seen:
+                if uid in seen:
                     continue
                 hashes = shingle_hashes(raw, shingle, True)
                 if set_key(hashes) == key:  # an id may be repeated with another text
-                    seen.add((doc_id, key))
-                    group.add(doc_id, block != at[1], hashes)
+                    seen.add(uid)
+                    group.add(uid, block != at[1], hashes)
         close()
         yield from links.out()
 
@@ -404,20 +420,115 @@ def _verified(df: DataFrame, id_col: str, text_col: str, reps: DataFrame, candid
     """
     roots = components(candidates, scratch)
     nodes = scratch.write(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
-    running = F.sum("shingles").over(Window.partitionBy("root").orderBy("shingles", "rep", "key").rowsBetween(Window.unboundedPreceding, -1))
-    members = reps.join(nodes, F.col("rep") == F.col("node")).select("root", "rep", "key", "shingles")
+    running = F.sum("shingles").over(Window.partitionBy("root").orderBy("shingles", "uid").rowsBetween(Window.unboundedPreceding, -1))
+    members = reps.join(nodes, F.col("uid") == F.col("node")).select("root", "uid", "rep", "key", "shingles")
     members = scratch.write(members.withColumn("block", F.floor(F.coalesce(running, F.lit(0)) / block_shingles)), "members")
     ranges = members.groupBy("root", "block").agg(F.min("shingles").alias("lo"), F.max("shingles").alias("hi"))
     left, right = ranges.select("root", F.col("block").alias("i"), "hi"), ranges.select("root", F.col("block").alias("j"), "lo")
     pairs = left.join(right, "root").where((F.col("i") <= F.col("j")) & (F.col("lo") * similarity <= F.col("hi"))).select("root", "i", "j")
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    dealt = members.join(sides, ["root", "block"]).select("root", "i", "j", "block", "rep", "key")
-    rows = dealt.join(ids_and_texts(df, id_col, text_col), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "block", "rep", "key", "text")
+    dealt = members.join(sides, ["root", "block"]).select("root", "i", "j", "block", "uid", "rep", "key")
+    rows = dealt.join(ids_and_texts(df, id_col, text_col), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "block", "uid", "key", "text")
     ready = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     return scratch.write(ready.mapInArrow(_verify(shingle, similarity), "a long, b long"), "verified")
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, tile_rows: int = TILE_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _compare_bands(words64: int, radius: int, ratio: float) -> Any:
+    """Rows sorted by band: every row against the earlier ones of its band, as _compare_tiles decides."""
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+
+        links, held = _Links(), None
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            table = np.column_stack([c.to_numpy() for c in batch.columns])  # band, uid, shingles, f0..
+            old = 0
+            if held is not None and held[0, 0] == table[0, 0]:
+                old, table = len(held), np.concatenate([held, table])
+            n = len(table)
+            starts = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0]])
+            against = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+            first = np.arange(n) - against
+            against[:old] = 0
+            prints, ends, at = np.ascontiguousarray(table[:, 3:].T).view(np.uint64), np.cumsum(against), 0
+            while at < n:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_PAIRS, side="right")))
+                c = against[at:stop]
+                total = int(c.sum())
+                if total:
+                    row = np.repeat(np.arange(at, stop), c)
+                    other = first[row] + np.arange(total) - np.repeat(np.cumsum(c) - c, c)
+                    fits = _sizes_fit(table[row, 2], table[other, 2], ratio)
+                    row, other = row[fits], other[fits]
+                    far = np.zeros(len(row), dtype=np.uint16)
+                    for w in range(words64):
+                        far += np.bitwise_count(prints[w, row] ^ prints[w, other])
+                    near = far <= radius
+                    if near.any():
+                        links.add(table[row[near], 1], table[other[near], 1])
+                at = stop
+            held = table[starts[-1] :]
+        yield from links.out()
+
+    return run
+
+
+def _banded(reps: DataFrame, scratch: Scratch, words64: int, radius: int, similarity: float, sketch: int, needed: int, common: int) -> tuple[DataFrame, DataFrame]:
+    """(links inside bands; the reps that have to be compared by tiles as well)."""
+    names = [f"f{w}" for w in range(words64)]
+    keys = reps.select("uid", F.explode("low").alias("band"))
+    bands = scratch.write(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    shared = scratch.write(keys.join(bounded_broadcast(bands, MAX_BROADCAST_BANDS), "band"), "shared")
+    often = shared.where(F.col("n") > common).groupBy("uid").agg(F.count(F.lit(1)).alias("often"))
+    often = scratch.write(often, "often")
+    poor = scratch.write(reps.join(often, "uid").where(F.size("low") - F.col("often") < needed).drop("often"), "poor")
+    inside = shared.where(F.col("n") <= common).select("uid", "band").join(reps.select("uid", "shingles", *names), "uid").select("band", "uid", "shingles", *names)
+    dealt = inside.repartition("band").sortWithinPartitions("band")
+    return scratch.write(dealt.mapInArrow(_compare_bands(words64, radius, similarity), "a long, b long"), "band-links"), poor
+
+
+def _tiled(rows: DataFrame, scratch: Scratch, words64: int, radius: int, similarity: float, tile_rows: int) -> DataFrame:
+    """Links among rows by tiles: sorted by their counts of shingles and cut; tiles whose ranges of shingle counts and
+    of population counts can hold partners meet. Which tiles meet is an equality join on steps of the size."""
+    names = [f"f{w}" for w in range(words64)]
+    ordered = rows.select("uid", "shingles", *names).repartitionByRange("shingles", "f0").sortWithinPartitions("shingles", "f0")
+    tiles = scratch.write(ordered.mapInArrow(_tile(words64, tile_rows), "tile long, lo long, hi long, lo_bits long, hi_bits long, n long, data binary"), "tiles")
+    step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / math.log(1 / similarity))
+    meta = tiles.drop("data")
+    mine = meta.select(*(F.col(c).alias(f"a_{c}") for c in meta.columns), F.explode(F.sequence(step("lo") - 1, step("hi") + 2)).alias("step"))
+    theirs = meta.select(*(F.col(c).alias(f"b_{c}") for c in meta.columns), step("lo").alias("step"))
+    ordered_pair = (F.col("a_lo") < F.col("b_lo")) | ((F.col("a_lo") == F.col("b_lo")) & (F.col("a_tile") <= F.col("b_tile")))
+    can = (F.col("b_lo") * similarity <= F.col("a_hi")) & (F.col("a_lo_bits") - F.col("b_hi_bits") <= radius) & (F.col("b_lo_bits") - F.col("a_hi_bits") <= radius)
+    pairs = scratch.write(mine.join(theirs, "step").where(ordered_pair & can).select("a_tile", "b_tile", (F.col("a_n") * F.col("b_n")).alias("work")), "pairs")
+    work, n = pairs.agg(F.sum("work"), F.count(F.lit(1))).first()
+    both = pairs.join(tiles.select(F.col("tile").alias("a_tile"), F.col("data").alias("mine")), "a_tile").join(tiles.select(F.col("tile").alias("b_tile"), F.col("data").alias("theirs")), "b_tile")
+    dealt = both.select("mine", "theirs", (F.col("a_tile") == F.col("b_tile")).alias("same")).repartition(max(1, min(n, (work or 0) // TASK_COMPARISONS + n // TASK_TILE_PAIRS + 1, 200_000)))
+    return scratch.write(dealt.mapInArrow(_compare_tiles(words64, radius, similarity), "a long, b long"), "links")
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words64: int, tile_rows: int, block_shingles: int, sketch: int, needed: int, common: int) -> DataFrame:
+    """doc_id, sign, component_id of similar_components."""
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "similar")
+    radius = candidate_radius(64 * words64, similarity)
+    prints = _fingerprint_table(df, id_col, text_col, scratch, shingle, words64, True, sketch)
+    names = [f"f{w}" for w in range(words64)]
+    same = ["shingles", "key", "low"]
+    reps = scratch.write(prints.groupBy(*same, *names).agg(F.min("doc_id").alias("rep")).withColumn("uid", F.xxhash64(*same)), "reps")
+    known = reps.where("rep IS NOT NULL AND shingles > 0")
+    links, poor = _banded(known, scratch, words64, radius, similarity, sketch, needed, common)
+    if not poor.isEmpty():
+        links = links.unionByName(_tiled(poor, scratch, words64, radius, similarity, tile_rows))
+    links = _verified(df, id_col, text_col, known, links, scratch, shingle, similarity, block_shingles)
+    roots = components(links, Scratch(spark, "similar-verified"))
+    rooted = scratch.write(reps.join(roots, F.col("uid") == F.col("node"), "left").select(*same, "rep", F.coalesce("root", "uid").alias("root")), "rooted")
+    first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = scratch.write(rooted.join(scratch.write(first, "first"), "root").select(*same, "component_id"), "named")
+    return prints.join(named, same).select("doc_id", "sign", "component_id")
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, tile_rows: int = TILE_ROWS, block_shingles: int = BLOCK_SHINGLES, sketch: int = SKETCH, needed: int = NEEDED, common: int = COMMON) -> DataFrame:
     """One row per input row: doc_id, component_id, for near copies by word shingles.
 
     Two texts link if the Jaccard similarity of their sets of distinct shingles is `similarity` or more. Equal sets
@@ -427,49 +538,31 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chance of about one in ten million at worst, which is for texts of four against five shingles. Candidates link
     only after their sets are compared, as 64-bit hashes of the shingles.
 
-    Different sets are sorted by their counts of shingles and cut into tiles; a tile meets the tiles whose
-    ranges of shingle counts and population counts can hold partners, and compares every pair there by
-    exclusive-or and bit counts. The driver sees one row per tile, with those ranges only. What the candidates
-    connect is then verified in groups, large ones in pairs of blocks. Nulls, empty texts and tables, repeated rows
-    and other columns as in simhash_components.
+    Which fingerprints meet: a text lies in one band for each of the `sketch` smallest hashes of its set, and in a
+    band every pair is compared by exclusive-or and bit counts. Each of the smallest hashes of a pair at 0.8 is
+    shared with a chance of 0.8, so that a pair without a common band has one of 0.2 ** 16. Bands of more than
+    `common` texts (shingles of licenses and the like) are not compared. A text left with fewer than `needed` other
+    bands is compared by tiles with all texts of its kind instead: these are sorted by their counts of shingles and
+    cut into tiles; a tile meets the tiles whose ranges of shingle counts and population counts can hold partners,
+    and compares every pair there. So the work follows the number of texts, except among texts that consist of very
+    common shingles, where it follows the square. What the candidates connect is then verified in groups, large
+    ones in pairs of blocks. Rows that repeat an id have the component of their own text. Sets that only null ids
+    have are components of their own (null). Nulls, empty texts and tables and other columns as in
+    simhash_components.
     """
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "similar")
-    radius = candidate_radius(64 * words64, similarity)
-    prints = _fingerprint_table(df, id_col, text_col, scratch, shingle, words64, True)
-    names = [f"f{w}" for w in range(words64)]
-    reps = scratch.write(prints.groupBy("shingles", "key", *names).agg(F.min("doc_id").alias("rep")), "reps")
-    ordered = reps.where("rep IS NOT NULL").select("rep", "shingles", *names).repartitionByRange("shingles", "f0").sortWithinPartitions("shingles", "f0")
-    tiles = scratch.write(ordered.mapInArrow(_tile(words64, tile_rows), "uid long, lo long, hi long, lo_bits long, hi_bits long, n long, data binary"), "tiles")
-    meta = sorted(tiles.select("lo", "hi", "uid", "n").collect())
-    last, reach, work, ahead = 0, [], 0, 0
-    for i, (_, hi, uid, n) in enumerate(meta):
-        if last <= i:
-            last, ahead = i, n
-        while last + 1 < len(meta) and meta[last + 1][0] * similarity <= hi:
-            last += 1
-            ahead += meta[last][3]
-        reach.append((uid, i, last))
-        work += n * ahead  # comparisons of this tile with the rows from here to the last one in reach
-        ahead -= n
-    placed = tiles.join(F.broadcast(spark.createDataFrame(reach, "uid long, i long, last long")), "uid")
-    mine = placed.select("i", F.explode(F.sequence("i", "last")).alias("j"), F.col("lo_bits").alias("a_lo"), F.col("hi_bits").alias("a_hi"), F.col("data").alias("mine"))
-    theirs = placed.select(F.col("i").alias("j"), F.col("lo_bits").alias("b_lo"), F.col("hi_bits").alias("b_hi"), F.col("data").alias("theirs"))
-    meet = mine.join(theirs, "j").where((F.col("a_lo") - F.col("b_hi") <= radius) & (F.col("b_lo") - F.col("a_hi") <= radius))
-    pairs = sum(last - i + 1 for _, i, last in reach)
-    dealt = meet.select("mine", "theirs", (F.col("i") == F.col("j")).alias("same")).repartition(max(1, min(pairs, work // TASK_COMPARISONS + 1, 200_000)))
-    candidates = scratch.write(dealt.mapInArrow(_compare_tiles(words64, radius, similarity), "a long, b long"), "links")
-    links = _verified(df, id_col, text_col, reps.where("rep IS NOT NULL"), candidates, scratch, shingle, similarity, block_shingles)
-    roots = components(links, Scratch(spark, "similar-verified"))
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("shingles", "key", F.coalesce("root", "rep").alias("component_id"))
-    named = scratch.write(named, "named")
-    return prints.join(named, ["shingles", "key"]).select("doc_id", "component_id")
+    return _similar(df, id_col, text_col, shingle, similarity, words64, tile_rows, block_shingles, sketch, needed, common).drop("sign")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that have the smallest id of their near-copy group, with the columns of docs; null ids stay."""
-    found = similar_components(docs, id_col, text_col)
-    gone = Scratch(docs.sparkSession, "similar-gone").write(found.where("doc_id <> component_id").select("doc_id"), "removed")
-    return drop_rows(docs, id_col, gone)
+    """The rows of docs that have the smallest id of their near-copy group, with the columns of docs.
+
+    Rows that repeat an id are judged by their own text each. A row with a null id goes if a row with an id has the
+    same shingles; sets that only null ids have are not compared and stay. Null and empty texts are one group. An
+    empty table gives an empty one.
+    """
+    found = _similar(docs, id_col, text_col, 5, 0.8, 4, TILE_ROWS, BLOCK_SHINGLES, SKETCH, NEEDED, COMMON)
+    copies = found.where("component_id IS NOT NULL").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "sign")
+    return drop_rows(docs, id_col, text_col, Scratch(docs.sparkSession, "similar-gone").write(copies, "removed"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from runlens.llm.decontamination import contamination
+from runlens.llm.decontamination import contamination, drop_contaminated
 
 from .helpers import SF, awkward, empty
 
@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(dict(enumerate(texts)), items)
     assert rows(contamination(awkward(spark, texts), bench)) == want
-    assert rows(contamination(awkward(spark, texts), bench, block_bytes=400)) == want
+    assert rows(contamination(awkward(spark, texts), bench, max_seeds=0)) == want
     assert 10 < sum(v[4] for v in want.values()) < len(texts) - 5
 
 
@@ -72,3 +72,15 @@ def test_table(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = brute({r.doc_id: r.text for r in docs.collect()}, [(r.item_id, r.text) for r in bench.collect()])
     assert rows(contamination(docs, bench)) == want
+
+
+def test_repeated_and_null_ids_are_judged_by_their_text(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows_ = [(1, "clean text"), (1, "has " + passage), (None, passage), (None, None), (2, passage), (2, passage)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_hit) for r in contamination(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 0), (1, 12), (None, 12), (None, 0), (2, 12), (2, 12)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in drop_contaminated(docs, bench).collect()), key=str) == sorted([rows_[0], rows_[3]], key=str)
+    assert drop_contaminated(docs.limit(0), bench).count() == 0
+    assert drop_contaminated(docs, bench.limit(0)).count() == 6

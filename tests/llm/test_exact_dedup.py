@@ -45,3 +45,9 @@ def test_drop_keeps_columns_and_first(spark):
 def test_no_python_in_the_plan(spark):
     plan = exact_groups(awkward(spark, TEXTS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_ids_are_judged_by_their_text(spark):
+    df = spark.createDataFrame([(1, "B"), (5, "A"), (5, "B"), (None, "A"), (None, "C")], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in drop_exact_duplicates(df).collect()), key=str)
+    assert kept == sorted([(1, "B"), (5, "A"), (None, "C")], key=str)

@@ -30,7 +30,7 @@ def brute(texts):
     return dict(enumerate(root))
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block_shingles": 300, "tile_rows": 7}])
+@pytest.mark.parametrize("blocks", [{}, {"common": 0, "block_shingles": 300, "tile_rows": 7}])
 def test_exactly_the_similarity_links_and_less_does_not(spark, blocks):
     rng = random.Random(3)
     texts, expected = [], {}
@@ -48,7 +48,7 @@ def test_exactly_the_similarity_links_and_less_does_not(spark, blocks):
     assert kept == sorted(set(expected.values()))
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block_shingles": 500, "tile_rows": 7}])
+@pytest.mark.parametrize("blocks", [{}, {"common": 5}, {"common": 0, "block_shingles": 500, "tile_rows": 7}])
 def test_groups_of_texts_between_alike_and_unlike(spark, blocks):
     rng = random.Random(4)
     texts = []
@@ -62,3 +62,22 @@ def test_groups_of_texts_between_alike_and_unlike(spark, blocks):
     texts += ["", None, "one two", texts[5]]
     got = {r.doc_id: r.component_id for r in similar_components(awkward(spark, texts), **blocks).collect()}
     assert got == brute(texts)
+
+
+def test_repeated_and_null_ids_are_judged_by_their_text(spark):
+    rng = random.Random(5)
+    base, other = (" ".join(words(rng, 60)) for _ in range(2))
+    rows = [(1, base), (2, base + " more"), (2, other), (None, base), (None, "alone without partner here now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in drop_near_copies(df).collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+    assert drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_a_line_in_all_texts_does_not_hide_copies(spark):
+    rng = random.Random(6)
+    line, texts = " ".join(words(rng, 40)), []
+    for _ in range(40):
+        own = words(rng, 60)
+        texts += [line + " " + " ".join(own), line + " " + " ".join([*own[:-1], "changed"])]
+    got = {r.doc_id: r.component_id for r in similar_components(awkward(spark, texts), common=10, tile_rows=8).collect()}
+    assert got == brute(texts)
