@@ -6,6 +6,9 @@ followed. A byte that followed the longest known context gets its share; otherwi
 shorter context (method C: the number of different bytes seen is the escape's count), where all bytes of the longer
 one are excluded, down to equal shares of all bytes. What followed a context is counted over the whole training
 corpus; counts of shorter contexts are sums of those of longer ones.
+
+The trie is worked on in slices that share their contexts of two or more bytes, each by one task, which gives the log
+share of every different (context, symbol) of the corpus. Texts are then scored by looking these shares up.
 """
 
 from __future__ import annotations
@@ -21,8 +24,11 @@ from .common import Scratch, batches, filesystem, ids_and_texts, worker_cache
 
 #: Bytes of context; one more byte must fit into 64 bits.
 ORDER = 5
-#: Rows of the trie, and words, that one Python worker holds at a time. Larger ones are worked through in slices.
-MAX_TRIE_ROWS, MAX_WORDS = 8_000_000, 8_000_000
+#: Different (context, symbol) codes and words whose shares and counts each Python worker may hold (16 and 12 bytes
+#: each). With more, the documents are written in parts, and each part gets the codes and words that it has.
+MAX_CODES, MAX_WORDS = 6_000_000, 5_000_000
+#: Rows of the trie that one task works on.
+SLICE_ROWS = 1_500_000
 #: Different words or byte strings that a counting task gathers before it passes them on, and bytes worked on at once.
 MAX_COUNTED, MAX_GRAMS, BLOCK_BYTES = 300_000, 1_500_000, 500_000
 #: What stands behind a word and at the end of a text (no word has these bytes); the number of symbols.
@@ -96,8 +102,18 @@ def _text_blocks(raws: list[bytes], order: int) -> Iterator[tuple[int, int, list
         yield start, at, words, [symbols(w, order) for w in words]
 
 
+def _counted(codes: Any, counts: Any) -> tuple[Any, Any]:
+    """Different codes in order, with the sums of their counts."""
+    import numpy as np
+
+    sort = np.argsort(codes)
+    codes, counts = codes[sort], counts[sort]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else sort
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _grams(order: int, folds: int, fold: int) -> Any:
-    """Partial counts of (context, symbol) over training documents."""
+    """Partial counts of (context, symbol) over training documents; those of held-out documents count nothing."""
 
     def run(source: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
@@ -106,55 +122,73 @@ def _grams(order: int, folds: int, fold: int) -> Any:
         held: list[tuple[Any, Any]] = []
 
         def merged() -> tuple[Any, Any]:
-            codes, counts = (np.concatenate([x[i] for x in held]) for i in range(2))
-            sort = np.argsort(codes)
-            codes, counts = codes[sort], counts[sort]
-            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            return codes[first], np.add.reduceat(counts, first)
+            return _counted(*(np.concatenate([x[i] for x in held]) for i in range(2)))
 
         def out(codes: Any, counts: Any) -> Iterator[Any]:
             for i in range(0, len(codes), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])], names=["code", "c"])
 
         for batch in source:
-            raws = [raw for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) if not is_held_out(doc_id, folds, fold)]
-            for _, _, _, texts in _text_blocks(raws, order):
-                codes = np.sort(gram_codes(texts, order)[0])
-                first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-                held.append((codes[first], np.diff(np.r_[first, len(codes)])))
-                if sum(len(c) for c, _ in held) > MAX_GRAMS:
-                    held = [merged()]
-                    if len(held[0][0]) > MAX_GRAMS // 2:
-                        yield from out(*held.pop())
+            rows = list(zip(map(lambda i: is_held_out(i, folds, fold), batch.column(0).to_pylist()), batch.column(1).cast(pa.binary()).to_pylist(), strict=True))
+            for kind in (False, True):
+                for _, _, _, texts in _text_blocks([raw for held_out, raw in rows if held_out == kind], order):
+                    codes = np.sort(gram_codes(texts, order)[0])
+                    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+                    held.append((codes[first], np.diff(np.r_[first, len(codes)]) * (not kind)))
+                    if sum(len(c) for c, _ in held) > MAX_GRAMS:
+                        held = [merged()]
+                        if len(held[0][0]) > MAX_GRAMS // 2:
+                            yield from out(*held.pop())
         if held:
             yield from out(*merged())
 
     return run
 
 
-def slice_of(code: Any, slices: int) -> Any:
-    """The slice of a trie row or a predicted symbol: by its last two context bytes, which all its contexts of two
-    or more bytes share; shorter contexts belong to every slice."""
-    import numpy as np
+def _part_needs(order: int) -> Any:
+    """(part, code) and (part, word) of every document, each once a batch: a null word beside a code and vice versa."""
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        def out(part: int, codes: Any, words: list[bytes]) -> Iterator[Any]:
+            for i in range(0, len(codes), 50_000):
+                own = pa.array(codes[i : i + 50_000].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), type=pa.int32()), own, pa.nulls(len(own), pa.binary())], names=["part", "code", "word"])
+            for i in range(0, len(words), 50_000):
+                own = pa.array(words[i : i + 50_000], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), type=pa.int32()), pa.nulls(len(own), pa.int64()), own], names=["part", "code", "word"])
+
+        now, codes, words = None, np.zeros(0, dtype=np.uint64), set()
+        for batch in source:
+            raws, parts = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(parts) else []
+            for start, end in zip(starts, [*starts[1:], len(parts)], strict=True):
+                if now is not None and (parts[start] != now or len(codes) > MAX_GRAMS or len(words) > MAX_COUNTED):
+                    yield from out(now, codes, list(words))
+                    codes, words = codes[:0], set()
+                now = int(parts[start])
+                for _, _, found, texts in _text_blocks(raws[start:end], order):
+                    codes = np.union1d(codes, gram_codes(texts, order)[0])
+                    words.update(w for own in found for w in own)
+        if now is not None:
+            yield from out(now, codes, list(words))
 
-    return (((code >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) % np.uint64(65521) % np.uint64(slices)).astype(np.int64)
+    return run
 
 
 class Trie:
     """Per order the sorted (context, symbol) codes with log shares, and per context its totals.
 
-    codes and counts are those of the full order; `short` gives (codes, counts) of order 1 over all slices.
+    codes and counts are those of the full order in one slice; `short` gives (codes, counts) of order 1 over all slices.
     """
 
     def __init__(self, order: int, codes: Any, counts: Any, short: tuple[Any, Any] | None = None):
         import numpy as np
 
         def levelled(codes: Any, counts: Any, k: int) -> tuple[Any, Any]:
-            codes = codes & np.uint64((1 << 8 * (k + 1)) - 1)
-            sort = np.argsort(codes)
-            codes, counts = codes[sort], counts[sort]
-            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else sort
-            return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+            return _counted(codes & np.uint64((1 << 8 * (k + 1)) - 1), counts)
 
         self.order, tables = order, []
         counts = counts.astype(np.float64)
@@ -223,21 +257,49 @@ def _held_one(name: str, key: str, make: Any) -> Any:
     return held[key]
 
 
-def load_trie(folder: str, order: int, part: int, slices: int, short: list[tuple[int, int]]) -> Trie:
-    import numpy as np
+def _log_shares(order: int, short: list[tuple[int, int]] | None) -> Any:
+    """All codes of one slice with their counts: the log share of each."""
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in source if b.num_rows]
+        if not got:
+            return
+        codes, counts = (np.concatenate([x[i] for x in got]) for i in range(2))
+        codes = codes.view(np.uint64)
+        seen = counts > 0
+        whole = None if short is None else np.array(short, dtype=np.int64).reshape(-1, 2)
+        trie = Trie(order, codes[seen], counts[seen], None if whole is None else (whole[:, 0].copy().view(np.uint64), whole[:, 1]))
+        for i in range(0, len(codes), 200_000):
+            part = np.sort(codes[i : i + 200_000])
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(trie.log10(part))], names=["code", "share"])
+
+    return run
+
+
+class ShareTable:
+    """Log shares by code."""
+
+    def __init__(self, folder: str):
+        import numpy as np
+
+        table = _read_table(folder, ["code", "share"])
+        code, share = (np.zeros(0, dtype=np.int64), np.zeros(0)) if table is None else (table[x].to_numpy() for x in ("code", "share"))
+        del table
+        code = code.view(np.uint64)
+        sort = np.argsort(code)
+        self.code, self.share = code[sort], share[sort]
 
-    table = _read_table(folder, ["code", "c"])
-    code, c = (np.zeros(0, dtype=np.int64),) * 2 if table is None else (table[x].to_numpy() for x in ("code", "c"))
-    code = code.view(np.uint64)
-    if slices > 1:
-        own = slice_of(code, slices) == part
-        code, c = code[own], c[own]
-    whole = np.array(short, dtype=np.int64).reshape(-1, 2)
-    return Trie(order, code, c, (whole[:, 0].copy().view(np.uint64), whole[:, 1]) if slices > 1 and order else None)
+    def of(self, codes: Any) -> Any:
+        import numpy as np
+
+        return self.share[np.searchsorted(self.code, codes)]
 
 
 class WordTable:
-    """Training counts of one slice of the words, by hash; words that share a hash are told apart."""
+    """Training counts of words by hash; words that share a hash are told apart."""
 
     def __init__(self, folder: str):
         import numpy as np
@@ -286,8 +348,9 @@ def _hashes() -> Any:
     return worker_cache("signed-hashes", Hashes)
 
 
-def _score_docs(folder: str, part: int, trie_slices: int, word_slices: int, short: list[tuple[int, int]], stats: tuple[int, int, int], order: int, folds: int, fold: int) -> Any:
-    """Per document the sums over what belongs to slice `part` of the trie and of the words; the first adds the end."""
+def _score_docs(codes: str, words_folder: str, stats: tuple[int, int, int], order: int, folds: int, fold: int) -> Any:
+    """The sums of each document, by the tables in the folders or, where a third column names the document's part, in
+    their folders of that part."""
 
     def run(source: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
@@ -296,109 +359,89 @@ def _score_docs(folder: str, part: int, trie_slices: int, word_slices: int, shor
         total, kinds, ends = stats
         known, share = _hashes(), np.log10(total + kinds + 1)
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-        for batch in source:
-            ids, raws = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+
+        def scored(ids: list[Any], raws: list[bytes], of: str) -> Iterator[Any]:
             for start, stop, words, texts in _text_blocks(raws, order):
                 n = stop - start
                 held = [is_held_out(i, folds, fold) for i in ids[start:stop]]
-                tokens, hit, base, model = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
-                if part < word_slices:
-                    table = _held_one("words", f"{folder}/{part}", lambda: WordTable(f"{folder}/words/slice={part}"))
-                    flat = [w for own in words for w in own]
-                    doc = np.repeat(np.arange(n), [len(w) for w in words])
-                    hashes = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
-                    if word_slices > 1:
-                        own = np.flatnonzero(hashes % word_slices == part)
-                        flat, doc, hashes = [flat[i] for i in own.tolist()], doc[own], hashes[own]
-                    c = table.counts(flat, hashes)
-                    tokens, hit = np.bincount(doc, minlength=n), np.bincount(doc, weights=c > 0, minlength=n).astype(np.int64)
-                    base = np.bincount(doc, weights=np.log10(c + 1.0) - share, minlength=n)
-                    if not part:
-                        tokens, hit, base = tokens + 1, hit + (ends > 0), base + np.log10(ends + 1.0) - share
-                if part < trie_slices:
-                    trie = _held_one("trie", f"{folder}/{part}", lambda: load_trie(f"{folder}/trie", order, part, trie_slices, short))
-                    codes, sizes = gram_codes(texts, order)
-                    doc = np.repeat(np.arange(n), sizes)
-                    if trie_slices > 1:
-                        own = slice_of(codes, trie_slices) == part
-                        codes, doc = codes[own], doc[own]
-                    unique, inverse = np.unique(codes, return_inverse=True)
-                    model = np.bincount(doc, weights=trie.log10(unique)[inverse], minlength=n)
+                table = _held_one("words", words_folder + of, lambda: WordTable(words_folder + of))
+                flat = [w for own in words for w in own]
+                doc = np.repeat(np.arange(n), [len(w) for w in words])
+                c = table.counts(flat, np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat)))
+                tokens = np.bincount(doc, minlength=n) + 1
+                hit = np.bincount(doc, weights=c > 0, minlength=n).astype(np.int64) + (ends > 0)
+                base = np.bincount(doc, weights=np.log10(c + 1.0) - share, minlength=n) + np.log10(ends + 1.0) - share
+                found, sizes = gram_codes(texts, order)
+                unique, inverse = np.unique(found, return_inverse=True)
+                shares = _held_one("shares", codes + of, lambda: ShareTable(codes + of)).of(unique)
+                model = np.bincount(np.repeat(np.arange(n), sizes), weights=shares[inverse], minlength=n)
                 yield from batches(schema, [ids[start:stop], held, tokens.tolist(), hit.tolist(), base.tolist(), model.tolist()])
 
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            ids, raws = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            if batch.num_columns < 3:
+                yield from scored(ids, raws, "")
+                continue
+            parts = batch.column(2).to_numpy()
+            starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]).tolist()
+            for start, end in zip(starts, [*starts[1:], len(parts)], strict=True):
+                yield from scored(ids[start:end], raws[start:end], f"/part={parts[start]}")
+
     return run
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = 7, fold: int = 2, max_trie_rows: int = MAX_TRIE_ROWS, max_words: int = MAX_WORDS) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = 7, fold: int = 2, max_codes: int = MAX_CODES, max_words: int = MAX_WORDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Documents outside the held-out fold train; all are scored, on whole texts. Tokens are the words (A-Z in lower
     case, split at ASCII white space) and one end. base_score is the sum of log10((c+1)/(N+V+1)). score is the
-    trie model's log10 probability of the tokens, written with single spaces.
+    trie model's log10 probability of the normalised text: its tokens, written with single spaces.
 
-    Word counts and the trie are gathered by grouped aggregations over the whole corpus. Workers read both from the
-    shared folder, in as many slices as keep each within its bound; with more than one, documents are read once a
-    slice and their sums added.
+    Word counts and the trie's counts are gathered by grouped aggregations over the whole corpus. The trie's rows go
+    to tasks in slices of about slice_rows rows that share their contexts of two bytes and more (those of one byte or
+    none, at most 65,536 rows, go to all), and each gives the log shares of its codes. Up to max_codes and max_words
+    workers read shares and counts whole, from the shared folder. Beyond, the documents are written as they are read,
+    one part per task; the different codes and words of each part are joined with shares and counts, and a worker
+    reads those of the part at hand. Either way texts are read a fixed number of times, however large the trie.
 
     Null text is the empty one, which has the end alone. A null id belongs to no held-out fold. Rows that repeat
     an id and a text are scored each. An empty table gives an empty result; without training documents every
     symbol has an equal share. Other columns are not read.
     """
-    import math
-
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "lm")
+    scratch = Scratch(df.sparkSession, "lm")
     docs = ids_and_texts(df, id_col, text_col)
     counted = docs.mapInArrow(_count(folds, fold), COUNTS).groupBy("word").agg(F.sum("c").alias("c")).where("c > 0").withColumn("h", F.xxhash64("word"))
-    words = scratch.write(counted, "counted")
+    words = scratch.write(counted, "words")
     n_words, total = words.agg(F.count(F.lit(1)), F.sum("c")).first()
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     ends = docs.select("doc_id").where(~held).count()
     stats = ((total or 0) + ends, n_words + (ends > 0), ends)
-    word_slices = max(1, math.ceil(n_words / max_words))
-    words.withColumn("slice", F.pmod("h", F.lit(word_slices))).write.partitionBy("slice").option("compression", "zstd").parquet(f"{scratch.path}/words")
-    scratch.drop("counted")
-
-    grams = docs.mapInArrow(_grams(order, folds, fold), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-    trie = scratch.write(grams, "trie")
-    trie_slices = max(1, math.ceil(trie.count() / max_trie_rows)) if order > 1 else 1
-    short: list[tuple[int, int]] = []
-    if trie_slices > 1:  # at most 65,536 rows
-        short = [(r.code, r.c) for r in trie.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("c").alias("c")).collect()]
-
-    passes = [_score_docs(scratch.path, p, trie_slices, word_slices, short, stats, order, folds, fold) for p in range(max(trie_slices, word_slices))]
-    out = docs.mapInArrow(passes[0], RESULT) if len(passes) == 1 else _several(docs.withColumn("sign", F.xxhash64("text")), passes)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats[0]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
-
-
-def _several(docs: DataFrame, passes: list[Any]) -> DataFrame:
-    """Add the slices' sums document by document; rows of one id and text are scored once and given back as often."""
-    alike = docs.groupBy("doc_id", "sign").agg(F.count(F.lit(1)).alias("times"))
-    parts = [docs.select("doc_id", "text").mapInArrow(_signed(p), "sign long, " + RESULT) for p in passes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    sums = out.groupBy(F.col("doc_id").alias("id"), F.col("sign").alias("s"), "held_out").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")))
-    joined = sums.join(alike, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sign") == F.col("s")))
-    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    share = lambda c: F.col(c) / F.col("times")
-    return repeated.select("doc_id", "held_out", share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), share("base").alias("base"), share("model").alias("model"))
 
-
-def _signed(inner: Any) -> Any:
-    """A scoring pass that also gives each document's text hash."""
-
-    def run(source: Iterator[Any]) -> Iterator[Any]:
-        import pyarrow as pa
-        import xxhash
-
-        for batch in source:
-            signs = [h - ((h >> 63) << 64) for h in (xxhash.xxh64_intdigest(r, 42) for r in batch.column(1).cast(pa.binary()).to_pylist())]
-            at = 0
-            for got in inner(iter([batch])):
-                yield pa.RecordBatch.from_arrays([pa.array(signs[at : at + got.num_rows], type=pa.int64()), *got.columns], names=["sign", *got.schema.names])
-                at += got.num_rows
-
-    return run
+    grams = scratch.write(docs.mapInArrow(_grams(order, folds, fold), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "trie")
+    n_codes = grams.count()
+    slices = max(1, -(-n_codes // slice_rows)) if order > 1 else 1
+    short = None
+    if slices > 1:  # at most 65,536 rows
+        short = [(r.code, r.c) for r in grams.where("c > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("c").alias("c")).collect()]
+    last_two = F.shiftright("code", 8).bitwiseAND(0xFFFF).cast("int")
+    dealt = grams.repartitionById(slices, F.pmod(F.hash(last_two), F.lit(slices)).cast("int")) if slices > 1 else grams.repartition(1)
+    shares = scratch.write(dealt.mapInArrow(_log_shares(order, short), "code long, share double"), "shares")
+
+    if n_codes <= max_codes and n_words <= max_words:
+        out = docs.mapInArrow(_score_docs(f"{scratch.path}/shares", f"{scratch.path}/words", stats, order, folds, fold), RESULT)
+    else:
+        docs.withColumn("part", F.spark_partition_id()).write.partitionBy("part").option("compression", "zstd").parquet(f"{scratch.path}/docs")
+        parted = df.sparkSession.read.schema("doc_id long, text string, part int").parquet(f"{scratch.path}/docs")
+        needs = scratch.write(parted.select("text", "part").mapInArrow(_part_needs(order), "part int, code long, word binary"), "needs")
+        own_codes = needs.where("code IS NOT NULL").select("part", "code").distinct().join(shares, "code")
+        own_codes.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(f"{scratch.path}/part-shares")
+        own_words = needs.where("word IS NOT NULL").select("part", "word").distinct().join(words, "word")
+        own_words.repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(f"{scratch.path}/part-words")
+        scratch.drop("needs")
+        out = parted.mapInArrow(_score_docs(f"{scratch.path}/part-shares", f"{scratch.path}/part-words", stats, order, folds, fold), RESULT)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats[0]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,10 +71,13 @@ def test_against_brute_force(spark):
         check(awkward(spark, list(texts.values())), texts, order)
 
 
-def test_slices_give_the_same(spark):
+def test_slices_and_parts_give_the_same(spark):
     texts = dict(enumerate(TEXTS * 2))
-    check(awkward(spark, list(texts.values())), texts, 5, max_trie_rows=60, max_words=9)
-    check(awkward(spark, list(texts.values())), texts, 3, max_words=9)
+    docs = awkward(spark, list(texts.values()))
+    check(docs, texts, 5, slice_rows=60)
+    check(docs, texts, 5, slice_rows=60, max_words=9)
+    check(docs.repartition(5), texts, 3, max_codes=9)
+    check(docs.repartition(5), texts, 1, max_codes=0, slice_rows=1)
 
 
 def test_table_prefers_its_own_language_to_noise(spark):
@@ -89,7 +92,7 @@ def test_table_prefers_its_own_language_to_noise(spark):
 def test_empty_and_odd_tables(spark):
     assert score(empty(spark)).count() == 0
     odd = spark.createDataFrame([(None, "a"), (2, "a b"), (2, "a b")], "doc_id long, text string")
-    for options in ({}, {"max_words": 1, "max_trie_rows": 3}):
+    for options in ({}, {"max_words": 1, "slice_rows": 3}):
         assert sorted((str(r.doc_id), r.n_tokens) for r in score(odd, **options).collect()) == [("2", 3), ("2", 3), ("None", 2)]
     held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2][:1]
     alone = score(spark.createDataFrame([(held[0], "ab")], "doc_id long, text string")).first()
