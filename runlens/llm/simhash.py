@@ -14,6 +14,9 @@ from .graph import components, forest, pairs_out
 
 #: Comparisons made at a time, and found pairs kept before they are reduced to a forest.
 BLOCK_PAIRS, KEPT_PAIRS = 1_000_000, 300_000
+#: Fingerprints at home in a tile of which one task takes care, and tiles with more of which the tasks know (16 bytes
+#: each); of a corpus with more such tiles only the larger ones are dealt out.
+HOME_ROWS, MAX_HEAVY_TILES = 20_000, 500_000
 #: Rows of a tile of wide fingerprints, and comparisons and pairs of tiles that one task makes.
 TILE_ROWS, TASK_COMPARISONS, TASK_TILE_PAIRS = 8192, 20_000_000, 256
 #: Shingles of the texts that are verified against each other at a time; larger groups are cut into blocks.
@@ -154,25 +157,59 @@ def neighbour_offsets(radius: int, parts: int = 8) -> list[int]:
     return [sum(d * 16**i for i, d in enumerate(s)) for s in sorted(half, key=lambda s: sum(map(abs, s)))]
 
 
-def _deal(radius: int) -> Any:
-    """Each fingerprint at home in its own tile and as a visitor in the tiles that it could have a partner in."""
+def _tiles_of(prints: Any, radius: int) -> Any:
+    """The tile of each fingerprint; the added radius keeps steps from borrowing."""
+    import numpy as np
+
+    counts = np.bitwise_count(prints.view(np.uint8)).reshape(-1, 8).astype(np.int64)
+    return ((counts + radius) << (4 * np.arange(8))).sum(axis=1)
+
+
+def _tile_sizes(radius: int) -> Any:
+    """How many fingerprints of each batch are at home in a tile."""
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in source:
+            tiles, n = np.unique(_tiles_of(np.ascontiguousarray(batch.column(0).to_numpy()), radius), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tiles), pa.array(n)], names=["tile", "n"])
+
+    return run
+
+
+def _deal(radius: int, heavy: Any) -> Any:
+    """Each fingerprint at home in its own tile and as a visitor in the tiles that it could have a partner in.
+
+    A heavy tile (tile, chunks) is many: its fingerprints are at home in one chunk each and visit those before it,
+    and visitors of the tile visit all. A place is tile * 2**24 + chunk.
+    """
 
     def run(source: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
         import pyarrow as pa
 
         steps = np.array(neighbour_offsets(radius), dtype=np.int64)
+        crowded, chunks = heavy.value
         for batch in source:
             prints, ids = np.ascontiguousarray(batch.column(0).to_numpy()), batch.column(1).to_numpy()
-            counts = np.bitwise_count(prints.view(np.uint8)).reshape(-1, 8).astype(np.int64)
-            tiles = ((counts + radius) << (4 * np.arange(8))).sum(axis=1)  # the added radius keeps steps from borrowing
+            tiles = _tiles_of(prints, radius)
+            mixed = (prints.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
             for at in range(0, len(prints), 2048):
                 part = slice(at, at + 2048)
                 n = len(prints[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((tiles[part, None] + steps).ravel()), pa.array(np.tile(np.arange(len(steps)) > 0, n)), pa.array(np.repeat(prints[part], len(steps))), pa.array(np.repeat(ids[part], len(steps)))],
-                    names=["tile", "visits", "f0", "rep"],
-                )
+                to, row, visits = (tiles[part, None] + steps).ravel(), np.repeat(np.arange(at, at + n), len(steps)), np.tile(np.arange(len(steps)) > 0, n)
+                chunk = np.zeros(len(to), dtype=np.int64)
+                if len(crowded):
+                    found = np.minimum(np.searchsorted(crowded, to), len(crowded) - 1)
+                    parts = np.where(crowded[found] == to, chunks[found], 1)
+                    own = (mixed[row] % parts.astype(np.uint64)).astype(np.int64)
+                    copies = np.where(visits, parts, own + 1)  # a visitor goes to all chunks, a home row to its own and those before
+                    to, row, visits, own = (np.repeat(x, copies) for x in (to, row, visits, own))
+                    chunk = np.arange(len(to)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    visits |= chunk != own
+                yield pa.RecordBatch.from_arrays([pa.array((to << 24) + chunk), pa.array(visits), pa.array(prints[row]), pa.array(ids[row])], names=["tile", "visits", "f0", "rep"])
 
     return run
 
@@ -220,25 +257,35 @@ def _compare(radius: int) -> Any:
     return run
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, tile_rows: int = HOME_ROWS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints of 64 bits over all word shingles, repeats included, link at `radius` or fewer differing bits;
     component_id is the smallest doc_id reachable over links. Equal fingerprints are first made one, however many
     documents have them. The others are laid in tiles by the population counts of their eight bytes. Two
     fingerprints within the radius lie in tiles whose counts differ by at most the radius in all; only such tiles
-    meet, and inside them every pair is compared by exclusive-or and bit counts. Each task returns a forest of
-    what it found, never all pairs.
+    meet, and inside them every pair is compared by exclusive-or and bit counts. A tile with more than tile_rows
+    fingerprints is dealt out in chunks to several tasks, each with the visitors of the tile. Each task returns a
+    forest of what it found, never all pairs.
 
     Null and empty texts, and texts of white space, have the fingerprint zero and link like others. A text of fewer
     words than a shingle is one shingle. Null ids give rows, whose component is that of rows with ids and equal or
     near fingerprints (null if a fingerprint has null ids only). Repeated rows give repeated results. An empty
     table gives an empty result. Other columns are not read.
     """
+    import numpy as np
+
     scratch = Scratch(df.sparkSession, "simhash")
     prints = _fingerprint_table(df, id_col, text_col, scratch, shingle, 1, False)
     reps = scratch.write(prints.groupBy("f0").agg(F.min("doc_id").alias("rep")), "reps")
-    dealt = reps.where("rep IS NOT NULL").mapInArrow(_deal(radius), "tile long, visits boolean, f0 long, rep long")
+    named = reps.where("rep IS NOT NULL")
+    sizes = named.mapInArrow(_tile_sizes(radius), "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n"))
+    sizes = scratch.write(sizes, "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    bound = max(tile_rows, total // MAX_HEAVY_TILES)  # so there are no more heavy tiles than that
+    found = sorted((r.tile, -(-r.n // bound)) for r in sizes.where(F.col("n") > bound).collect())
+    heavy = df.sparkSession.sparkContext.broadcast(tuple(np.array([x[i] for x in found], dtype=np.int64) for i in range(2)))
+    dealt = named.mapInArrow(_deal(radius, heavy), "tile long, visits boolean, f0 long, rep long")
     tiles = dealt.repartition("tile").sortWithinPartitions("tile", "visits")
     links = scratch.write(tiles.mapInArrow(_compare(radius), "a long, b long"), "links")
     roots = components(links, scratch)

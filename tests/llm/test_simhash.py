@@ -57,6 +57,8 @@ def test_components_match_brute_force(spark):
     roots = brute_roots(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
     got = simhash_components(awkward(spark, texts)).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{prints[i]:016x}", roots[i]) for i in prints}
+    chunked = simhash_components(awkward(spark, texts), tile_rows=1).collect()
+    assert sorted(chunked) == sorted(got)
     assert len(set(roots.values())) < len(roots) - 5
 
 
@@ -124,3 +126,21 @@ def test_components_of_chains_and_hubs(spark):
     for bound in (1_000_000, 0):  # in one task, and by rounds
         got = {r.node: r.root for r in components(df, Scratch(spark, "test"), max_local_links=bound).collect()}
         assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 50)} | {300: 299}
+
+
+def test_crowded_tiles_dealt_in_chunks_find_the_same(spark):
+    """Near copies of one fingerprint in few tiles, each of many chunks."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base, texts = [word() for _ in range(2000)], []
+    for _ in range(60):
+        edited = list(base)
+        for at in rng.sample(range(2000), 4):
+            edited[at] = word()
+        texts.append(" ".join(edited))
+    prints = [brute_print(t) for t in texts]
+    roots = brute_roots(range(60), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    for rows in (1, 3, 20_000):
+        got = {r.doc_id: r.component_id for r in simhash_components(awkward(spark, texts), tile_rows=rows).collect()}
+        assert got == roots
+    assert len(set(prints)) > 20 and len(set(roots.values())) < 40
