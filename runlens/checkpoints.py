@@ -1,19 +1,50 @@
-"""Checkpoints in the folder that the cluster names."""
+"""Checkpoints in the folder that the cluster names, and what needs a table's rows in a global order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; one of our own only where the setting is absent and all runs in one
+    process, as in tests. On a cluster without the setting this is an error: a machine's folder isn't shared."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/runlens-checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """df, written to the shared checkpoint folder and read from there."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/runlens-checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
+    """df with row numbers from 0 in the given order, without a window over the whole table.
+
+    Rows are range-partitioned and written, the driver sees one count per partition, and each partition numbers its
+    own rows behind those before it.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    held = checkpointed(ranged)
+    counts = sorted((r.range_, r.n) for r in held.groupBy("range_").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    offsets = held.sparkSession.createDataFrame(starts, "range_ int, offset_ long")  # as many rows as partitions
+    place = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
+    return held.join(F.broadcast(offsets), "range_").withColumn(name, F.col("offset_") + place).drop("range_", "offset_")
+
+
 def extended(known: DataFrame, frontier: DataFrame, round_: int, every: int = 50) -> DataFrame:
     """known with the frontier of this round; written anew now and then, so that long loops keep short plans."""
     both = known.unionByName(frontier)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed, numbered
 from ..functions.decisions import wilson
 from ..functions.values import argmax, confidence, values_differ
+from .statistics import MAX_DRAWS
 
 BINS = 10
 
@@ -45,8 +48,9 @@ def change_counts(df: DataFrame, by: Sequence[str] = (), baseline: str = "baseli
 def class_distribution(df: DataFrame, cls: str, by: Sequence[str] = ()) -> DataFrame:
     """by..., class, share."""
     counts = df.groupBy(*by, F.col(cls).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by)) if by else F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("share", F.col("n") / total)
+    if by:
+        return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("total_"))), F.lit(True)).withColumn("share", F.col("n") / F.col("total_")).drop("total_")  # one row
 
 
 def class_shift(df: DataFrame, baseline: str = "b_class", candidate: str = "c_class") -> DataFrame:
@@ -99,15 +103,23 @@ def categorical_slices(rows: DataFrame, columns: Sequence[str], min_support: int
 
 
 def numeric_slices(rows: DataFrame, column: str, bins: int = 4, min_support: int = 5) -> DataFrame:
-    """Half-open ranges between the quantile cuts of a numeric column's distinct values (the last one closed)."""
-    values = rows.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("v"))
-    quantiles = [F.expr(f"percentile_disc({i / bins}) WITHIN GROUP (ORDER BY v)").alias(f"q{i}") for i in range(bins + 1)]
-    cuts = values.distinct().agg(*quantiles, F.count(F.lit(1)).alias("kinds"))  # one row
-    bounded = rows.withColumn("v", F.col(column).cast("double")).join(F.broadcast(cuts), F.lit(True)).where(F.col("kinds") > bins)
-    inner = [F.col(f"q{i}") for i in range(1, bins)]
-    number = sum(((F.col("v") >= q).cast("int") for q in inner), F.lit(0))
-    low, high = F.element_at(F.array(*[F.col(f"q{i}") for i in range(bins)]), number + 1), F.element_at(F.array(*[F.col(f"q{i}") for i in range(1, bins + 1)]), number + 1)
-    binned = bounded.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumns({"lower": low, "upper": high})
+    """Half-open ranges between the quantile cuts of a numeric column's distinct values (the last one closed).
+
+    The cuts are exact: distinct values are numbered in order over range partitions, and those with the cuts' ranks
+    are picked; no task sees them all.
+    """
+    values = rows.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").distinct()
+    placed = checkpointed(numbered(values, ["v"], "place"))
+    kinds = placed.count()
+    ranks = [max(0, math.ceil(i / bins * kinds) - 1) for i in range(bins + 1)]
+    cut = {r.place: r.v for r in placed.where(F.col("place").isin(ranks)).collect()} if kinds > bins else {}
+    out = "feature string, lower double, upper double, support long, baseline_score double, candidate_score double, delta double"
+    if not cut:
+        return rows.sparkSession.createDataFrame([], out)
+    edges = [F.lit(cut[r]) for r in ranks]
+    v = F.col(column).cast("double")
+    number = sum(((v >= e).cast("int") for e in edges[1:-1]), F.lit(0))
+    binned = rows.where(v.isNotNull() & ~F.isnan(v)).withColumns({"lower": F.element_at(F.array(*edges[:-1]), number + 1), "upper": F.element_at(F.array(*edges[1:]), number + 1)})
     found = binned.groupBy("lower", "upper").agg(F.count(F.lit(1)).alias("support"), *_outcome(True)).where(F.col("support") >= min_support)
     return found.select(F.lit(column).alias("feature"), "lower", "upper", "support", "baseline_score", "candidate_score", _delta(True).alias("delta"))
 
@@ -140,20 +152,26 @@ def behaviour_decision(summary: DataFrame, thresholds: Mapping[str, float]) -> D
     return summary.withColumn("regression", F.col("upper") < -limit)
 
 
-def calibration_interval(df: DataFrame, baseline: str, candidate: str, label: str, row: str, resamples: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+def calibration_interval(df: DataFrame, baseline: str, candidate: str, label: str, row: str, resamples: int = 2000, seed: int = 0, level: float = 0.95, max_draws: int = MAX_DRAWS) -> DataFrame:
     """Interval of the difference of two models' calibration errors over shared resamples of the rows.
 
-    Each row is reduced to its bins, confidences and hits once; resamples are drawn from those.
+    Each row is reduced to its bins, confidences and hits once; resamples are drawn from those. Beyond max_draws rows
+    times resamples, each row counts a hashed Poisson(1) number of times instead, without a join (see statistics).
     """
-    from .statistics import indexed, interval, resampled
+    from .statistics import indexed, interval, poisson_draw, resampled
 
     def terms(scores: str, p: str) -> list[Column]:
         c = confidence(F.col(scores)).cast("double")
         return [F.least(F.lit(BINS - 1), F.floor(c * BINS)).cast("int").alias(f"{p}_bin"), c.alias(f"{p}_conf"), (argmax(F.col(scores)) == F.col(label)).cast("double").alias(f"{p}_hit")]
 
     rows = df.select(F.lit(0).alias("g"), F.col(row).alias("row_"), F.struct(*terms(baseline, "b"), *terms(candidate, "c")).alias("t"))
-    drawn = resampled(indexed(rows, ["g"], ["row_"], "t"), ["g"], resamples, seed)
-    sides = drawn.select("r", F.explode(F.array(*[F.struct(F.lit(s).alias("sign"), F.col(f"value.{p}_bin").alias("bin"), F.col(f"value.{p}_conf").alias("conf"), F.col(f"value.{p}_hit").alias("hit")) for p, s in (("b", -1.0), ("c", 1.0))])).alias("x"))
-    bins = sides.groupBy("r", "x.sign", "x.bin").agg(F.count(F.lit(1)).alias("m"), F.avg("x.conf").alias("conf"), F.avg("x.hit").alias("hit"))
+    rows = checkpointed(rows)
+    if rows.count() * resamples <= max_draws:
+        drawn = resampled(indexed(rows, ["g"], ["row_"], "t"), ["g"], resamples, seed).withColumn("w", F.lit(1))
+    else:
+        drawn = poisson_draw(rows.withColumnRenamed("t", "value"), ["row_"], resamples, seed).where("w > 0")
+    sides = drawn.select("r", "w", F.explode(F.array(*[F.struct(F.lit(s).alias("sign"), F.col(f"value.{p}_bin").alias("bin"), F.col(f"value.{p}_conf").alias("conf"), F.col(f"value.{p}_hit").alias("hit")) for p, s in (("b", -1.0), ("c", 1.0))])).alias("x"))
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w"))
+    bins = sides.groupBy("r", "x.sign", "x.bin").agg(F.sum("w").alias("m"), mean("x.conf").alias("conf"), mean("x.hit").alias("hit"))
     per = bins.groupBy("r").agg((2 * F.sum(F.col("sign") * F.col("m") * F.abs(F.col("conf") - F.col("hit"))) / F.sum("m")).alias("s"))
     return interval(per, [], level)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decisions import ternary
@@ -49,9 +49,8 @@ def monotonicity(statuses: DataFrame, rev: str = "rev_idx") -> DataFrame:
 
 def candidates(statuses: DataFrame, rev: str = "rev_idx") -> DataFrame:
     """Revisions that a non-monotonic order leaves open: the bad ones from the first bad one on."""
-    w = Window.partitionBy(F.lit(1)).orderBy(rev).rowsBetween(Window.unboundedPreceding, 0)
-    flagged = statuses.withColumn("bad_seen", F.max((F.col("status") == "bad").cast("int")).over(w))
-    return flagged.where("bad_seen = 1 AND status <> 'good'").select(rev, "status")
+    first = statuses.agg(F.min(F.when(F.col("status") == "bad", F.col(rev))).alias("first_seen_bad"))
+    return statuses.join(F.broadcast(first), F.lit(True)).where((F.col(rev) >= F.col("first_seen_bad")) & (F.col("status") != "good")).select(rev, "status")
 
 
 def uncomputed(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:

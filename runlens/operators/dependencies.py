@@ -58,7 +58,7 @@ def closure(edges: DataFrame, roots: DataFrame, downstream: bool = True, include
     new is found; nodes that lie further than a given max_depth are an error, never left out.
     """
     start, end = ("target", "source") if downstream else ("source", "target")
-    steps = edges.select(F.col(start).alias("id"), F.col(end).alias("next")).distinct()
+    steps = checkpointed(edges.select(F.col(start).alias("id"), F.col(end).alias("next")).distinct())  # worked out once
     frontier = checkpointed(roots.select("id", F.lit(0).alias("distance")).distinct())
     known = frontier
     for distance in count(1):
@@ -118,10 +118,18 @@ def held_by_prefix(items: DataFrame, holds: DataFrame, path: str = "path") -> Da
     return items.join(held, path, "left_semi")
 
 
-def lineage_events(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """job, inputs, outputs: for each job node its sorted dependencies and its sorted consumers."""
-    inputs = edges.groupBy(F.col("source").alias("job")).agg(F.array_sort(F.collect_set("target")).alias("inputs"))
-    outputs = edges.groupBy(F.col("target").alias("job")).agg(F.array_sort(F.collect_set("source")).alias("outputs"))
+def lineage_events(edges: DataFrame, nodes: DataFrame, per_event: int = 10_000) -> DataFrame:
+    """job, part, inputs, outputs: for each job node its sorted dependencies and its sorted consumers.
+
+    A job with more than about per_event neighbours has several events, its neighbours dealt out by a hash, so that no
+    row grows with the graph.
+    """
+    sides = edges.select(F.col("source").alias("job"), F.col("target").alias("other"), F.lit(True).alias("input")).unionByName(edges.select(F.col("target").alias("job"), F.col("source").alias("other"), F.lit(False).alias("input"))).distinct()
     jobs = nodes.where(F.col("kind") == "job").select(F.col("id").alias("job"))
+    own = sides.join(jobs, "job", "left_semi")
+    parts = own.groupBy("job").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(per_event))).cast("int").alias("parts"))
+    dealt = own.join(parts, "job").withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int"))
+    names = lambda wanted: F.array_sort(F.collect_set(F.when(wanted, F.col("other"))))
+    events = dealt.groupBy("job", "part").agg(names(F.col("input")).alias("inputs"), names(~F.col("input")).alias("outputs"))
     none = F.array().cast("array<string>")
-    return jobs.join(inputs, "job", "left").join(outputs, "job", "left").select("job", F.coalesce("inputs", none).alias("inputs"), F.coalesce("outputs", none).alias("outputs"))
+    return jobs.join(events, "job", "left").select("job", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("inputs", none).alias("inputs"), F.coalesce("outputs", none).alias("outputs"))

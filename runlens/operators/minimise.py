@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
 
 @dataclass
 class Evaluator:
@@ -76,9 +78,9 @@ def ddmin(items: Sequence[Any], predicate: Callable[[list[Any]], bool] | Evaluat
 def shrink_rows(df: DataFrame, predicate: Callable[[DataFrame], bool], row: str = "row_idx", **limits: Any) -> DataFrame:
     """ddmin over ranges of row numbers: a candidate is a filter, so rows never leave the cluster.
 
-    The kept rows are a union of ranges, and each evaluation is one job over the cached frame.
+    The kept rows are a union of ranges, and each evaluation is one job over the frame, which is written once.
     """
-    held = df.cache()
+    held = checkpointed(df)
     low, high = held.agg(F.min(row), F.max(row)).first()
     if low is None:
         return df

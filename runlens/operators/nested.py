@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.redaction import SECRET_KEY, SECRET_PATTERNS
+from ..functions.redaction import SECRET_PATTERNS, names_secret
 from .tables import output_parity, parity_cases
 
 LEAVES = "case_id string, path string, num double, str string, leaf_type string"
@@ -89,11 +89,10 @@ def scan_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     patterns = [(name, p) for name, p, _ in SECRET_PATTERNS]
 
     def rows(case: str, value: Any) -> list[tuple]:
-        key = re.compile(SECRET_KEY)
         found = []
         for path, leaf in walk(value):
             last = re.findall(r"\['([^']*)'\]", path)
-            if last and key.search(last[-1]) and leaf is not None:
+            if last and names_secret(last[-1]) and leaf is not None:
                 found.append((case, path, "secret-key"))
             if isinstance(leaf, str):
                 found += [(case, path, name) for name, p in patterns if re.search(p, leaf)]

@@ -1,8 +1,10 @@
 """Bootstrap by hashed resampling, effect sizes, interval decisions.
 
 A resample's i-th draw is a hash of (seed, resample, i), so results don't depend on partitioning and SQL can repeat
-them. The hash engine makes resamples * n rows, joined by (group, index), and its aggregation combines them before
-the shuffle. The exact engine repeats the stream of Python's generator for small groups.
+them. The hash engine makes resamples * n rows and shuffles them into a join by (group, index), so it is for groups of
+up to MAX_DRAWS such rows. In larger ones, means and sums weigh each row by a hashed Poisson(1) number: rows are
+exploded into partial sums that combine before the shuffle, without a join and without a window over the group. The
+exact engine repeats the stream of Python's generator for small groups.
 """
 
 from __future__ import annotations
@@ -14,6 +16,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+from ..functions.values import finite_or_null
+
+
+#: Rows times resamples of a group up to which draws are made one by one.
+MAX_DRAWS = 50_000_000
+
 
 def pick(seed: int, resample: Column, i: Column, n: Column) -> Column:
     """The index in [0, n) that draw i of a resample takes."""
@@ -52,24 +61,40 @@ def interval(statistics: DataFrame, by: list[str], confidence: float, statistic:
     return statistics.groupBy(*by).agg(F.percentile(statistic, tail).alias("lower"), F.percentile(statistic, 1 - tail).alias("upper"), F.least(F.lit(1.0), 2 * F.least(below, 1 - below)).alias("p_value"))
 
 
-def bootstrap(df: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95, aggregate: str = "mean") -> DataFrame:
-    """by..., n, estimate, lower, upper, p_value of a statistic of one sample per group."""
-    rows = indexed(df, by, order, value)
-    stats = resampled(rows, by, resamples, seed).groupBy(*by, "r").agg(AGGREGATES[aggregate]("value").alias("s"))
-    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), AGGREGATES[aggregate]("value").alias("estimate"))
+def _statistics(df: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int, seed: int, aggregate: str, max_draws: int) -> DataFrame:
+    """by..., r, s: the statistic of each resample. df is written, as it is read several times."""
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest * resamples <= max_draws or aggregate not in ("mean", "sum"):
+        return resampled(indexed(df, by, order, value), by, resamples, seed).groupBy(*by, "r").agg(AGGREGATES[aggregate]("value").alias("s"))
+    drawn = poisson_draw(df.withColumn("value", F.col(value)), order, resamples, seed)
+    total = F.sum(F.col("w") * F.col("value"))
+    return drawn.groupBy(*by, "r").agg((total / F.sum("w") if aggregate == "mean" else total).alias("s"))
+
+
+def bootstrap(df: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95, aggregate: str = "mean", max_draws: int = MAX_DRAWS) -> DataFrame:
+    """by..., n, estimate, lower, upper, p_value of a statistic of one sample per group.
+
+    A group of more than max_draws / resamples rows is too large to draw from one by one: its mean or sum is
+    bootstrapped by Poisson weights, keyed by the order columns. Other statistics are drawn at any size.
+    """
+    rows = checkpointed(df)
+    stats = _statistics(rows, by, order, value, resamples, seed, aggregate, max_draws)
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), AGGREGATES[aggregate](value).alias("estimate"))
     bounds = interval(stats, by, confidence)
     return whole.join(bounds, by) if by else whole.join(F.broadcast(bounds), F.lit(True))
 
 
-def independent_bootstrap(baseline: DataFrame, candidate: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95, aggregate: str = "mean") -> DataFrame:
-    """Interval of the difference of two samples' statistics, each drawn on its own."""
-    stats = None
-    for side, df, offset in (("b", baseline, 0), ("c", candidate, 1)):
-        own = resampled(indexed(df, by, order, value), by, resamples, seed + offset).groupBy(*by, "r").agg(AGGREGATES[aggregate]("value").alias(side))
+def independent_bootstrap(baseline: DataFrame, candidate: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95, aggregate: str = "mean", max_draws: int = MAX_DRAWS) -> DataFrame:
+    """Interval of the difference of two samples' statistics over finite values, each drawn on its own; with the
+    numbers of values, baseline_n and candidate_n, and of those left out."""
+    stats, wholes = None, []
+    for side, df, offset in (("baseline", baseline, 0), ("candidate", candidate, 1)):
+        rows = checkpointed(df.withColumn("finite_", finite_or_null(F.col(value))))
+        own = _statistics(rows.where("finite_ IS NOT NULL"), by, order, "finite_", resamples, seed + offset, aggregate, max_draws).withColumnRenamed("s", side)
         stats = own if stats is None else stats.join(own, [*by, "r"])
-    bounds = interval(stats.withColumn("s", F.col("c") - F.col("b")), by, confidence)
-    keyed = lambda df, n: df.groupBy(*by).agg(AGGREGATES[aggregate](value).alias(n), F.count(F.lit(1)).alias(f"{n}_n"))
-    both = keyed(baseline, "baseline").join(keyed(candidate, "candidate"), by if by else F.lit(True))
+        wholes.append(rows.groupBy(*by).agg(AGGREGATES[aggregate]("finite_").alias(side), F.count("finite_").alias(f"{side}_n"), F.count_if(F.col("finite_").isNull()).alias(f"{side}_left_out")))
+    bounds = interval(stats.withColumn("s", F.col("candidate") - F.col("baseline")), by, confidence)
+    both = wholes[0].join(wholes[1], by if by else F.lit(True))
     both = both.withColumn("delta", F.col("candidate") - F.col("baseline"))
     return both.join(bounds, by) if by else both.join(F.broadcast(bounds), F.lit(True))
 
@@ -85,6 +110,13 @@ def poisson_weight(u: Column) -> Column:
     return out
 
 
+def poisson_draw(df: DataFrame, key: Sequence[str | Column], resamples: int, seed: int) -> DataFrame:
+    """df exploded by resample r, with the number of times w that the row counts in it."""
+    keys = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key]
+    word = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), *keys)), 1, 8)
+    return df.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("w", poisson_weight(F.conv(word, 16, 10).cast("double") / F.lit(float(1 << 32))))
+
+
 def poisson_bootstrap(df: DataFrame, by: list[str], key: str, value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """by..., n, estimate, lower, upper, p_value of a mean, for large samples.
 
@@ -92,10 +124,8 @@ def poisson_bootstrap(df: DataFrame, by: list[str], key: str, value: str, resamp
     that differs little once there are a few hundred rows. There is no join: rows are exploded into partial sums
     that combine before the shuffle, so what moves is groups * resamples rows per task, whatever the sample's size.
     """
-    word = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col(key).cast("string"))), 1, 8)
-    w = poisson_weight(F.conv(word, 16, 10).cast("double") / F.lit(float(1 << 32)))
-    rows = df.select(*by, key, F.col(value).alias("value"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    stats = rows.withColumn("w", w).groupBy(*by, "r").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("s"))
+    rows = poisson_draw(df.select(*by, F.col(key).alias("key_"), F.col(value).alias("value")), ["key_"], resamples, seed)
+    stats = rows.groupBy(*by, "r").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("s"))
     whole = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("estimate"))
     bounds = interval(stats, by, confidence)
     return whole.join(bounds, by) if by else whole.join(F.broadcast(bounds), F.lit(True))

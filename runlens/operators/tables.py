@@ -179,15 +179,13 @@ def row_hash(df: DataFrame, columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
 
 
-def table_fingerprint(df: DataFrame, columns: list[str], parts: int = 256) -> DataFrame:
-    """rows and multiset_sha256: row hashes sorted inside 256 parts by their first byte, then hashed part by part.
-
-    The order of rows doesn't matter, repeats do. A part's hashes meet in one task, so no task sees the table.
-    """
-    hashed = df.select(row_hash(df, columns).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    listed = hashed.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("n").cast("string")))), ","), 256).alias("d"), F.sum("n").alias("n"))
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ","), 256)
-    return listed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), whole.alias("multiset_sha256"))
+def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """rows and multiset_sha256: the digest of the number of rows and of the sums of the eight 32-bit words of all row
+    hashes. The order of rows doesn't matter, repeats do; one aggregation that combines before its shuffle."""
+    h = row_hash(df, columns)
+    words = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)").alias(f"w{i}") for i in range(8)]
+    sums = df.select(*words).agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"w{i}") for i in range(8)])
+    return sums.select("rows", F.sha2(F.concat_ws(",", F.col("rows").cast("string"), *[f"w{i}" for i in range(8)]), 256).alias("multiset_sha256"))
 
 
 def top_mismatches(cells: DataFrame, top: int = 100) -> DataFrame:

@@ -43,10 +43,11 @@ def ancestry(links: DataFrame, starts: DataFrame, by: list[str], max_depth: int
     is known, until nothing new is found; frontiers are checkpointed, so a cycle ends and plans stay short. A chain
     that is longer than a given max_depth is an error, never a shorter result.
     """
+    links = checkpointed(links.where(F.col("parent").isNotNull()).select(*by, "node", "parent"))  # worked out once
     frontier = checkpointed(starts.select(*by, "node", F.lit(0).alias("depth")).distinct())
     known = frontier
     for depth in count(1):
-        up = frontier.join(links, [*by, "node"]).where(F.col("parent").isNotNull()).select(*by, F.col("parent").alias("node")).distinct()
+        up = frontier.join(links, [*by, "node"]).select(*by, F.col("parent").alias("node")).distinct()
         frontier = checkpointed(up.join(known, [*by, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -71,7 +72,8 @@ def merge_traces(first: DataFrame, second: DataFrame, identity: list[str], order
 
 
 def tensor_stats(df: DataFrame, by: list[str], values: str) -> DataFrame:
-    """min, max, mean, population deviation, finite share and norm of array columns, without exploding rows."""
+    """min, max, mean, population deviation, finite share and norm of the elements of array columns; they are
+    exploded into one aggregation that combines before its shuffle."""
     v = F.explode(values)
     x = F.col("x").cast("double")
     ok = ~F.isnan(x) & (F.abs(x) < float("inf"))

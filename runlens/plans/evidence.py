@@ -13,7 +13,7 @@ from .models import PRED, predictions
 from .registry import query, table
 
 
-@query("calibration_interval", """WITH s AS (SELECT 0 AS g, event_id, 0.5 + (event_id % 50) / 100.0 AS bc, (event_id % 3 <> 0)::INT AS bh, 0.5 + (event_id % 37) / 100.0 AS cc, (event_id % 3 <> 0)::INT AS ch FROM events WHERE event_id % 20 = 0),
+@query("calibration_interval", """WITH s AS (SELECT 0 AS g, event_id, 0.5 + (event_id % 50) / 100.0 AS bc, (event_id % 3 <> 0)::INT AS bh, 0.5 + (event_id % 37) / 100.0 AS cc, (event_id % 3 <> 0)::INT AS ch FROM events),
 i AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM s), d AS (SELECT r, CAST('0x' || substr(md5('2:' || r || ':' || i), 1, 8) AS BIGINT) % n AS i FROM i, range(40) AS t(r)),
 x AS (SELECT r, -1.0 AS sign, bc AS conf, bh AS hit FROM d JOIN i USING (i) UNION ALL SELECT r, 1.0, cc, ch FROM d JOIN i USING (i)),
 b AS (SELECT r, sign, least(9, floor(conf * 10)) AS bin, count(*) AS m, avg(conf) AS conf, avg(hit) AS hit FROM x GROUP BY 1, 2, 3), e AS (SELECT r, 2 * sum(sign * m * abs(conf - hit)) / sum(m) AS s FROM b GROUP BY r)
@@ -25,7 +25,7 @@ def calibration_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return behaviour.calibration_interval(rows, "b", "c", "label", "event_id", 40, 2)
 
 
-@query("resource_interval", f"""WITH p AS (SELECT event_type AS name, event_id, value FROM events WHERE ts < TIMESTAMP '2024-01-04'), q AS (SELECT event_type AS name, event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-28'),
+@query("resource_interval", f"""WITH p AS (SELECT event_type AS name, event_id, value FROM events WHERE ts < TIMESTAMP '2024-01-16'), q AS (SELECT event_type AS name, event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-16'),
 {resamples_sql('p', 'name', 'value', 'event_id', 30, 1, '1').replace('avg(value) AS s', 'quantile_disc(value, 0.95) AS s')}, {resamples_sql('q', 'name', 'value', 'event_id', 30, 2, '2').replace('avg(value) AS s', 'quantile_disc(value, 0.95) AS s')},
 d AS (SELECT name, s2.s - s1.s AS s FROM s1 JOIN s2 USING (name, r)) SELECT name, {BOUNDS} FROM d GROUP BY name""")
 def resource_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +96,27 @@ def output_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path"), output_root(path).alias("root")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("failure_matches", "WITH f AS (SELECT event_id, event_type, user_id, event_id % 5 AS m FROM events WHERE event_type IN ('error', 'view')) SELECT e.event_id AS expected_id, count(*) AS matched FROM f e JOIN f o ON e.event_type = o.event_type AND (e.m = 0 OR o.m = e.m) WHERE e.event_id % 97 = 0 GROUP BY 1")
-def failure_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("event_id") % 5
+FAILURES = """f AS (SELECT user_id, ['', 'builtins.', 'a.', 'b.'][1 + event_id % 4] AS module, event_type AS name, event_id % 5 AS m FROM events)"""
+
+
+def raised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a failure: its type's module goes by the event, its phase is one of five."""
     none = F.lit(None).cast("string")
-    f = table(spark, sf_dir, "events").where("event_type IN ('error', 'view')").select(F.col("event_id").alias("id"), F.lit("exception").alias("kind"), F.concat(F.lit("pkg."), "event_type").alias("error_type"), F.concat(F.lit("row "), F.col("event_id").cast("string"), F.lit(" failed")).alias("message"), m.cast("string").alias("phase"), none.alias("module"), none.alias("operation"), none.alias("top_frame"))
-    expected = f.where("id % 97 = 0").withColumn("phase", F.when(F.col("phase") != "0", F.col("phase")))
-    return failures.matches(expected, f).groupBy("expected_id").agg(F.count(F.lit(1)).alias("matched"))
+    module = F.element_at(F.array(*[F.lit(x) for x in ("", "builtins.", "a.", "b.")]), (F.col("event_id") % 4 + 1).cast("int"))
+    message = F.concat(F.lit("row "), F.col("event_id").cast("string"), F.lit(" failed"))
+    return table(spark, sf_dir, "events").select("user_id", F.lit("exception").alias("kind"), F.concat(module, F.col("event_type")).alias("error_type"), message.alias("message"), (F.col("event_id") % 5).cast("string").alias("phase"), none.alias("module"), none.alias("operation"), none.alias("top_frame"))
+
+
+@query("failure_matches", f"""WITH {FAILURES}, e AS (SELECT user_id, module, name, CASE WHEN m <> 0 THEN m END AS m, count(*) AS k FROM f GROUP BY ALL), o AS (SELECT module, name, m, count(*) AS k FROM f GROUP BY ALL)
+SELECT e.user_id AS expected_id, sum(o.k)::BIGINT AS matched FROM (SELECT DISTINCT user_id, module, name, m FROM e) e JOIN o ON e.name = o.name AND (e.m IS NULL OR o.m = e.m) AND (e.module = o.module OR e.module IN ('', 'builtins.') OR o.module IN ('', 'builtins.')) GROUP BY 1""")
+def failure_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many failures each user's kinds of failure match, over all events; observed ones are grouped first."""
+    f = raised(spark, sf_dir)
+    keys = ["kind", "error_type", "message", "phase", "module", "operation", "top_frame"]
+    observed = f.drop("user_id").withColumn("message", failures.normalise_message(F.col("message"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).withColumn("id", F.xxhash64(*keys))
+    expected = f.withColumn("phase", F.when(F.col("phase") != "0", F.col("phase"))).withColumnRenamed("user_id", "id").withColumn("message", failures.normalise_message(F.col("message"))).select("id", *keys).distinct()
+    found = failures.matches(expected, observed)
+    return found.join(observed.select(F.col("id").alias("observed_id"), "k"), "observed_id").groupBy("expected_id").agg(F.sum("k").alias("matched"))
 
 
 @query("traceback_signatures", "SELECT event_type || 'Error' AS error_type, 'value ' || user_id AS message, count(*) AS n FROM events GROUP BY 1, 2")

@@ -90,7 +90,7 @@ def effect_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HALVES = "CASE WHEN event_id % 97 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 89 = 0 THEN NULL ELSE value END"
 QUALITY = f"""WITH e AS (SELECT event_type AS name, user_id AS token, ts, {HALVES} AS value, event_id FROM events),
-s AS (SELECT name, token, CASE WHEN ts < TIMESTAMP '2024-01-02' THEN 'b' ELSE 'c' END AS side, value, event_id FROM e WHERE ts < TIMESTAMP '2024-01-02' OR ts >= TIMESTAMP '2024-01-29'),
+s AS (SELECT name, token, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'b' ELSE 'c' END AS side, value, event_id FROM e),
 k AS (SELECT *, count(*) OVER (PARTITION BY name, side, token) = 1 AS ok, value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value) AS fin FROM s),
 t AS (SELECT name, side, ok, fin, CASE WHEN ok THEN 'id' || token ELSE side || '#' || event_id END AS t FROM k),
 j AS (SELECT coalesce(b.name, c.name) AS name, b.t IS NOT NULL AS bt, c.t IS NOT NULL AS ct, b.fin AS bf, c.fin AS cf, b.ok AS bo, c.ok AS co FROM (SELECT * FROM t WHERE side = 'b') b FULL JOIN (SELECT * FROM t WHERE side = 'c') c ON b.name = c.name AND b.t = c.t),

@@ -77,10 +77,10 @@ def slices_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return behaviour.categorical_slices(order_rows(spark, sf_dir), ["segment", "priority", "status"])
 
 
-@query("slices_worst", f"WITH {ROWS}, u AS (SELECT 'segment' AS feature, segment AS value, b, c FROM w UNION ALL SELECT 'priority', priority, b, c FROM w UNION ALL SELECT 'status', status, b, c FROM w), s AS (SELECT feature || '=' || value AS slice, {SCORES} FROM u GROUP BY feature, value) SELECT slice, support, delta FROM s ORDER BY round(delta, 9), support DESC, slice LIMIT 3")
+@query("slices_worst", f"WITH {ROWS}, u AS (SELECT 'segment' AS feature, segment AS value, b, c FROM w UNION ALL SELECT 'priority', priority, b, c FROM w UNION ALL SELECT 'status', status, b, c FROM w), s AS (SELECT feature || '=' || value AS slice, {SCORES} FROM u GROUP BY feature, value) SELECT slice, support, round(delta, 9) AS delta FROM s ORDER BY 3, support DESC, slice LIMIT 3")
 def slices_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = slices_categorical(spark, sf_dir).withColumn("d", F.round("delta", 9))
-    return found.orderBy("d", F.desc("support"), "slice").limit(3).select("slice", "support", "delta")
+    found = slices_categorical(spark, sf_dir).withColumn("delta", F.round("delta", 9))
+    return behaviour.worst_slices(found, top=3).select("slice", "support", "delta")
 
 
 @query("slices_numeric", f"""WITH {ROWS}, v AS (SELECT DISTINCT c_acctbal AS v FROM w), q AS (SELECT quantile_disc(v, 0.0) AS q0, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.5) AS q2, quantile_disc(v, 0.75) AS q3, quantile_disc(v, 1.0) AS q4 FROM v),
@@ -107,9 +107,9 @@ def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPLIT = "ts < TIMESTAMP '2024-01-16'"
 
 
-@query("resource_summary", f"SELECT event_type, {SPLIT} AS early, count(*) AS n, avg(value) AS mean, min(value) AS min, max(value) AS max, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1, 2")
+@query("resource_summary", f"SELECT event_type, {SPLIT} AS early, count(v) AS n, avg(v) AS mean, min(v) AS min, max(v) AS max, quantile_disc(v, 0.95) AS p95, count(*) - count(v) AS left_out FROM (SELECT *, CASE WHEN event_id % 97 <> 0 AND event_id % 89 <> 0 THEN value END AS v FROM events) GROUP BY 1, 2")
 def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("early", F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    e = dirty_events(spark, sf_dir).withColumn("early", F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
     return resources.summaries(e, ["event_type", "early"])
 
 
@@ -162,8 +162,8 @@ def schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("table_fingerprint", """WITH h AS (SELECT sha256(c_custkey || chr(31) || c_name || chr(31) || c_mktsegment) AS h, count(*) AS n FROM customer GROUP BY 1),
-p AS (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS d, sum(n) AS n FROM h GROUP BY 1)
-SELECT sum(n)::BIGINT AS rows, sha256(string_agg(d, ',' ORDER BY p)) AS multiset_sha256 FROM p""")
+l AS (SELECT i, sum(n::HUGEINT * ('0x' || substr(h, 1 + 8 * i, 8))::HUGEINT) AS s FROM h, range(8) AS t(i) GROUP BY i)
+SELECT (SELECT sum(n)::BIGINT FROM h) AS rows, sha256((SELECT sum(n)::BIGINT FROM h) || ',' || string_agg(s::VARCHAR, ',' ORDER BY i)) AS multiset_sha256 FROM l""")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_fingerprint(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.redaction import SECRET_PATTERNS, normalise_message, redact_text, scan
+from ..checkpoints import numbered
+from ..functions.redaction import SECRET_PATTERNS, redact_text, scan
 from ..functions.values import parity_passed
-from ..operators import bisection, dependencies, inputs, lineage, minimise, operations, trace
+from ..operators import bisection, dependencies, failures, inputs, lineage, minimise, operations, trace
 from .experiments import resamples_sql
 from .registry import query, table
 
@@ -146,7 +147,7 @@ def graph_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("line_range_join", """WITH f AS (SELECT p_partkey AS id, p_brand AS path, p_size AS a, p_size + 2 AS b FROM part WHERE p_partkey % 3 <> 0), w AS (SELECT DISTINCT p_brand AS path FROM part),
-c AS (SELECT DISTINCT p_brand AS path, l_linenumber * 6 AS line FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 100 = 0),
+c AS (SELECT DISTINCT p_brand AS path, l_linenumber * 6 AS line FROM lineitem JOIN part ON l_partkey = p_partkey),
 h AS (SELECT DISTINCT 'function:' || id AS id, c.path FROM c JOIN f ON f.path = c.path AND line BETWEEN a AND b)
 SELECT DISTINCT id, 'range' AS matched_by FROM h UNION ALL SELECT 'file:' || path, 'path' FROM w WHERE path IN (SELECT path FROM c) AND path NOT IN (SELECT path FROM h)""")
 def line_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +210,7 @@ def bisect_nonmonotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisection.candidates(bisection.votes(day_votes(spark, sf_dir)))
 
 
-@query("bisect_scores", f"""WITH c AS (SELECT day(ts)::INT AS rev_idx, user_id AS seed, avg(value) AS score FROM events GROUP BY 1, 2), p AS (SELECT c.rev_idx, c.seed, c.score - b.score AS difference FROM c JOIN c b ON b.seed = c.seed AND b.rev_idx = 1 WHERE c.rev_idx BETWEEN 2 AND 8),
+@query("bisect_scores", f"""WITH c AS (SELECT day(ts)::INT AS rev_idx, user_id AS seed, avg(value) AS score FROM events GROUP BY 1, 2), p AS (SELECT c.rev_idx, c.seed, c.score - b.score AS difference FROM c JOIN c b ON b.seed = c.seed AND b.rev_idx = 1 WHERE c.rev_idx > 1),
 {resamples_sql('p', 'rev_idx', 'difference', 'seed', 60, 5)}, b AS (SELECT rev_idx, quantile_cont(s, 0.025) AS lower, quantile_cont(s, 0.975) AS upper FROM s GROUP BY 1), n AS (SELECT rev_idx, count(*) AS n, avg(difference) AS estimate FROM p GROUP BY 1)
 SELECT rev_idx, n, estimate, lower, upper, CASE WHEN n < 5 THEN 'inconclusive' WHEN upper < -2.0 THEN 'bad' WHEN lower >= -2.0 THEN 'good' ELSE 'inconclusive' END AS status FROM b JOIN n USING (rev_idx)""")
 def bisect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,13 +248,14 @@ def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(safe, 256).alias("redacted_sha256"), (safe != F.col("text")).alias("changed"))
 
 
-@query("failure_groups", r"""WITH m AS (SELECT 'step ' || user_id || ' of ' || event_type || ' failed:  0x1f token=' || event_id || ' after ' || round(value, 2) || 's' AS m FROM events WHERE event_type IN ('error', 'view')),
-n AS (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?i)\b(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*[^\s,;]+', '\1=<redacted>', 'g'), '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b', '<uuid>', 'g'), '\b(0x[0-9a-fA-F]+|\d+(\.\d+)?)\b', '<number>', 'g'), '\s+', ' ', 'g') AS message FROM m)
-SELECT trim(message) AS message, count(*) AS failures FROM n GROUP BY 1""")
+@query("failure_groups", r"""WITH m AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'a.' WHEN event_id % 3 = 1 THEN 'builtins.' ELSE '' END || event_type AS t, 'step ' || user_id || ' of ' || event_type || ' failed:  0x1f token=' || event_id || ' after ' || round(value, 2) || 's' AS m FROM events),
+n AS (SELECT CASE WHEN starts_with(t, 'builtins.') THEN substr(t, 10) ELSE t END AS error_type, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?i)\b(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*[^\s,;]+', '\1=<redacted>', 'g'), '(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b', '<uuid>', 'g'), '\b(0x[0-9a-fA-F]+|\d+(\.\d+)?)\b', '<number>', 'g'), '\s+', ' ', 'g') AS message FROM m)
+SELECT error_type, trim(message) AS message, count(*) AS failures FROM n GROUP BY 1, 2""")
 def failure_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'view')")
     message = F.concat(F.lit("step "), F.col("user_id").cast("string"), F.lit(" of "), "event_type", F.lit(" failed:  0x1f token="), F.col("event_id").cast("string"), F.lit(" after "), F.round("value", 2).cast("string"), F.lit("s"))
-    return e.groupBy(normalise_message(message).alias("message")).agg(F.count(F.lit(1)).alias("failures"))
+    module = F.when(F.col("event_id") % 3 == 0, "a.").when(F.col("event_id") % 3 == 1, "builtins.").otherwise("")
+    raised = table(spark, sf_dir, "events").select(F.lit("exception").alias("kind"), F.concat(module, F.col("event_type")).alias("error_type"), message.alias("message"))
+    return failures.groups(raised).select("error_type", F.col("normalized_message").alias("message"), "failures")
 
 
 @query("parity_words", "SELECT event_type, CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 WHEN event_type = 'error' THEN false WHEN event_type = 'view' THEN true END AS passed, count(*) AS n FROM events GROUP BY 1, 2")
@@ -293,7 +295,7 @@ def openlineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.read_openlineage(lines.unionByName(spark.createDataFrame([("not json",), ("{}",)], "value string")))
 
 
-@query("lineage_events", "WITH j AS (SELECT DISTINCT 'nation:' || n_nationkey AS job FROM nation) SELECT job, ['region:' || n_regionkey] AS inputs, coalesce((SELECT list(DISTINCT 'supplier:' || s_suppkey ORDER BY 'supplier:' || s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), []) AS outputs FROM j JOIN nation ON job = 'nation:' || n_nationkey")
+@query("lineage_events", "WITH j AS (SELECT DISTINCT 'nation:' || n_nationkey AS job FROM nation) SELECT job, 0 AS part, ['region:' || n_regionkey] AS inputs, coalesce((SELECT list(DISTINCT 'supplier:' || s_suppkey ORDER BY 'supplier:' || s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), []) AS outputs FROM j JOIN nation ON job = 'nation:' || n_nationkey")
 def lineage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
@@ -309,13 +311,9 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.parse_diff(lines, ["id"])
 
 
-@query("ddmin_rows", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_quantity = 50) AND l_quantity = 50 ORDER BY l_linenumber LIMIT 1")
+@query("ddmin_rows", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 4 AND l_returnflag = 'R' QUALIFY row_number() OVER (ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1")
 def ddmin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one row that makes the failure: the first with a quantity of 50 of the first such order."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity = 50")
-    first = li.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("f")).first().f
-    rows = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy(F.lit(1)).orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    rows = rows.select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).alias("row_idx"))
-    hit = (F.col("l_orderkey") == first.l_orderkey) & (F.col("l_linenumber") == first.l_linenumber)
-    return minimise.shrink_rows(rows, lambda df: not df.where(hit).isEmpty()).select("l_orderkey", "l_linenumber")
+    """Of all lines a smallest table that still fails: it fails with any line that is its order's fourth, has a quantity of 50
+    and came back, and the shrinker, which leaves out what it can from the front, keeps the last such line."""
+    rows = numbered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"), ["l_orderkey", "l_linenumber", "l_partkey"])
+    return minimise.shrink_rows(rows, lambda df: not df.where("l_quantity = 50 AND l_linenumber = 4 AND l_returnflag = 'R'").isEmpty()).select("l_orderkey", "l_linenumber")

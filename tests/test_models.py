@@ -118,3 +118,37 @@ def test_fingerprint_ignores_order_but_not_repeats(spark):
     assert one.multiset_sha256 != tables.table_fingerprint(df.distinct(), ["i", "s"]).first().multiset_sha256
     assert tables.table_fingerprint(df.limit(0), ["i", "s"]).first().rows == 0
     assert {r.column: (r.type, r.nulls) for r in tables.schema_profile(df).collect()} == {"i": ("integer", 0), "s": ("string", 2)}
+
+
+def test_summaries_leave_out_what_is_not_finite(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", float("inf")), ("a", None), ("b", float("nan"))], "g string, value double")
+    rows = {r.g: r for r in resources.summaries(df, ["g"]).collect()}
+    assert (rows["a"].n, rows["a"].mean, rows["a"].max, rows["a"].p95, rows["a"].left_out) == (1, 1.0, 1.0, 1.0, 3)
+    assert (rows["b"].n, rows["b"].mean, rows["b"].left_out) == (0, None, 1)
+    d = resources.resource_delta(df, df.where("g = 'a'"), ["g"]).where("g = 'a'").first()
+    assert (d.baseline, d.candidate_n, d.delta) == (1.0, 1, 0.0)
+
+
+def test_nested_leaves(spark):
+    df = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": null}], "d": {}}, "e": "x"}'), (2, "3"), (3, None)], "id int, j string")
+    got = sorted((r.id, r.path, r.value) for r in resources.nested_leaves(df, ["id"], "j").collect())
+    assert [(i, p) for i, p, _ in got] == [(1, "a.b.0"), (1, "a.b.1.c"), (1, "a.d"), (1, "e"), (2, "")]
+    assert dict(((i, p), v) for i, p, v in got)[(1, "e")] == "x" and dict(((i, p), v) for i, p, v in got)[(1, "a.b.0")] == "1"
+
+
+def test_rows_are_numbered_in_order_without_one_task(spark):
+    from runlens.checkpoints import numbered
+
+    df = spark.range(500).selectExpr("pmod(id * 7919, 503) AS v", "id").repartition(9)
+    got = [tuple(r) for r in numbered(df, ["v", "id"]).orderBy("row_idx").select("v", "row_idx").collect()]
+    assert [n for _, n in got] == list(range(500)) and [v for v, _ in got] == sorted(v for v, _ in got)
+    assert numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_large_groups_are_bootstrapped_by_weights(spark):
+    from runlens.operators import statistics
+
+    df = spark.range(400).selectExpr("id % 2 AS g", "id", "cast(id % 10 AS double) AS value")
+    drawn, weighed = ({r.g: r for r in statistics.bootstrap(df, ["g"], ["id"], "value", 200, 1, max_draws=m).collect()} for m in (10**9, 10))
+    for g in (0, 1):
+        assert drawn[g].estimate == weighed[g].estimate and abs(drawn[g].lower - weighed[g].lower) < 0.2 and abs(drawn[g].upper - weighed[g].upper) < 0.2

@@ -70,6 +70,10 @@ def test_failures(spark):
     assert [tuple(r) for r in failures.matches(e, o).collect()] == [(1, 7)]
     assert failures.groups(o).count() == 2 and failures.groups(o.drop("phase")).first().failures == 2
     df = spark.createDataFrame([("Traceback\n  File x\nmy.KeyError: 'a b'\n",), ("nothing",)], "t string")
+    named = spark.createDataFrame([(1, "x", t, "m", None, None, None, None) for t in ("a.TimeoutError", "b.TimeoutError", "TimeoutError", "builtins.TimeoutError")], schema)
+    assert sorted((r.error_type, r.failures) for r in failures.groups(named).collect()) == [("TimeoutError", 2), ("a.TimeoutError", 1), ("b.TimeoutError", 1)]
+    assert failures.matches(named.limit(1), named).count() == 3
+
     kind, message = failures.from_traceback(F.col("t"))
     assert [tuple(r) for r in df.select(kind, message).collect()] == [("my.KeyError", "'a b'"), (None, None)]
     df = spark.createDataFrame([('x\n{"failure": {"error_type": "A"}}\n{"failure": {"error_type": "B"}}\n{bad',), ("",)], "t string")
