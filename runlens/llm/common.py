@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -11,20 +10,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
+
 #: Rows of one output batch of the Arrow operators.
 BATCH_ROWS = 8192
 
 
-def by_value() -> None:
-    """Ship this package's functions inside the tasks, so that executors need no copy of it."""
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules["runlens"])
-
-
-by_value()
-
-
 def worker_cache(name: str, make: Any, large: bool = False) -> Any:
     """An object that lives as long as the Python worker and is shared by its tasks; of large ones only the last."""
     held = sys.__dict__.setdefault("_runlens_worker_cache", {})
@@ -48,17 +39,6 @@ def free_large_caches() -> None:
         gc.collect()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the setting is absent and all runs in one
-    process, as in tests. On a cluster without the setting this is an error: a machine's folder isn't shared."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file:///tmp/runlens-checkpoints"
-    return folder.rstrip("/")
-
-
 class Scratch:
     """A folder of tables (and binary files) of one operator run, in the shared folder.
 
@@ -68,7 +48,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/runlens-{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str, **options: str) -> DataFrame:
         path = f"{self.path}/{table}"
