@@ -1,6 +1,6 @@
 """All queries of the plan modules."""
 
-from . import evidence, experiments, models, operations
+from . import evidence, experiments, models, operations, records
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "experiments", "models", "operations"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "experiments", "models", "operations", "records"]
