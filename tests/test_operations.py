@@ -123,7 +123,7 @@ def test_minimise(spark):
     assert minimise.shrink_columns(df, lambda d: "a" in d.columns).columns == ["a"]
     assert minimise.shrink_tokens("a b c d", lambda t: "c" in t) == "c"
     assert minimise.shrink_sequence("abcd", {3: [0]}, lambda x: "d" in x) == ["a", "d"]
-    assert minimise.shrink_structure({"a": [1, 2, {"k": 700}], "b": "xyz"}, lambda v: v.get("a") and any(isinstance(i, dict) and i.get("k", 0) > 5 for i in v["a"])) == {"a": [{"k": 10}]} or True
+    assert minimise.shrink_structure({"a": [1, 2, {"k": 700}], "b": "xyz"}, lambda v: v.get("a") and any(isinstance(i, dict) and i.get("k", 0) > 5 for i in v["a"])) == {"a": [{"k": 10}]}
     assert minimise.shrink_graph(["a", "b", "c"], [("a", "b"), ("b", "c")], lambda n, e: ("a", "b") in e) == (["a", "b"], [("a", "b")])
     test = minimise.Evaluator(lambda x: True, max_evaluations=3)
     minimise.ddmin(list(range(100)), test)
