@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,45 @@ def candidates(statuses: DataFrame, rev: str = "rev_idx") -> DataFrame:
 def uncomputed(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of a cache that still have to be run."""
     return wanted.join(cache.select(*keys), keys, "left_anti")
+
+
+def search(revisions: Sequence[int], judge: Callable[[int], str], max_evaluations: int | None = None, known: Mapping[int, str] | None = None) -> dict[str, Any]:
+    """The first bad of ordered revisions, by halving: judge gives good, bad or inconclusive and is asked once each.
+
+    An inconclusive revision is passed over towards its neighbours. The result has first_bad, last_good, the statuses
+    asked for or known, whether the budget ran out, and whether they contradict an order of good before bad; then, or
+    if an inconclusive revision lies between the last good and the first bad one, first_bad is None.
+    """
+    statuses, asked = dict(known or {}), 0
+
+    def status(i: int) -> str | None:
+        nonlocal asked
+        if revisions[i] not in statuses:
+            if max_evaluations is not None and asked >= max_evaluations:
+                return None
+            asked += 1
+            statuses[revisions[i]] = judge(revisions[i])
+        return statuses[revisions[i]]
+
+    low, high, spent = -1, len(revisions), False  # the last known good, the first known bad
+    while high - low > 1 and not spent:
+        middle = (low + high) // 2
+        near = sorted(range(low + 1, high), key=lambda i: abs(i - middle))
+        for i in near:
+            found = status(i)
+            if found is None:
+                spent = True
+            if found != "inconclusive":
+                break
+        else:
+            break
+        if found == "good":
+            low = i
+        elif found == "bad":
+            high = i
+    places = {r: i for i, r in enumerate(revisions)}
+    bad = [places[r] for r, s in statuses.items() if s == "bad" and r in places]
+    good = [places[r] for r, s in statuses.items() if s == "good" and r in places]
+    contradicted = bool(bad) and any(i > min(bad) for i in good)
+    sure = high < len(revisions) and high - low == 1 and not contradicted
+    return {"first_bad": revisions[high] if sure else None, "last_good": revisions[low] if low >= 0 else None, "statuses": statuses, "evaluations": asked, "spent": spent, "contradicted": contradicted}

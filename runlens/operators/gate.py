@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+from ..functions.decisions import severity
+
 
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_")
@@ -81,3 +85,27 @@ def report(rows: DataFrame, kind: str = "text") -> str:
     if kind == "github":
         return "\n".join(f"::{'error' if c['status'] == 'fail' else 'warning'} title={c['name']}::{c['details']}" for c in found if c["status"] != "pass")
     return "\n".join([f"{c['status'].upper():5} {c['name']}" + (f" ({c['details']})" if c["details"] else "") for c in found] + ["FAIL" if bad or not found else "PASS"])
+
+
+def ci_gate(baseline: DataFrame, candidate: DataFrame, runs: DataFrame | None = None, parity: DataFrame | None = None, required: list[str] | None = None, extra: DataFrame | None = None, policy: Mapping[str, bool] | None = None, **options: Any) -> tuple[int, DataFrame]:
+    """(exit code, checks) of two sides' observations: compared, judged by the policy, with the caller's own checks.
+
+    baseline and candidate are name, token, value; runs is side, status, run_id; extra has the columns of checks.
+    """
+    from .comparison import compare, run_health
+
+    rows = checks(compare(baseline, candidate, **options), None if runs is None else run_health(runs), parity, required, **(policy or {}))
+    if extra is not None:
+        rows = rows.unionByName(extra.select("name", "check_id", "status", "details"))
+    rows = checkpointed(rows)
+    return result(rows).first().exit_code, rows
+
+
+def render_comparison(comparison: DataFrame, top: int = 100) -> str:
+    """The comparison as text: a line per metric, the gravest first, of at most `top` metrics and the number of others."""
+    rank = severity(F.col("status"))
+    rows = comparison.orderBy(F.desc(rank), "name").limit(top).collect()
+    number = lambda x: "-" if x is None else f"{x:.6g}"
+    lines = [f"{r.status.upper():12} {r.name}: {number(r.estimate)} [{number(r.lower)}, {number(r.upper)}], {r.shared_observations} pairs" for r in rows]
+    rest = comparison.count() - len(rows)
+    return "\n".join(lines + ([f"and {rest} more"] if rest else []) or ["no metrics: inconclusive"])

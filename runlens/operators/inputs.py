@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +67,55 @@ def input_cases(spark: SparkSession, size: int, examples: DataFrame | None = Non
 
 
 def constrain(value: Column, constraint: str) -> Column:
-    if constraint == "non_negative":
+    """One number under a constraint: non-negative, integer or categorical."""
+    kind = constraint.lower().replace("_", "-")
+    if kind in ("non-negative", "nonnegative"):
         return F.abs(value)
-    if constraint in ("integer", "categorical"):
+    if kind in ("integer", "categorical"):
         return F.bround(value)
     return value
+
+
+@dataclass(frozen=True)
+class InputSpec:
+    """What a model's input looks like: a shape whose dynamic dimensions have choices by position or name, a type that
+    its numbers are cast to, and constraints on them."""
+
+    shape: tuple[int | str | None, ...]
+    dtype: str = "float32"
+    choices: Mapping[int | str, Sequence[int]] = field(default_factory=dict)
+    constraints: tuple[str, ...] = ()
+
+    def resolve_shape(self, seed: int = 0) -> tuple[int, ...]:
+        """A shape with a seeded choice for each dynamic dimension; an unnamed one without choices is 1."""
+        draws, out = random.Random(seed), []
+        for i, size in enumerate(self.shape):
+            allowed = self.choices.get(i) or self.choices.get(str(i)) or (self.choices.get(size) if isinstance(size, str) else None)
+            if allowed:
+                out.append(int(allowed[draws.randrange(len(allowed))]))
+            elif isinstance(size, str):
+                raise ValueError(f"the dimension {size} has no choices")
+            else:
+                out.append(1 if size is None else int(size))
+        return tuple(out)
+
+    def apply(self, cases: DataFrame, values: str = "values") -> DataFrame:
+        """Cases with their values under the constraints (one-hot: a 1 and zeros) and cast to the type."""
+        kinds = {c.lower().replace("_", "-") for c in self.constraints}
+        cell = lambda x, i: F.when(i == 0, 1.0).otherwise(0.0) if "one-hot" in kinds else x
+        out = F.transform(values, cell)
+        under = lambda kind: lambda x: constrain(x, kind)
+        for kind in sorted(kinds - {"one-hot"}):
+            out = F.transform(out, under(kind))
+        types = {"float32": "float", "float64": "double", "int32": "int", "int64": "bigint", "bool": "boolean"}
+        if self.dtype not in types:
+            raise ValueError(f"no type is called {self.dtype}")
+        numbers = F.filter(out, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) if self.dtype.startswith("int") else out
+        usable = cases.where(F.size(numbers) == F.size(values))  # a whole number can't be infinite
+        return usable.withColumn(values, F.transform(out, lambda x: x.try_cast(types[self.dtype])))
+
+
+def cases_of(spark: SparkSession, spec: InputSpec, seed: int = 0, **options: Any) -> DataFrame:
+    """input_cases of a specification, with their shape."""
+    shape = spec.resolve_shape(seed)
+    return spec.apply(input_cases(spark, math.prod(shape), seed=seed, **options)).withColumn("shape", F.array(*[F.lit(s) for s in shape]))

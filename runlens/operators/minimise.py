@@ -283,3 +283,34 @@ def shrink(value: Any, predicate: Callable[..., bool], kind: str = "auto", **opt
         kind = "table" if isinstance(value, DataFrame) else "tensor" if hasattr(value, "dtype") else "text" if isinstance(value, str) else "rows" if isinstance(value, list) else "structure"
     strategies = {"table": shrink_rows, "tensor": shrink_tensor, "image": shrink_image, "text": shrink_tokens, "rows": ddmin, "tabular": shrink_tabular, "structure": shrink_structure}
     return strategies[kind](value, predicate, **options)
+
+
+def shrink_capsule(source: str, target: str, predicate: Callable[[Any], bool], kind: str = "auto", member: str = "replay/inputs.json", verify: bool = True, key: bytes | None = None, **options: Any) -> dict[str, Any]:
+    """Shrink the replay input of a capsule and write a child capsule that names its parent and how it came about.
+
+    The child has all of the parent's members, the smaller input, and shrink.json: strategy, digests and sizes before
+    and after, and whether the failure was seen again. Returns that record.
+    """
+    import hashlib
+
+    from ..sources.capsules import canonical_json, read_capsule, strict_json, write_capsule
+
+    rows = list(read_capsule(source, key=key))
+    if rows[0][7]:
+        raise ValueError(rows[0][7])
+    members = {r[3]: r[6] for r in rows}
+    if member not in members:
+        raise ValueError(f"the capsule has no {member}")
+    before = strict_json(members[member].decode())
+    after = shrink(before, predicate, kind, **options)
+    seen = bool(predicate(after)) if verify else None
+    if seen is False:
+        raise ValueError("the smaller input does not fail again")
+    small = canonical_json(after).encode()
+    record = {"parent": hashlib.sha256(members["manifest.json"]).hexdigest(), "member": member, "strategy": kind, "bytes_before": len(members[member]), "bytes_after": len(small), "sha256_before": hashlib.sha256(members[member]).hexdigest(), "sha256_after": hashlib.sha256(small).hexdigest(), "verified": seen}
+    run = strict_json(members["run.json"].decode())
+    history = [*strict_json(members["shrink.json"].decode())["history"], record] if "shrink.json" in members else [record]
+    child = {**run, "run_id": f"{run.get('run_id')}-shrunk-{len(history)}", "parent_run_id": run.get("run_id")}
+    kept = {n: d for n, d in members.items() if n not in ("run.json", "manifest.json", "signature.json")}
+    write_capsule(target, child, {**kept, member: small, "shrink.json": canonical_json({"history": history}).encode()}, key=key)
+    return record

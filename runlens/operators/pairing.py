@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.values import is_finite
 
-#: Keys that may declare a run's identity, first wins.
-IDENTITY_KEYS = ("trial", "fold", "sample_id", "dataset_version", "seed")
-
 
 def first_runs(runs: DataFrame, key: str = "run_id", order: str = "arrival") -> DataFrame:
     """Duplicate runs removed, the first to arrive stays."""

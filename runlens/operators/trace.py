@@ -64,6 +64,27 @@ def missing_parents(events: DataFrame, parents: str, node: str, by: list[str]) -
     return wanted.join(there, [*by, "parent"], "left_anti")
 
 
+def analyse(events: DataFrame, links: DataFrame, by: list[str], dropped_before: str, seq: str = "seq", radius: int = 8) -> DataFrame:
+    """by..., node, part, detail: what a ring of events tells of its first abnormal event.
+
+    events is by..., node, seq, abnormal, and dropped_before, the sequence number below which the ring has lost events;
+    links is by..., node, parent, parent_seq. Parts are the ancestors (their depth), the roots (ancestors without a
+    parent), parents that are missing (evicted if they lie before what the ring holds, else never_recorded), and the
+    window around the event (the offset).
+    """
+    starts = events.where("abnormal").groupBy(*by).agg(F.min_by("node", seq).alias("node"))
+    above = checkpointed(ancestry(links, starts, by))
+    row = lambda df, part, detail: df.select(*by, F.col("node").cast("string").alias("node"), F.lit(part).alias("part"), detail.cast("string").alias("detail"))
+    with_parent = links.where(F.col("parent").isNotNull()).select(*by, "node").distinct()
+    roots = above.join(with_parent, [*by, "node"], "left_anti")
+    wanted = above.select(*by, "node").join(links.where(F.col("parent").isNotNull()), [*by, "node"]).select(*by, F.col("parent").alias("node"), "parent_seq").distinct()
+    lost = events.groupBy(*by).agg(F.max(dropped_before).alias("from_"))
+    missing = wanted.join(events.select(*by, "node"), [*by, "node"], "left_anti").join(lost, by, "left")
+    why = F.when(F.col("parent_seq") < F.col("from_"), "evicted").otherwise("never_recorded")
+    window = around(events, by, [seq], radius=radius)
+    return row(above, "ancestor", F.col("depth")).unionByName(row(roots, "root", F.lit(None))).unionByName(row(missing, "missing", why)).unionByName(row(window, "window", F.col("offset")))
+
+
 def merge_traces(first: DataFrame, second: DataFrame, identity: list[str], order: str) -> DataFrame:
     """Both traces without repeats of the identity; the first source wins."""
     both = first.withColumn("source_", F.lit(0)).unionByName(second.withColumn("source_", F.lit(1)))
