@@ -15,7 +15,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHOICE = (
     "paired_delta regression_decisions pairing_quality identity_ambiguity sample_design last_finite observation_states gate_checks prediction_changes ece slices_pairs resource_regressions config_diff "
     "feature_parity_cells table_fingerprint output_parity trace_window missing_parents line_range_join retention_plan queue_blocked bisect_first_bad sensitive_findings failure_groups sql_lineage diff_lines "
-    "calibration_interval merged_evidence poisson_bootstrap python_lineage resource_interval bisect_scores failure_matches resource_summary slices_numeric slices_worst lineage_events ddmin_rows"
+    "calibration_interval merged_evidence poisson_bootstrap python_lineage resource_interval bisect_scores failure_matches resource_summary slices_numeric slices_worst lineage_events ddmin_rows "
+    "run_identity member_pairs parity_members behaviour_source resource_samples live_payloads change_roots impact_plan impact_report relationship_edges graph_load dvc_stages feature_ways seeded_runs trace_analysis "
+    "capsule_scan recorded_runs stored_contents nested_config_diff nested_leaves model_comparison shell_lineage notebook_lineage openlineage_out live_windows live_ring live_queue"
 ).split()
 
 
