@@ -26,7 +26,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, filesystem, ids_and_texts
+from .common import BATCH_ROWS, Scratch, batches, filesystem, ids_and_texts
 from .tokens import default_tokenizer, encoder, text_groups
 
 MAGIC, TAIL = b"RLSST01\n", b"RLS1"
@@ -35,7 +35,9 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 BLOCK_BYTES = 1 << 16
 
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long"
-RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
+RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, found boolean"
+#: Of the identifiers read, those divisible by this are looked up as well.
+LOOKUP_EVERY = 100
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -248,7 +250,7 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents are range-partitioned and sorted by identifier (a null one comes first), so the shards in order of
     first_id are all documents in order; equal identifiers lie in one shard, in no stated order. Each task streams
-    one shard to the shared folder; memory holds one block and eight bytes a document. Null text is the empty
+    one shard to the shared folder; memory holds one block and the keys of the shard, about fifty bytes each. Null text is the empty
     document, which has the end id alone. An empty table gives an empty manifest. Other columns are not read.
     """
     scratch = Scratch(df.sparkSession, "shards")
@@ -260,19 +262,28 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _read(source: Iterator[Any]) -> Iterator[Any]:
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("found", pa.bool_())])
     for batch in source:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            cols: list[list[Any]] = [[], [], [], []]
-            for doc_id, ids in open_shard(path).scan():
-                for c, v in zip(cols, (doc_id, start, len(ids) // 4, zlib.crc32(ids)), strict=True):
+            cols: list[list[Any]] = [[], [], [], [], []]
+            shard, by_id, last = open_shard(path), open_shard(path), ()
+            for doc_id, ids in shard.scan():
+                found = None
+                if doc_id is not None and doc_id % LOOKUP_EVERY == 0:  # of rows that repeat an identifier the first is found
+                    found = by_id.get(doc_id) == ids if last != (doc_id,) else by_id.get(doc_id) is not None
+                last = (doc_id,)
+                for c, v in zip(cols, (doc_id, start, len(ids) // 4, zlib.crc32(ids), found), strict=True):
                     c.append(v)
                 start += len(ids) // 4
+                if len(cols[0]) >= BATCH_ROWS:
+                    yield from batches(schema, cols)
+                    cols = [[], [], [], [], []]
             yield from batches(schema, cols)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files; one task per shard.
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files; one task per shard. For identifiers
+    divisible by LOOKUP_EVERY, found tells whether a lookup (Bloom filter, binary search) gave the document too.
 
     The running start of each shard comes from a window over the manifest, which has one row per shard.
     """
