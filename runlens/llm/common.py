@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,21 @@ def free_large_caches() -> None:
         gc.collect()
 
 
+#: Lists that take down every scratch folder opened while they are here.
+_WATCHED: list[list[Any]] = []
+
+
+@contextmanager
+def scratches() -> Iterator[list[Any]]:
+    """The scratch folders that are opened inside, so that they can be removed when nothing reads them any more."""
+    used: list[Any] = []
+    _WATCHED.append(used)
+    try:
+        yield used
+    finally:
+        _WATCHED.remove(used)
+
+
 class Scratch:
     """A folder of tables (and binary files) of one operator run, in the shared folder.
 
@@ -48,6 +64,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        for used in _WATCHED:
+            used.append(self)
         self.path = f"{shared_folder(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str, **options: str) -> DataFrame:
@@ -56,10 +74,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
-        """Remove tables that nothing reads any more."""
+        """Remove tables that nothing reads any more; all of them if none are named."""
         jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        for place in [f"{self.path}/{t}" for t in tables] or [self.path]:
+            path = jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -51,3 +51,23 @@ def test_stages_against_brute_force(spark):
         else:
             assert gone == {d for d, v in contaminated(before, bench).items() if v[4]}
         now = out
+
+
+def test_run_gives_the_last_stage_and_leaves_little_behind(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    monkeypatch.setattr("runlens.llm.common.shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    rows = corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()
+    left = sorted(p.name.split("-")[1] for p in (tmp_path / "shared").iterdir())
+    assert left == ["pack", "pipeline"] and [p.name for p in next((tmp_path / "shared").glob("*-pipeline-*")).iterdir()] == ["decontamination"]
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path / "sf")).collect(), docs.schema)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in now.collect()}
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
