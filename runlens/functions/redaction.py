@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REDACTED = "<redacted>"
@@ -46,6 +49,52 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.where("f.n > 0").select("id", F.col("f.kind").alias("kind"), F.col("f.n").cast("long").alias("findings"))
 
 
+def scan_files(spark: SparkSession, path: str, max_bytes: int = 2_000_000) -> DataFrame:
+    """path, member, kind, findings of the files below a folder and of the members of ZIP files there, never values.
+
+    Files and members of more than max_bytes are not read: they have a row of kind too_large. Bytes that aren't UTF-8
+    are read as they come.
+    """
+    patterns = [(name, p) for name, p, _ in SECRET_PATTERNS]
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
+        import io
+        import re
+        import zipfile
+
+        import pandas as pd
+
+        def texts(name: str, size: int, content: bytes | None) -> Iterator[tuple[str | None, bytes | None]]:
+            if content is None or size > max_bytes:
+                yield None, None
+            elif content[:4] == b"PK\x03\x04":
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        for i in archive.infolist():
+                            if not i.is_dir():
+                                data = archive.open(i).read(max_bytes + 1)  # what it says of its size needn't be true
+                                yield i.filename, data if len(data) <= max_bytes else None
+                except (zipfile.BadZipFile, OSError, ValueError, RuntimeError):
+                    yield None, content
+            else:
+                yield None, content
+
+        for pdf in source:
+            rows = []
+            for name, size, content in zip(pdf["path"], pdf["length"], pdf["content"], strict=True):
+                for member, data in texts(name, size, content):
+                    if data is None:
+                        rows.append((name, member, "too_large", 1))
+                        continue
+                    text = data.decode("utf-8", "replace")
+                    rows += [(name, member, kind, n) for kind, p in patterns if (n := sum(1 for _ in re.finditer(p, text)))]
+            yield pd.DataFrame(rows, columns=["path", "member", "kind", "findings"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    read = files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    return read.mapInPandas(run, "path string, member string, kind string, findings long")
+
+
 def normalise_message(message: Column) -> Column:
     """Secrets, UUIDs and numbers become placeholders and white space one blank, so equal failures group."""
     out = F.regexp_replace(message, r"(?i)\b(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*[^\s,;]+", "$1=<redacted>")

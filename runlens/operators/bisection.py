@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.decisions import ternary
@@ -61,6 +61,29 @@ def uncomputed(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFram
     return wanted.join(cache.select(*keys), keys, "left_anti")
 
 
+class Cache:
+    """Judgements kept on the shared file system: statuses of revisions under the identity of what was run."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.schema = "identity string, revision long, status string, seq long"
+
+    def known(self, identity: str) -> dict[int, str]:
+        """The latest status of each revision; one search's revisions, so few."""
+        from ..sources.files import Files
+
+        if not Files(self.spark, self.path).exists(""):
+            return {}
+        rows = self.spark.read.schema(self.schema).json(self.path).where(F.col("identity") == identity)
+        return {r.revision: r.status for r in rows.groupBy("revision").agg(F.max_by("status", "seq").alias("status")).collect()}
+
+    def keep(self, identity: str, statuses: Mapping[int, str]) -> None:
+        import time
+
+        rows = [(identity, int(r), s, time.time_ns()) for r, s in statuses.items()]
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").json(self.path)
+
+
 def search(revisions: Sequence[int], judge: Callable[[int], str], max_evaluations: int | None = None, known: Mapping[int, str] | None = None) -> dict[str, Any]:
     """The first bad of ordered revisions, by halving: judge gives good, bad or inconclusive and is asked once each.
 

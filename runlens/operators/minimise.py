@@ -19,15 +19,22 @@ from ..checkpoints import checkpointed
 
 @dataclass
 class Evaluator:
-    """A cached, budgeted predicate: trials with a quorum, evaluations and seconds at most."""
+    """A cached, budgeted predicate: trials with a quorum, evaluations and seconds at most.
 
-    predicate: Callable[[Any], bool]
+    The predicate gives a truth value, or None where it can't tell (counted as unresolved, and taken for no). With
+    `expected` it gives the failure that it saw (any value), or None for none, and only failures equal to the expected
+    one count. What has been learnt is in `cache`, which another evaluator may begin with.
+    """
+
+    predicate: Callable[[Any], Any]
     trials: int = 1
     quorum: int | None = None
     max_evaluations: int | None = None
     max_seconds: float | None = None
+    expected: Any = None
     evaluations: int = 0
     flaky: int = 0
+    unresolved: int = 0
     cache: dict[str, bool] = field(default_factory=dict)
     began: float = field(default_factory=time.monotonic)
 
@@ -44,7 +51,9 @@ class Evaluator:
             hits = 0
             for _ in range(self.trials):
                 self.evaluations += 1
-                hits += bool(self.predicate(value))
+                seen = self.predicate(value)
+                self.unresolved += seen is None and self.expected is None
+                hits += bool(seen) if self.expected is None else seen == self.expected
             self.flaky += 0 < hits < self.trials
             self.cache[name] = hits >= (self.quorum or self.trials)
         return self.cache[name]
@@ -285,6 +294,33 @@ def shrink(value: Any, predicate: Callable[..., bool], kind: str = "auto", **opt
     return strategies[kind](value, predicate, **options)
 
 
+def shrink_input(value: Any, predicate: Callable[[Any], bool], shrinker: Callable[[Any, Evaluator], Any] | None = None, max_steps: int = 64) -> tuple[Any, int]:
+    """(a smaller value for which the predicate holds, evaluations): at most max_steps evaluations, of a shrinker of the
+    caller's or of the strategy for the kind of value."""
+    test = Evaluator(predicate, max_evaluations=max_steps)
+    if not test(value):
+        raise ValueError("the predicate does not hold for the value")
+    best = [value]
+
+    def holds(candidate: Any, key: Any = None) -> bool:
+        ok = test(candidate, key)
+        if ok:
+            best[0] = candidate
+        return ok
+
+    if shrinker:
+        shrinker(value, holds)
+    elif isinstance(value, str):
+        ddmin(value.split(), lambda words: holds(" ".join(words)), max_evaluations=max_steps)
+    elif isinstance(value, list):
+        ddmin(value, lambda items: holds(list(items)), max_evaluations=max_steps)
+    elif hasattr(value, "dtype"):
+        shrink_tensor(value, lambda a: holds(a, [a.shape, a.tobytes().hex()]), max_evaluations=max_steps)
+    else:
+        shrink_structure(value, holds, max_evaluations=max_steps)
+    return best[0], test.evaluations
+
+
 def shrink_capsule(source: str, target: str, predicate: Callable[[Any], bool], kind: str = "auto", member: str = "replay/inputs.json", verify: bool = True, key: bytes | None = None, **options: Any) -> dict[str, Any]:
     """Shrink the replay input of a capsule and write a child capsule that names its parent and how it came about.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,14 @@ def merge_identified(parent: DataFrame, child: DataFrame, key: list[str], pos: s
     return both.groupBy(*key).agg(first, *[F.max_by(c, F.struct("rank_", pos)).alias(c) for c in rest])
 
 
+def names_of(*sides: DataFrame, name: str = "name", required: Sequence[str] = ()) -> DataFrame:
+    """name: all names that any side has or that are required."""
+    out = sides[0].sparkSession.createDataFrame([(r,) for r in required], "name string")
+    for side in sides:
+        out = out.unionByName(side.select(F.col(name).cast("string").alias("name")))
+    return out.distinct()
+
+
 def observation_identity(df: DataFrame, by: list[str], order: list[str], explicit: str, step: str) -> DataFrame:
     """Adds identity and identity_kind: the explicit one, else the step, else the place among the series' rows."""
     place = (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("string")

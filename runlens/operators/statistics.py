@@ -61,17 +61,22 @@ def interval(statistics: DataFrame, by: list[str], confidence: float, statistic:
     return statistics.groupBy(*by).agg(F.percentile(statistic, tail).alias("lower"), F.percentile(statistic, 1 - tail).alias("upper"), F.least(F.lit(1.0), 2 * F.least(below, 1 - below)).alias("p_value"))
 
 
-def _statistics(df: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int, seed: int, aggregate: str, max_draws: int) -> DataFrame:
+def aggregate_of(aggregate: str | Callable[[str], Column]) -> Callable[[str], Column]:
+    """A statistic by its name, or the caller's own: a function from a column's name to an aggregate."""
+    return AGGREGATES[aggregate] if isinstance(aggregate, str) else aggregate
+
+
+def _statistics(df: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int, seed: int, aggregate: str | Callable[[str], Column], max_draws: int) -> DataFrame:
     """by..., r, s: the statistic of each resample. df is written, as it is read several times."""
     largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest * resamples <= max_draws or aggregate not in ("mean", "sum"):
-        return resampled(indexed(df, by, order, value), by, resamples, seed).groupBy(*by, "r").agg(AGGREGATES[aggregate]("value").alias("s"))
+        return resampled(indexed(df, by, order, value), by, resamples, seed).groupBy(*by, "r").agg(aggregate_of(aggregate)("value").alias("s"))
     drawn = poisson_draw(df.withColumn("value", F.col(value)), order, resamples, seed)
     total = F.sum(F.col("w") * F.col("value"))
     return drawn.groupBy(*by, "r").agg((total / F.sum("w") if aggregate == "mean" else total).alias("s"))
 
 
-def bootstrap(df: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95, aggregate: str = "mean", max_draws: int = MAX_DRAWS) -> DataFrame:
+def bootstrap(df: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95, aggregate: str | Callable[[str], Column] = "mean", max_draws: int = MAX_DRAWS) -> DataFrame:
     """by..., n, estimate, lower, upper, p_value of a statistic of one sample per group.
 
     A group of more than max_draws / resamples rows is too large to draw from one by one: its mean or sum is
@@ -79,12 +84,12 @@ def bootstrap(df: DataFrame, by: list[str], order: Sequence[str | Column], value
     """
     rows = checkpointed(df)
     stats = _statistics(rows, by, order, value, resamples, seed, aggregate, max_draws)
-    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), AGGREGATES[aggregate](value).alias("estimate"))
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), aggregate_of(aggregate)(value).alias("estimate"))
     bounds = interval(stats, by, confidence)
     return whole.join(bounds, by) if by else whole.join(F.broadcast(bounds), F.lit(True))
 
 
-def independent_bootstrap(baseline: DataFrame, candidate: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95, aggregate: str = "mean", max_draws: int = MAX_DRAWS) -> DataFrame:
+def independent_bootstrap(baseline: DataFrame, candidate: DataFrame, by: list[str], order: Sequence[str | Column], value: str, resamples: int = 2000, seed: int = 0, confidence: float = 0.95, aggregate: str | Callable[[str], Column] = "mean", max_draws: int = MAX_DRAWS) -> DataFrame:
     """Interval of the difference of two samples' statistics over finite values, each drawn on its own; with the
     numbers of values, baseline_n and candidate_n, and of those left out."""
     stats, wholes = None, []
@@ -92,7 +97,7 @@ def independent_bootstrap(baseline: DataFrame, candidate: DataFrame, by: list[st
         rows = checkpointed(df.withColumn("finite_", finite_or_null(F.col(value))))
         own = _statistics(rows.where("finite_ IS NOT NULL"), by, order, "finite_", resamples, seed + offset, aggregate, max_draws).withColumnRenamed("s", side)
         stats = own if stats is None else stats.join(own, [*by, "r"])
-        wholes.append(rows.groupBy(*by).agg(AGGREGATES[aggregate]("finite_").alias(side), F.count("finite_").alias(f"{side}_n"), F.count_if(F.col("finite_").isNull()).alias(f"{side}_left_out")))
+        wholes.append(rows.groupBy(*by).agg(aggregate_of(aggregate)("finite_").alias(side), F.count("finite_").alias(f"{side}_n"), F.count_if(F.col("finite_").isNull()).alias(f"{side}_left_out")))
     bounds = interval(stats.withColumn("s", F.col("candidate") - F.col("baseline")), by, confidence)
     both = wholes[0].join(wholes[1], by if by else F.lit(True))
     both = both.withColumn("delta", F.col("candidate") - F.col("baseline"))

@@ -92,6 +92,17 @@ def merge_traces(first: DataFrame, second: DataFrame, identity: list[str], order
     return both.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_", "source_")
 
 
+def incident(tensors: DataFrame, events: DataFrame, by: list[str], order: str = "seq", radius: int = 8) -> DataFrame:
+    """Tensor events and a run's own events as one trace around its first abnormal event, with their offset and source.
+
+    Both have by..., kind, message, step, timestamp, tensor_id, the order and abnormal; an event that both tell is the
+    tensor trace's, whose events come before others of the same order.
+    """
+    tagged = tensors.withColumn("source", F.lit("tensor")), events.withColumn("source", F.lit("run"))
+    merged = merge_traces(*tagged, [*by, "kind", "message", "step", "timestamp", "tensor_id"], order)
+    return around(merged.withColumn("late_", F.col("source") == "run"), by, [order, "late_"], radius=radius).drop("late_")
+
+
 def tensor_stats(df: DataFrame, by: list[str], values: str) -> DataFrame:
     """min, max, mean, population deviation, finite share and norm of the elements of array columns; they are
     exploded into one aggregation that combines before its shuffle."""

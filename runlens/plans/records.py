@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import impact, records
+from ..operators import impact, lineage, pairing, records
 from .registry import query, table
 
 RUNS = """r AS (SELECT event_id AS run_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS trial, CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS seed, CASE WHEN event_id % 3 = 1 THEN event_id % 11 END AS cseed, CASE WHEN event_id % 4 = 0 THEN event_id % 13 END AS pseed, event_type, value, event_id FROM events),
@@ -191,3 +191,24 @@ def dvc_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = stages.unionByName(data(region, "r", "r_regionkey")).unionByName(data(supplier, "s", "s_suppkey")).unionByName(declared)
     edges = nation.select(text("stage:", "n_nationkey").alias("source"), text("r:", "n_regionkey").alias("target")).unionByName(supplier.select(text("s:", "s_suppkey").alias("source"), text("stage:", "s_nationkey").alias("target"))).unionByName(nation.select(F.lit("dvc.yaml").alias("source"), text("stage:", "n_nationkey").alias("target")))
     return impact.dvc_stages(nodes, edges)
+
+
+@query("diff_impact", "SELECT p_partkey AS id, 'function:' || p_partkey AS node FROM part WHERE p_partkey % 3 <> 0")
+def diff_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diff per part that adds line 7 of its own file, and the function there that the line lies in."""
+    part = table(spark, sf_dir, "part")
+    path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    diff = [F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path), F.lit("@@ -6,1 +6,2 @@"), F.lit(" same"), F.lit("+new")]
+    lines = part.select(F.col("p_partkey").alias("id"), F.posexplode(F.array(*diff)).alias("place", "line"))
+    changes = lineage.parse_diff(lines, ["id"]).where("side = 'added'").select("path", F.col("line").cast("int").alias("line"))
+    last = F.when(F.col("p_partkey") % 3 == 0, 6).otherwise(7)  # every third function ends before the line
+    nodes = part.select(F.concat(F.lit("function:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("function").alias("kind"), path.alias("path"), F.lit(5).alias("line_from"), last.alias("line_to"))
+    edges = part.select(F.lit("x").alias("source"), F.lit("y").alias("target"), F.lit("calls").alias("kind")).limit(0)
+    found = impact.roots(changes, nodes, edges)[0].where("matched_by = 'range'")
+    return found.select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("id"), F.col("id").alias("node"))
+
+
+@query("metric_names", "SELECT DISTINCT event_type AS name FROM events UNION SELECT 'required_one'")
+def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "name")
+    return pairing.names_of(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), required=["required_one"])

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .capsules import canonical_json, safe_member, sign, strict_json
+from .capsules import canonical_json, read_capsule, safe_member, sign, strict_json, write_capsule
 from .files import Files, without_credentials
 
 SCHEMA = "seq long, run_id string, capsule string, alias string, status string"
@@ -65,6 +65,19 @@ def publish(files: Files, name: str, run: dict[str, Any], members: dict[str, byt
     files.delete(f".{name}.journal")
 
 
+def merge(parent: str, child: str, target: str, run_id: str | None = None) -> None:
+    """A capsule with the members of both: the child's where both have one, and what the child's run says of itself."""
+    sides = []
+    for source in (parent, child):
+        rows = list(read_capsule(source))
+        if rows[0][7]:
+            raise ValueError(f"{source}: {rows[0][7]}")
+        sides.append({r[3]: r[6] for r in rows})
+    runs = [strict_json(s["run.json"].decode()) for s in sides]
+    members = {n: d for s in sides for n, d in s.items() if n not in ("run.json", "manifest.json", "signature.json")}
+    write_capsule(target, {**runs[0], **runs[1], "run_id": run_id or runs[1].get("run_id"), "parent_run_id": runs[0].get("run_id")}, members)
+
+
 def _whole(files: Files, folder: str) -> bool:
     try:
         wanted = strict_json(files.read(f"{folder}/manifest.json").decode())["files"]

@@ -197,3 +197,88 @@ def test_single_runs_pair_and_repeats_pair_in_order(spark):
     assert pairs(runs(("a", None, False)), runs(("b", None, False))) == [("a", "b")]
     assert pairs(runs(("a", "i", True), ("b", "i", True), ("c", None, False)), runs(("x", "i", True), ("y", "j", True))) == [("a", "x")]
     assert records.identities(records.declared_identity(spark.createDataFrame([("a", '{"trial": 1}'), ("b", "{}")], "run_id string, metadata string"))).count() == 1
+
+
+def test_structured_texts_and_notebook_lines(spark):
+    assert readers.load_structured('a = 1', "x.toml") == {"a": 1} and readers.load_structured('{"a": 1}\n{"a": 2}', "x.jsonl") == [{"a": 1}, {"a": 2}]
+    assert readers.structured_or_reason("{", "x.json")[1].startswith("JSONDecodeError") and readers.structured_or_reason("a: 1")[0] == {"a": 1}
+    cells = {"cells": [{"cell_type": "code", "source": "%sql SELECT * FROM t\n%run other.ipynb\nx = 1"}, {"cell_type": "code", "source": "%%time\nimport m"}]}
+    assert {(n, r) for n, r, _ in readers.read_notebook(json.dumps(cells))} == {("t", "reads"), ("other.ipynb", "runs"), ("m", "imports")}
+
+
+def test_nested_copies_without_secrets_and_within_bounds(spark):
+    from runlens.operators import nested
+
+    value = {"a": {"Api-Key": "x", "n": None}, "t": ["Bearer abc", 1], "password": None}
+    assert nested.redact_tree(value) == {"a": {"Api-Key": "<redacted>", "n": None}, "t": ["Bearer <redacted>", 1], "password": None}
+    df = spark.createDataFrame([("1", json.dumps(value)), ("2", "no")], "id string, j string")
+    assert [json.loads(r.json) for r in nested.redact_json(df, "id", "j").collect()] == [nested.redact_tree(value)]
+    assert nested.snapshot([1, 2, 3], 2) == ([1, 2], True) and nested.snapshot({"a": [[1]]}, max_depth=2) == ({"a": [None]}, True) and nested.snapshot([1, [2]], 2) == ([1, [2]], False)
+    assert nested.snapshots(df, "id", "j", 1).first().truncated
+
+
+def test_models_that_take_batches(spark):
+    from runlens.operators import nested
+
+    cases = spark.createDataFrame([(str(i), str(i)) for i in range(4)], "case_id string, input string").coalesce(1)
+    rows, _ = nested.compare_batches(lambda v: [x * 2 for x in v], lambda v: [x * 2 + (x == 3) for x in v], cases)
+    assert {r.case_id: r.status for r in rows.collect()} == {"0": "pass", "1": "pass", "2": "pass", "3": "fail"}
+    assert {r.status for r in nested.compare_batches(lambda v: v, lambda v: v[:-1], cases)[0].collect()} == {"error"}
+
+
+def test_files_and_archives_are_scanned(spark, tmp_path):
+    import zipfile
+
+    from runlens.functions.redaction import scan_files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.txt").write_text("Authorization: Bearer abc")
+    (tmp_path / "big.txt").write_text("x" * 5000)
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in.txt", 'password = "hunter2"')
+    got = {(r.path.rsplit("/", 1)[1], r.member, r.kind) for r in scan_files(spark, str(tmp_path), 1000).collect()}
+    assert {("a.txt", None, "bearer-token"), ("z.zip", "in.txt", "named-secret"), ("big.txt", None, "too_large")} <= got
+
+
+def test_merged_capsules(tmp_path):
+    from runlens.sources import index
+
+    a, b, c = (str(tmp_path / n) for n in ("a.zip", "b.zip", "c.zip"))
+    capsules.write_capsule(a, {"run_id": "a", "status": "failed", "x": 1}, {"m": b"1", "only": b"p"})
+    capsules.write_capsule(b, {"run_id": "b", "status": "completed"}, {"m": b"2"})
+    index.merge(a, b, c)
+    rows = {r[3]: r for r in capsules.read_capsule(c)}
+    assert rows["m"][6] == b"2" and rows["only"][6] == b"p" and rows["m"][1:3] == ("b", "completed") and json.loads(rows["run.json"][6])["parent_run_id"] == "a"
+
+
+def test_evaluators_know_failures_and_steps(spark, tmp_path):
+    test = minimise.Evaluator(lambda v: "E1" if 3 in v else "E2" if v else None, expected="E1")
+    assert minimise.ddmin(list(range(6)), test) == [3]
+    assert not minimise.Evaluator(lambda v: None)([1])
+    small, used = minimise.shrink_input(list(range(200)), lambda v: 150 in v, max_steps=10)
+    assert 150 in small and len(small) < 200 and used <= 10
+    assert minimise.shrink_input("a b c", lambda t: "b" in t)[0] == "b" and minimise.shrink_input({"a": 1, "b": 9}, lambda v: v.get("b", 0) > 2)[0] == {"b": 4}
+    cache = bisection.Cache(spark, str(tmp_path / "cache"))
+    first = bisection.search(range(20), lambda r: "bad" if r >= 13 else "good", known=cache.known("me"))
+    cache.keep("me", first["statuses"])
+    again = bisection.search(range(20), lambda r: pytest.fail("asked again"), known=cache.known("me"))
+    assert again["first_bad"] == 13 and again["evaluations"] == 0 and cache.known("other") == {}
+
+
+def test_incidents_merge_tensor_and_run_events(spark):
+    from runlens.operators import trace
+
+    schema = "g int, kind string, message string, step int, timestamp double, tensor_id string, seq long, abnormal boolean"
+    tensors = spark.createDataFrame([(1, "op", "nan", 3, 3.0, "t", 3, True), (1, "op", "ok", 2, 2.0, "t", 2, False)], schema)
+    events = spark.createDataFrame([(1, "op", "nan", 3, 3.0, "t", 3, True), (1, "log", "x", 2, 2.0, None, 2, False), (1, "log", "y", 9, 9.0, None, 9, False)], schema)
+    got = [(r.message, r.source, r.offset) for r in trace.incident(tensors, events, ["g"], radius=2).orderBy("offset").collect()]
+    assert got == [("ok", "tensor", -2), ("x", "run", -1), ("nan", "tensor", 0), ("y", "run", 1)]
+
+
+def test_statistics_and_names_of_the_callers(spark):
+    from runlens.operators import pairing, statistics
+
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(30)], "name string, i long, value double")
+    own = statistics.bootstrap(df, ["name"], ["i"], "value", 50, 1, aggregate=lambda c: F.max(c) - F.min(c)).first()
+    assert own.estimate == 29.0 and own.lower <= 29.0
+    assert {r.name for r in pairing.names_of(df, required=["z"]).collect()} == {"a", "z"}
