@@ -78,6 +78,25 @@ def merge(parent: str, child: str, target: str, run_id: str | None = None) -> No
     write_capsule(target, {**runs[0], **runs[1], "run_id": run_id or runs[1].get("run_id"), "parent_run_id": runs[0].get("run_id")}, members)
 
 
+def attach_trace(source: str, target: str, analysis: DataFrame, max_rows: int = 10_000) -> dict[str, Any]:
+    """A copy of a capsule with what trace.analyse tells of it as failure/tensor_trace.json; returns the counts.
+
+    An analysis is of one run, bounded by its ring; more than max_rows rows are an error.
+    """
+    rows = [r.asDict() for r in analysis.limit(max_rows + 1).collect()]
+    if len(rows) > max_rows:
+        raise ValueError(f"the analysis has more than {max_rows} rows")
+    held = list(read_capsule(source))
+    if held[0][7]:
+        raise ValueError(held[0][7])
+    members = {r[3]: r[6] for r in held}
+    counts = {part: sum(r["part"] == part for r in rows) for part in sorted({r["part"] for r in rows})}
+    report = {"rows": sorted(rows, key=lambda r: json.dumps(r, sort_keys=True, default=str)), "counts": counts, "missing_history": counts.get("missing", 0) > 0}
+    kept = {n: d for n, d in members.items() if n not in ("run.json", "manifest.json", "signature.json")}
+    write_capsule(target, strict_json(members["run.json"].decode()), {**kept, "failure/tensor_trace.json": canonical_json(report).encode()})
+    return counts
+
+
 def _whole(files: Files, folder: str) -> bool:
     try:
         wanted = strict_json(files.read(f"{folder}/manifest.json").decode())["files"]

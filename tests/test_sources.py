@@ -134,3 +134,57 @@ def test_directories_in_any_order(spark, tmp_path):
     paths = [str(tmp_path / n) for n in ("one", "two")]
     a, b = (capsules.dataset_fingerprint(spark, p).first() for p in (paths, paths[::-1]))
     assert a == b and a.files == 2
+
+
+def test_remote_operations_wait_and_are_applied_in_order(spark, tmp_path):
+    from runlens.sources import remote
+
+    class Store(dict):
+        def put(self, key, payload):
+            if key == "bad":
+                raise OSError("no")
+            self[key] = payload
+
+        def get(self, key):
+            return self[key]
+
+        def delete(self, key):
+            self.pop(key)
+
+    told = []
+    place = files.Files(spark, str(tmp_path / "queue"))
+    offline = remote.Remote(place, audit=told.append)
+    offline.put("a", b"1")
+    offline.put("bad", b"2")
+    offline.put("a", b"3")
+    offline.delete("bad")
+    with pytest.raises(RuntimeError):
+        offline.get("a")
+    with pytest.raises(ValueError):
+        offline.put("../x", b"")
+    held = Store()
+    online = remote.Remote(place, held)
+    assert online.flush() == [("put", "a", "applied"), ("put", "bad", "failed"), ("put", "a", "applied"), ("delete", "bad", "blocked")]
+    assert held == {"a": b"3"} and len(online.waiting()) == 2 and online.get("a") == b"3" and [t["action"] for t in told][:2] == ["queued_put", "queued_put"]
+
+
+def test_children_are_bounded():
+    import sys
+
+    from runlens.sources import remote
+
+    got = remote.execute([sys.executable, "-c", "import os; print('x' * 50 + os.environ['API_KEY'])"], max_output=30, extra_env={"API_KEY": "hush-hush"})
+    assert got["exit_code"] == 0 and got["cut"] and "hush" not in got["stdout"] and "<redacted>" in got["stdout"]
+    got = remote.execute([sys.executable, "-c", "import time; time.sleep(60)"], timeout=0.5)
+    assert got["stopped"] and got["exit_code"] != 0 and got["seconds"] < 30
+
+
+def test_traces_are_attached(spark, tmp_path):
+    a, b = str(tmp_path / "a.zip"), str(tmp_path / "b.zip")
+    capsules.write_capsule(a, {"run_id": "r"}, {"m": b"1"})
+    rows = spark.createDataFrame([("g", "1", "ancestor", "0"), ("g", "0", "missing", "evicted")], "g string, node string, part string, detail string")
+    assert index.attach_trace(a, b, rows) == {"ancestor": 1, "missing": 1}
+    got = {r[3]: r for r in capsules.read_capsule(b)}
+    assert json.loads(got["failure/tensor_trace.json"][6])["missing_history"] and got["m"][6] == b"1"
+    with pytest.raises(ValueError):
+        index.attach_trace(a, b, rows, max_rows=1)
