@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import deque
+from collections.abc import Iterator, Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
@@ -73,9 +75,11 @@ def _order(reference: DataFrame, candidate: DataFrame, columns: list[str], row:
 
 
 def _unordered(reference: DataFrame, candidate: DataFrame, columns: list[str], atol: float, rtol: float, max_residual: int = 10_000) -> DataFrame:
-    """Exact matches cancel; what is left is matched one to one within the tolerance if it is few rows.
+    """Exact matches cancel; what is left is matched one to one within the tolerance.
 
-    More than max_residual rows are reported as inconclusive rather than guessed.
+    With one numeric column the rest is matched in order of its values, whatever its size (_matched_in_order). With
+    several, up to max_residual rows are matched here one after another, and more are reported as inconclusive rather
+    than guessed, as the best matching of several columns can't be had in pieces.
     """
     import json
 
@@ -83,10 +87,12 @@ def _unordered(reference: DataFrame, candidate: DataFrame, columns: list[str], a
     rest = multiset_difference(reference, candidate, columns)
     if not atol and not rtol:
         return rest.select(F.lit(None).cast("long").alias("row_idx"), F.lit(None).cast("string").alias("column"), F.lit("value").alias("kind"), F.when(F.col("surplus") > 0, F.col("row")).alias("reference"), F.when(F.col("surplus") < 0, F.col("row")).alias("candidate"))
+    numbers = {f.name for f in reference.schema if type_family(f.dataType) in ("integer", "number")} & set(columns)
+    if len(numbers) == 1:
+        return _matched_in_order(rest, numbers.pop(), atol, rtol)
     left = rest.limit(max_residual + 1).collect()
     if len(left) > max_residual:
         return spark.createDataFrame([(None, None, "inconclusive", None, None)], CELLS)
-    numbers = {f.name for f in reference.schema if type_family(f.dataType) in ("integer", "number")}
     sides = [[json.loads(r.row) for r in left if r.surplus * sign > 0 for _ in range(abs(r.surplus))] for sign in (1, -1)]
 
     def close(a: dict, b: dict) -> bool:
@@ -109,6 +115,59 @@ def _unordered(reference: DataFrame, candidate: DataFrame, columns: list[str], a
     return spark.createDataFrame(missing + [(None, None, "value", None, json.dumps(b, sort_keys=True)) for b in sides[1]], CELLS)
 
 
+def _matched_in_order(rest: DataFrame, number: str, atol: float, rtol: float) -> DataFrame:
+    """What stays unmatched of rows with one numeric column, matched one to one within the tolerance.
+
+    Rows that agree in all other columns are streamed in order of the number. A row takes the smallest waiting row of
+    the other side that is near enough; as what is near moves on with the number, no other matching of the rows that are
+    left has more pairs.
+    Waiting are only rows within the tolerance of the newest one.
+    """
+    members = F.from_json("row", "map<string,string>")
+    rows = rest.select("row", "surplus", F.to_json(F.map_filter(members, lambda k, _: k != number)).alias("key"), members[number].cast("double").alias("x"))
+    usable = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))
+    alone = rows.where(~usable).select("row", "surplus")
+
+    def run(source: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        schema = pa.schema([("row", pa.string()), ("surplus", pa.int64())])
+        now, side, waiting, out = None, 0, deque(), []
+
+        def near(a: float, b: float) -> bool:
+            return abs(a - b) <= atol + rtol * max(abs(a), abs(b))
+
+        for batch in source:
+            for row, surplus, key, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    out += [(r, side * n) for _, r, n in waiting]
+                    now, waiting = key, deque()
+                sign, n = (1, surplus) if surplus > 0 else (-1, -surplus)
+                while waiting and (not near(waiting[0][0], x) or (n and side != sign)):
+                    y, r, m = waiting.popleft()
+                    if not near(y, x):
+                        out.append((r, side * m))
+                        continue
+                    pairs = min(m, n)
+                    n -= pairs
+                    if m > pairs:
+                        waiting.appendleft((y, r, m - pairs))
+                if n:
+                    side = sign
+                    waiting.append((x, row, n))
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_pylist([{"row": r, "surplus": s} for r, s in out], schema=schema)
+                    out = []
+        out += [(r, side * n) for _, r, n in waiting]
+        if out:
+            yield pa.RecordBatch.from_pylist([{"row": r, "surplus": s} for r, s in out], schema=schema)
+
+    ordered = rows.where(usable).select("row", "surplus", "key", "x").repartition("key").sortWithinPartitions("key", "x", "row")
+    unmatched = ordered.mapInArrow(run, "row string, surplus long").unionByName(alone)
+    each = unmatched.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.abs("surplus"))))
+    return each.select(F.lit(None).cast("long").alias("row_idx"), F.lit(None).cast("string").alias("column"), F.lit("value").alias("kind"), F.when(F.col("surplus") > 0, F.col("row")).alias("reference"), F.when(F.col("surplus") < 0, F.col("row")).alias("candidate"))
+
+
 def tolerances(df: DataFrame, policies: Mapping[str, tuple[float, float]], default: tuple[float, float], path: str = "path") -> DataFrame:
     """Adds atol, rtol of the most specific policy: exact path, then the output's name, then $, then *."""
     atol, rtol = F.lit(default[0]), F.lit(default[1])

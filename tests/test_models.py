@@ -152,3 +152,35 @@ def test_large_groups_are_bootstrapped_by_weights(spark):
     drawn, weighed = ({r.g: r for r in statistics.bootstrap(df, ["g"], ["id"], "value", 200, 1, max_draws=m).collect()} for m in (10**9, 10))
     for g in (0, 1):
         assert drawn[g].estimate == weighed[g].estimate and abs(drawn[g].lower - weighed[g].lower) < 0.2 and abs(drawn[g].upper - weighed[g].upper) < 0.2
+
+
+def best_matching(a, b, tol):
+    """The most pairs within the tolerance, by augmenting paths."""
+    partner = {}
+
+    def place(i, seen):
+        for j, y in enumerate(b):
+            if j not in seen and abs(a[i] - y) <= tol:
+                seen.add(j)
+                if j not in partner or place(partner[j], seen):
+                    partner[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(len(a)))
+
+
+def test_unordered_parity_of_one_number_is_the_best_matching_of_unequal_rows(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    a, b = ([(rng.choice("xy"), round(rng.uniform(0, 20), 1)) for _ in range(150)] for _ in range(2))
+    a += [("x", None), ("y", float("nan"))]
+    b += [("x", 1000.0)] * 3
+    left, right = (spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_idx long, k string, v double") for rows in (a, b))
+    got = tables.table_parity(left, right, atol=0.25, check_order=False).where("kind = 'value'").collect()
+    more, less = Counter(a) - Counter(b), Counter(b) - Counter(a)
+    pairs = sum(best_matching([v for q, v in more.elements() if q == k and v is not None and v == v], [v for q, v in less.elements() if q == k], 0.25) for k in "xy")
+    assert pairs > 10 and sum(r.reference is not None for r in got) == more.total() - pairs and sum(r.candidate is not None for r in got) == less.total() - pairs
+    assert tables.table_parity(left, left, atol=0.25, check_order=False).count() == 0
