@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import shared_folder
-from ..operators import adapters, resources, trace
+from ..operators import adapters, groups, resources, trace
 from ..sources import capsules, files, index, store
 from .operations import TRACE, trace_events
 from .registry import query, table
@@ -94,13 +94,13 @@ def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs().unionByName(best.select(F.lit("best").alias("run_id"), "capsule", F.lit("alias").alias("status")))
 
 
-@query("capsule_scan", "SELECT 'n' || n_nationkey AS run_id, m AS member, CASE WHEN m = 'metrics.json' THEN '[' || n_nationkey || ']' END AS content FROM nation, (VALUES ('manifest.json'), ('metrics.json'), ('run.json')) AS x(m)")
+@query("capsule_scan", "SELECT 'n' || r_regionkey AS run_id, m AS member, CASE WHEN m = 'metrics.json' THEN '[' || r_regionkey || ']' END AS content FROM region, (VALUES ('manifest.json'), ('metrics.json'), ('run.json')) AS x(m)")
 def capsule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder capsule per nation, published by the driver, and all of them read by tasks: one member's content only."""
+    """A folder capsule per region, published by the driver, and all of them read by tasks: one member's content only."""
     folder = _own_folder(spark, "capsules")
     place = files.Files(spark, folder)
-    for r in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows
-        index.publish(place, f"run{r.n_nationkey}", {"run_id": f"n{r.n_nationkey}", "status": "completed"}, {"metrics.json": f"[{r.n_nationkey}]".encode()})
+    for r in table(spark, sf_dir, "region").select("r_regionkey").collect():  # 5 rows
+        index.publish(place, f"run{r.r_regionkey}", {"run_id": f"n{r.r_regionkey}", "status": "completed"}, {"metrics.json": f"[{r.r_regionkey}]".encode()})
     capsules.register(spark)
     rows = spark.read.format("capsule").option("members", "metrics.json").load(folder)
     return rows.where("error IS NULL").select("run_id", "member", F.col("content").cast("string").alias("content"))
@@ -114,3 +114,18 @@ def nested_config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = resources.nested_leaves(side(k, act, F.lit(None).cast("int")), ["user_id"], "json")
     new = resources.nested_leaves(side(k + 1, F.lit(None).cast("string"), F.when(k % 3 == 0, 7)), ["user_id"], "json")
     return resources.config_changes(old, new, ["user_id"]).select("user_id", "path", "change")
+
+
+@query("capsule_comparison", "SELECT 'loss' AS name, 5 AS shared_observations, 0 AS unpaired_baseline_observations, 1 AS unpaired_candidate_observations, 0.5 AS estimate")
+def capsule_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run per region and side, paired by its declared trial; the candidate has one run more."""
+    folder = _own_folder(spark, "groups")
+    regions = sorted(r.r_regionkey for r in table(spark, sf_dir, "region").select("r_regionkey").collect())  # 5 rows
+    for side, shift in (("baseline", 0.0), ("candidate", 0.5)):
+        place = files.Files(spark, f"{folder}/{side}")
+        for n in regions + ([99] if shift else []):
+            metrics = [{"name": "loss", "values": [9.0, n + shift], "steps": [0, 1]}]
+            index.publish(place, f"run{n}", {"run_id": f"{side}{n}", "status": "completed", "metadata": {"trial": n}}, capsules.structured_files({"metrics": metrics}))
+    capsules.register(spark)
+    rows = [spark.read.format("capsule").load(f"{folder}/{side}") for side in ("baseline", "candidate")]
+    return groups.compare_groups(*rows, resamples=20).select("name", "shared_observations", "unpaired_baseline_observations", "unpaired_candidate_observations", "estimate")

@@ -282,3 +282,24 @@ def test_statistics_and_names_of_the_callers(spark):
     own = statistics.bootstrap(df, ["name"], ["i"], "value", 50, 1, aggregate=lambda c: F.max(c) - F.min(c)).first()
     assert own.estimate == 29.0 and own.lower <= 29.0
     assert {r.name for r in pairing.names_of(df, required=["z"]).collect()} == {"a", "z"}
+
+
+def test_the_gate_from_paths(spark, tmp_path):
+    from runlens.operators import groups
+
+    def record(side, n, value, **more):
+        metrics = capsules.structured_files({"metrics": [{"name": "accuracy", "values": [0.1, value]}]})
+        capsules.write_capsule(str(tmp_path / side / f"{n}.zip"), {"run_id": f"{side}{n}", "status": "completed", "metadata": {"seed": n}, **more}, metrics)
+
+    for side in ("base", "same", "worse", "sick"):
+        (tmp_path / side).mkdir()
+        for n in range(8):
+            record(side, n, 0.9 + n / 1000 - (0.3 if side == "worse" else 0))
+    gate_of = lambda side, **o: groups.gate_paths(spark, str(tmp_path / "base"), str(tmp_path / side), resamples=50, thresholds={"accuracy": 0.01}, **o)
+    code, rows = gate_of("same")
+    assert code == 0 and {r.status for r in rows.collect()} == {"pass"}
+    assert gate_of("worse")[0] == 1 and gate_of("same", required=["loss"])[0] == 1
+    (tmp_path / "sick" / "9.zip").write_bytes(b"broken")
+    assert gate_of("sick")[0] == 1
+    record("same", 3, 0.9, metadata={"seed": 3, "parity": {"passed": False}})
+    assert gate_of("same")[0] == 1
