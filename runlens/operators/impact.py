@@ -103,7 +103,8 @@ def roots(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataF
 
     A changed line is its functions and classes. A path is the nodes of that path or of one that ends with it, and its
     module; a module brings the symbols below its id and a file those that it contains. A path that no node knows may
-    concern anything: it is a root of its own, with an edge from every file, module, dataset, feature and model.
+    concern anything: it is a root of its own, matched_by unknown:kind, with an edge from every file, module, dataset,
+    feature and model.
     """
     files = checkpointed(changes.select(plain_path(F.col("path")).alias("path"), "line").distinct())
     paths, lines = files.select("path").distinct(), files.where("line IS NOT NULL")
@@ -125,7 +126,7 @@ def roots(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataF
     symbols = found.join(prefixes, "id").select(F.col("symbol").alias("id"), F.lit("symbol").alias("matched_by"))
     inside = edges.where("kind = 'contains'").join(found.select(F.col("id").alias("source")).distinct(), "source", "left_semi").select(F.col("target").alias("id"), F.lit("contained").alias("matched_by"))
     missed = checkpointed(paths.join(found.select("path").distinct(), "path", "left_anti").select("path", F.concat(F.lit("unknown:change:"), "path").alias("id")))
-    unknown = missed.select("id", F.lit("unknown").alias("matched_by"))
+    unknown = missed.select("id", F.concat(F.lit("unknown:"), change_kind(F.col("path"))).alias("matched_by"))
     exposed = nodes.where(F.col("kind").isin(*EXPOSED)).select("id")
     one = missed.agg(F.min("id").alias("target")).where("target IS NOT NULL")  # of the unknown paths, any one reaches all exposed nodes
     further = exposed.join(F.broadcast(one), F.lit(True)).select(F.col("id").alias("source"), "target", F.lit("conservative").alias("kind"))
