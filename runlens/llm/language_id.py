@@ -98,14 +98,16 @@ class TrigramModel:
         self.table = np.log(np.concatenate([own, flat])).reshape(len(self.languages) + 1, -1).T.astype(np.float32).copy()
         self.names = [*self.languages, BACKGROUND]
 
-    def score(self, text: str, table: Any) -> tuple[Any, int]:
-        import numpy as np
 
-        codes = trigrams(text, table)
-        total = np.zeros(len(self.names))
-        for at in range(0, len(codes), 100_000):
-            total += self.table[codes[at : at + 100_000]].sum(axis=0, dtype=np.float64)
-        return total, len(codes)
+def score(likely: Any, text: str, classes: Any) -> tuple[Any, int]:
+    """(the sums of a model's log likelihoods over a text's trigrams, the number of these)."""
+    import numpy as np
+
+    codes = trigrams(text, classes)
+    total = np.zeros(likely.shape[1])
+    for at in range(0, len(codes), 100_000):
+        total += likely[codes[at : at + 100_000]].sum(axis=0, dtype=np.float64)
+    return total, len(codes)
 
 
 def _likelihoods(model: Any, names: list[str], temper: float) -> Any:
@@ -114,11 +116,11 @@ def _likelihoods(model: Any, names: list[str], temper: float) -> Any:
         import pyarrow as pa
 
         free_large_caches()
-        made, table = model.value, worker_cache("language-classes", class_table)
+        likely, classes = model.value, worker_cache("language-classes", class_table)
         for batch in source:
             if not batch.num_rows:
                 continue
-            found = [made.score(text, table) for text in batch.column(1).to_pylist()]
+            found = [score(likely, text, classes) for text in batch.column(1).to_pylist()]
             values = np.stack([v for v, _ in found]) * temper
             sizes = [n for _, n in found]
             best = [names[i] if n else None for i, n in zip(values.argmax(axis=1).tolist(), sizes, strict=True)]
@@ -157,7 +159,7 @@ def identify(df: DataFrame, model: TrigramModel, id_col: str = "doc_id", text_co
     tag = F.nullif(F.substring_index(F.substring_index(F.lower(F.trim(declared if declared is not None else none)), "-", 1), "_", 1), F.lit(""))
     name = F.nullif(F.lower(F.trim(host if host is not None else none)), F.lit(""))
     inputs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), sign_of(F.col(text_col)).alias("sign"), tag.alias("declared"), name.alias("host"), F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).alias("suffix"))
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model.table)  # plain numbers, which need none of our classes
     seen = scratch.write(inputs.mapInArrow(_likelihoods(sent, names, temper), "doc_id long, sign long, declared string, host string, suffix string, trigrams long, reads_as string, ll array<double>"), "seen")
     if not n_lang:
         return seen.select("doc_id", "sign", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), "declared", "trigrams", F.lit(False).alias("accepted"))

@@ -10,7 +10,6 @@ longer, so that this ends however few surrogates a format has.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 from itertools import count
 from typing import Any
 
@@ -112,10 +111,17 @@ class Stream:
         return self.like(text + last * by)
 
 
-@cache
 def alphabet_of(c: str) -> str:
-    """The characters that a letter or digit may become: its script's plain letters of its case, else the letters of its
-    category in its block of 128 code points (Han: 256); nothing for other characters."""
+    """The characters that a letter or digit may become, remembered by each worker."""
+    known = worker_cache("pii-alphabets", dict)
+    if c not in known:
+        known[c] = _alphabet(c)
+    return known[c]
+
+
+def _alphabet(c: str) -> str:
+    """The plain letters of a letter's script and case, else the letters of its category in its block of 128 code points
+    (Han: 256); the digits of a digit's script; nothing for other characters."""
     import unicodedata
 
     if c.isdecimal():
