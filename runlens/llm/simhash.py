@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_broadcast, drop_rows, free_large_caches, ids_and_texts
@@ -24,6 +24,9 @@ BLOCK_SHINGLES = 2_000_000
 #: Smallest hashes of a set by which texts meet, texts of a band beyond which its hash says nothing, and the bands with
 #: fewer texts that a text must have to do without tiles. Bands up to whose number their table is broadcast.
 SKETCH, COMMON, NEEDED, MAX_BROADCAST_BANDS = 16, 1000, 12, 200_000
+#: Pairs of tiles or blocks beyond which each is first compared by itself, the rows that make a component large then, and
+#: the component of rows that are in none.
+MANY_PAIRS, LARGE, NO_COMP = 256, 1000, -1
 
 
 def shingle_hashes(raw: bytes, shingle: int, distinct: bool) -> Any:
@@ -294,33 +297,45 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _tile(words64: int, rows: int) -> Any:
-    """Sorted fingerprints to tiles: their ranges of shingle and population counts, and their rows as bytes."""
+    """Fingerprints sorted by component to tiles of one component each: their ranges of shingle and population counts,
+    and their rows as bytes."""
 
     def run(source: Iterator[Any]) -> Iterator[Any]:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("tile", pa.int64()), *((c, pa.int64()) for c in ("lo", "hi", "lo_bits", "hi_bits", "n")), ("data", pa.binary())])
-        base, made, held = TaskContext.get().partitionId() << 32, 0, []
+        schema = pa.schema([("tile", pa.int64()), *((c, pa.int64()) for c in ("lo", "hi", "lo_bits", "hi_bits", "n", "comp")), ("data", pa.binary())])
+        base, made, held, comp = TaskContext.get().partitionId() << 32, 0, [], None
 
         def cut(table: Any) -> Any:
             nonlocal made
             made += 1
             bits = np.bitwise_count(table[:, 2:].view(np.uint64)).sum(axis=1, dtype=np.int64)
-            row = {"tile": base + made, "lo": int(table[0, 1]), "hi": int(table[-1, 1]), "lo_bits": int(bits.min()), "hi_bits": int(bits.max()), "n": len(table), "data": table.tobytes()}
+            row = {"tile": base + made, "lo": int(table[:, 1].min()), "hi": int(table[:, 1].max()), "lo_bits": int(bits.min()), "hi_bits": int(bits.max()), "n": len(table), "comp": comp, "data": table.tobytes()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
+        def full(last: bool) -> Iterator[Any]:
+            nonlocal held
+            table = np.concatenate(held) if held else np.zeros((0, 2 + words64), dtype=np.int64)
+            for at in range(0, len(table) if last else len(table) - rows + 1, rows):
+                yield cut(np.ascontiguousarray(table[at : at + rows]))
+            held = [] if last else [table[len(table) // rows * rows :]]
+
         for batch in source:
-            held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
-            if sum(map(len, held)) >= rows:
-                table = np.concatenate(held)
-                for at in range(0, len(table) - rows + 1, rows):
-                    yield cut(np.ascontiguousarray(table[at : at + rows]))
-                held = [table[len(table) // rows * rows :]]
-        table = np.concatenate(held) if held else np.zeros((0, 2 + words64), dtype=np.int64)
-        if len(table):
-            yield cut(np.ascontiguousarray(table))
+            if not batch.num_rows:
+                continue
+            *columns, comps = (c.to_numpy() for c in batch.columns)
+            table = np.column_stack(columns)
+            starts = np.flatnonzero(np.r_[True, comps[1:] != comps[:-1]]).tolist()
+            for start, end in zip(starts, [*starts[1:], len(comps)], strict=True):
+                if comp != int(comps[start]):
+                    yield from full(True)
+                    comp = int(comps[start])
+                held.append(table[start:end])
+                if sum(map(len, held)) >= rows:
+                    yield from full(False)
+        yield from full(True)
 
     return run
 
@@ -459,25 +474,68 @@ def _verify(shingle: int, similarity: float) -> Any:
     return run
 
 
-def _verified(df: DataFrame, id_col: str, text_col: str, reps: DataFrame, candidates: DataFrame, scratch: Scratch, shingle: int, similarity: float, block_shingles: int) -> DataFrame:
+def _labelled(rows: DataFrame, links: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """rows with comp: the component of the links that a row lies in if it has at least `least` rows, else NO_COMP."""
+    roots = components(links, scratch)
+    nodes = scratch.write(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "label-nodes")
+    large = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    known = scratch.write(nodes.join(large.select("root"), "root", "left_semi").select(F.col("node").alias("uid"), F.col("root").alias("own_")), "labels")
+    return scratch.write(rows.drop("comp").join(known, "uid", "left").withColumn("comp", F.coalesce("own_", F.lit(NO_COMP))).drop("own_"), "labelled")
+
+
+def _verified(df: DataFrame, id_col: str, text_col: str, reps: DataFrame, candidates: DataFrame, scratch: Scratch, shingle: int, similarity: float, block_shingles: int, many: int) -> DataFrame:
     """Links (a, b) inside the groups that the candidates connect, by the exact similarity of distinct shingles.
 
-    Members of a group are ordered by their counts of shingles and cut into blocks of about block_shingles shingles;
-    each pair of blocks whose counts allow the similarity is the work of one task at a time.
+    A group of at most block_shingles shingles is one block. The members of a larger one are dealt by size class and
+    hash into blocks of about so many; each pair of blocks whose counts allow the similarity is the work of one task at
+    a time. With more than `many` such pairs, blocks are first verified by themselves, in two different dealings; texts
+    that this connects in large components are not compared with others of their component any more, so that a very
+    large group of near copies takes linear work.
     """
     roots = components(candidates, scratch)
     nodes = scratch.write(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "nodes")
-    running = F.sum("shingles").over(Window.partitionBy("root").orderBy("shingles", "uid").rowsBetween(Window.unboundedPreceding, -1))
-    members = reps.join(nodes, F.col("uid") == F.col("node")).select("root", "uid", "rep", "key", "shingles")
-    members = scratch.write(members.withColumn("block", F.floor(F.coalesce(running, F.lit(0)) / block_shingles)), "members")
-    ranges = members.groupBy("root", "block").agg(F.min("shingles").alias("lo"), F.max("shingles").alias("hi"))
-    left, right = ranges.select("root", F.col("block").alias("i"), "hi"), ranges.select("root", F.col("block").alias("j"), "lo")
-    pairs = left.join(right, "root").where((F.col("i") <= F.col("j")) & (F.col("lo") * similarity <= F.col("hi"))).select("root", "i", "j")
-    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    dealt = members.join(sides, ["root", "block"]).select("root", "i", "j", "block", "uid", "rep", "key")
-    rows = dealt.join(ids_and_texts(df, id_col, text_col), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "block", "uid", "key", "text")
-    ready = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return scratch.write(ready.mapInArrow(_verify(shingle, similarity), "a long, b long"), "verified")
+    members = reps.join(nodes, F.col("uid") == F.col("node")).select("root", "uid", "rep", "key", "shingles", F.lit(NO_COMP).alias("comp"))
+    members = scratch.write(members, "members")
+
+    def dealt(rows: DataFrame, step: float, salt: str, name: str) -> DataFrame:
+        """rows with their block: comp, size class, and as many parts by hash as the class's shingles need."""
+        sized = rows.withColumn("class", F.floor(F.log(F.col("shingles").cast("double")) / math.log(step)) if step else F.lit(0).cast("long"))
+        parts = scratch.write(sized.groupBy("root", "comp", "class").agg(F.ceil(F.sum("shingles") / F.lit(float(block_shingles))).alias("parts")), f"parts-{name}")
+        part = F.pmod(F.xxhash64("uid", F.lit(salt)), F.col("parts"))
+        block = F.concat_ws(":", *[c.cast("string") for c in (F.col("comp"), F.col("class"), part)])
+        return scratch.write(sized.join(parts, ["root", "comp", "class"]).withColumn("block", block).drop("class", "parts"), f"blocks-{name}")
+
+    def linked(blocks: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+        rows = blocks.join(sides, ["root", "block"]).select("root", "i", "j", "block", "uid", "rep", "key")
+        texts = rows.join(ids_and_texts(df, id_col, text_col), F.col("rep") == F.col("doc_id")).select("root", "i", "j", "block", "uid", "key", "text")
+        ready = texts.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+        return scratch.write(ready.mapInArrow(_verify(shingle, similarity), "a long, b long"), name)
+
+    def meeting(blocks: DataFrame) -> DataFrame:
+        ranges = blocks.groupBy("root", "block", "comp").agg(F.min("shingles").alias("lo"), F.max("shingles").alias("hi"))
+        left, right = (ranges.select("root", F.col("block").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}"), F.col("comp").alias(f"comp_{n}")) for n in ("i", "j"))
+        fits = (F.col("lo_i") * similarity <= F.col("hi_j")) & (F.col("lo_j") * similarity <= F.col("hi_i"))
+        apart = (F.col("comp_i") != F.col("comp_j")) | (F.col("comp_i") == NO_COMP)
+        return left.join(right, "root").where((F.col("i") <= F.col("j")) & fits & apart).select("root", "i", "j")
+
+    alone = lambda blocks: blocks.select("root", F.col("block").alias("i"), F.col("block").alias("j")).distinct()
+    large = scratch.write(members.groupBy("root").agg(F.sum("shingles").alias("total")).where(F.col("total") > block_shingles).select("root"), "large")
+    if large.isEmpty():
+        whole = members.withColumn("block", F.lit("all"))
+        return linked(whole, alone(whole), "verified")
+    known = bounded_broadcast(large, MAX_BROADCAST_BANDS)
+    whole = members.join(known, "root", "left_anti").withColumn("block", F.lit("all"))
+    found = linked(whole, alone(whole), "verified")
+    members = scratch.write(members.join(known, "root", "left_semi"), "large-members")
+    blocks = dealt(members, 1 / similarity, "size", "size")
+    pairs = scratch.write(meeting(blocks), "pairs")
+    if pairs.count() - alone(blocks).count() <= many:
+        return found.unionByName(linked(blocks, pairs, "verified-large"))
+    mixed = dealt(members, 0, "mixed", "mixed")
+    first = linked(blocks, alone(blocks), "verified-size").unionByName(linked(mixed, alone(mixed), "verified-mixed"))
+    blocks = dealt(_labelled(members, first, Scratch(df.sparkSession, "similar-labels"), LARGE), 1 / similarity, "size", "rest")
+    return found.unionByName(first).unionByName(linked(blocks, scratch.write(meeting(blocks), "pairs-rest"), "verified-rest"))
 
 
 def _compare_bands(words64: int, radius: int, ratio: float) -> Any:
@@ -536,26 +594,49 @@ def _banded(reps: DataFrame, scratch: Scratch, words64: int, radius: int, simila
     return scratch.write(dealt.mapInArrow(_compare_bands(words64, radius, similarity), "a long, b long"), "band-links"), poor
 
 
-def _tiled(rows: DataFrame, scratch: Scratch, words64: int, radius: int, similarity: float, tile_rows: int) -> DataFrame:
+def _tiled(rows: DataFrame, scratch: Scratch, words64: int, radius: int, similarity: float, tile_rows: int, many: int) -> DataFrame:
     """Links among rows by tiles: sorted by their counts of shingles and cut; tiles whose ranges of shingle counts and
-    of population counts can hold partners meet. Which tiles meet is an equality join on steps of the size."""
+    of population counts can hold partners meet. Which tiles meet is an equality join on steps of the size.
+
+    With more than `many` pairs of tiles, tiles are first compared by themselves, sorted and in random order, as in
+    _verified.
+    """
     names = [f"f{w}" for w in range(words64)]
-    ordered = rows.select("uid", "shingles", *names).repartitionByRange("shingles", "f0").sortWithinPartitions("shingles", "f0")
-    tiles = scratch.write(ordered.mapInArrow(_tile(words64, tile_rows), "tile long, lo long, hi long, lo_bits long, hi_bits long, n long, data binary"), "tiles")
+    schema = "tile long, lo long, hi long, lo_bits long, hi_bits long, n long, comp long, data binary"
     step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / math.log(1 / similarity))
-    meta = tiles.drop("data")
-    mine = meta.select(*(F.col(c).alias(f"a_{c}") for c in meta.columns), F.explode(F.sequence(step("lo") - 1, step("hi") + 2)).alias("step"))
-    theirs = meta.select(*(F.col(c).alias(f"b_{c}") for c in meta.columns), step("lo").alias("step"))
-    ordered_pair = (F.col("a_lo") < F.col("b_lo")) | ((F.col("a_lo") == F.col("b_lo")) & (F.col("a_tile") <= F.col("b_tile")))
-    can = (F.col("b_lo") * similarity <= F.col("a_hi")) & (F.col("a_lo_bits") - F.col("b_hi_bits") <= radius) & (F.col("b_lo_bits") - F.col("a_hi_bits") <= radius)
-    pairs = scratch.write(mine.join(theirs, "step").where(ordered_pair & can).select("a_tile", "b_tile", (F.col("a_n") * F.col("b_n")).alias("work")), "pairs")
-    work, n = pairs.agg(F.sum("work"), F.count(F.lit(1))).first()
-    both = pairs.join(tiles.select(F.col("tile").alias("a_tile"), F.col("data").alias("mine")), "a_tile").join(tiles.select(F.col("tile").alias("b_tile"), F.col("data").alias("theirs")), "b_tile")
-    dealt = both.select("mine", "theirs", (F.col("a_tile") == F.col("b_tile")).alias("same")).repartition(max(1, min(n, (work or 0) // TASK_COMPARISONS + n // TASK_TILE_PAIRS + 1, 200_000)))
-    return scratch.write(dealt.mapInArrow(_compare_tiles(words64, radius, similarity), "a long, b long"), "links")
-
-
-def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words64: int, tile_rows: int, block_shingles: int, sketch: int, needed: int, common: int) -> DataFrame:
+
+    def cut(rows: DataFrame, order: list[Any], name: str) -> DataFrame:
+        ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("uid", "shingles", *names, "comp")
+        return scratch.write(ordered.mapInArrow(_tile(words64, tile_rows), schema), f"tiles-{name}")
+
+    def meeting(tiles: DataFrame) -> DataFrame:
+        meta = tiles.drop("data")
+        mine = meta.select(*(F.col(c).alias(f"a_{c}") for c in meta.columns), F.explode(F.sequence(step("lo") - 1, step("hi") + 2)).alias("step"))
+        theirs = meta.select(*(F.col(c).alias(f"b_{c}") for c in meta.columns), step("lo").alias("step"))
+        ordered_pair = (F.col("a_lo") < F.col("b_lo")) | ((F.col("a_lo") == F.col("b_lo")) & (F.col("a_tile") <= F.col("b_tile")))
+        apart = (F.col("a_comp") != F.col("b_comp")) | (F.col("a_comp") == NO_COMP)
+        can = (F.col("b_lo") * similarity <= F.col("a_hi")) & (F.col("a_lo_bits") - F.col("b_hi_bits") <= radius) & (F.col("b_lo_bits") - F.col("a_hi_bits") <= radius)
+        return mine.join(theirs, "step").where(ordered_pair & can & apart).select("a_tile", "b_tile", (F.col("a_n") * F.col("b_n")).alias("work"))
+
+    def linked(tiles: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        work, n = pairs.agg(F.sum("work"), F.count(F.lit(1))).first()
+        both = pairs.join(tiles.select(F.col("tile").alias("a_tile"), F.col("data").alias("mine")), "a_tile").join(tiles.select(F.col("tile").alias("b_tile"), F.col("data").alias("theirs")), "b_tile")
+        dealt = both.select("mine", "theirs", (F.col("a_tile") == F.col("b_tile")).alias("same")).repartition(max(1, min(n, (work or 0) // TASK_COMPARISONS + n // TASK_TILE_PAIRS + 1, 200_000)))
+        return scratch.write(dealt.mapInArrow(_compare_tiles(words64, radius, similarity), "a long, b long"), name)
+
+    alone = lambda tiles: tiles.select(F.col("tile").alias("a_tile"), F.col("tile").alias("b_tile"), (F.col("n") * F.col("n")).alias("work"))
+    rows = rows.withColumn("comp", F.lit(NO_COMP))
+    tiles = cut(rows, ["comp", "shingles", "f0"], "size")
+    pairs = scratch.write(meeting(tiles), "tile-pairs")
+    if pairs.count() - tiles.count() <= many:
+        return linked(tiles, pairs, "tile-links")
+    mixed = cut(rows.withColumn("shuffled", F.xxhash64("uid", F.lit("mixed"))), ["comp", "shuffled"], "mixed")
+    first = linked(tiles, alone(tiles), "links-size").unionByName(linked(mixed, alone(mixed), "links-mixed"))
+    tiles = cut(_labelled(rows, first, Scratch(rows.sparkSession, "similar-tiles"), LARGE), ["comp", "shingles", "f0"], "rest")
+    return first.unionByName(linked(tiles, scratch.write(meeting(tiles), "tile-pairs-rest"), "links-rest"))
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words64: int, tile_rows: int, block_shingles: int, sketch: int, needed: int, common: int, many: int) -> DataFrame:
     """doc_id, sign, component_id of similar_components."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "similar")
     radius = candidate_radius(64 * words64, similarity)
@@ -566,8 +647,8 @@ def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity
     known = reps.where("rep IS NOT NULL AND shingles > 0")
     links, poor = _banded(known, scratch, words64, radius, similarity, sketch, needed, common)
     if not poor.isEmpty():
-        links = links.unionByName(_tiled(poor, scratch, words64, radius, similarity, tile_rows))
-    links = _verified(df, id_col, text_col, known, links, scratch, shingle, similarity, block_shingles)
+        links = links.unionByName(_tiled(poor, scratch, words64, radius, similarity, tile_rows, many))
+    links = _verified(df, id_col, text_col, known, links, scratch, shingle, similarity, block_shingles, many)
     roots = components(links, Scratch(spark, "similar-verified"))
     rooted = scratch.write(reps.join(roots, F.col("uid") == F.col("node"), "left").select(*same, "rep", F.coalesce("root", "uid").alias("root")), "rooted")
     first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -575,7 +656,7 @@ def _similar(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity
     return prints.join(named, same).select("doc_id", "sign", "component_id")
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, tile_rows: int = TILE_ROWS, block_shingles: int = BLOCK_SHINGLES, sketch: int = SKETCH, needed: int = NEEDED, common: int = COMMON) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words64: int = 4, tile_rows: int = TILE_ROWS, block_shingles: int = BLOCK_SHINGLES, sketch: int = SKETCH, needed: int = NEEDED, common: int = COMMON, many: int = MANY_PAIRS) -> DataFrame:
     """One row per input row: doc_id, component_id, for near copies by word shingles.
 
     Two texts link if the Jaccard similarity of their sets of distinct shingles is `similarity` or more. Equal sets
@@ -591,13 +672,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     `common` texts (shingles of licenses and the like) are not compared. A text left with fewer than `needed` other
     bands is compared by tiles with all texts of its kind instead: these are sorted by their counts of shingles and
     cut into tiles; a tile meets the tiles whose ranges of shingle counts and population counts can hold partners,
-    and compares every pair there. So the work follows the number of texts, except among texts that consist of very
-    common shingles, where it follows the square. What the candidates connect is then verified in groups, large
-    ones in pairs of blocks. Rows that repeat an id have the component of their own text. Sets that only null ids
+    and compares every pair there. What the candidates connect is then verified in groups, large ones in pairs of
+    blocks. Both compare a very large group of near copies within tiles (blocks) first, sorted and in random order, and
+    then only what this has not connected. So the work follows the number of texts, except among unlike texts that
+    consist of very common shingles, where it follows the square. Rows that repeat an id have the component of their own text. Sets that only null ids
     have are components of their own (null). Nulls, empty texts and tables and other columns as in
     simhash_components.
     """
-    return _similar(df, id_col, text_col, shingle, similarity, words64, tile_rows, block_shingles, sketch, needed, common).drop("sign")
+    return _similar(df, id_col, text_col, shingle, similarity, words64, tile_rows, block_shingles, sketch, needed, common, many).drop("sign")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -607,7 +689,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same shingles; sets that only null ids have are not compared and stay. Null and empty texts are one group. An
     empty table gives an empty one.
     """
-    found = _similar(docs, id_col, text_col, 5, 0.8, 4, TILE_ROWS, BLOCK_SHINGLES, SKETCH, NEEDED, COMMON)
+    found = _similar(docs, id_col, text_col, 5, 0.8, 4, TILE_ROWS, BLOCK_SHINGLES, SKETCH, NEEDED, COMMON, MANY_PAIRS)
     copies = found.where("component_id IS NOT NULL").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "sign")
     return drop_rows(docs, id_col, text_col, Scratch(docs.sparkSession, "similar-gone").write(copies, "removed"))
 

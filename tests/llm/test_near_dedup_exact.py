@@ -30,7 +30,7 @@ def brute(texts):
     return dict(enumerate(root))
 
 
-@pytest.mark.parametrize("blocks", [{}, {"common": 0, "block_shingles": 300, "tile_rows": 7}])
+@pytest.mark.parametrize("blocks", [{}, {"common": 0, "block_shingles": 300, "tile_rows": 7}, {"common": 0, "block_shingles": 300, "tile_rows": 7, "many": 0}])
 def test_exactly_the_similarity_links_and_less_does_not(spark, blocks):
     rng = random.Random(3)
     texts, expected = [], {}
@@ -48,8 +48,9 @@ def test_exactly_the_similarity_links_and_less_does_not(spark, blocks):
     assert kept == sorted(set(expected.values()))
 
 
-@pytest.mark.parametrize("blocks", [{}, {"common": 5}, {"common": 0, "block_shingles": 500, "tile_rows": 7}])
-def test_groups_of_texts_between_alike_and_unlike(spark, blocks):
+@pytest.mark.parametrize("blocks", [{}, {"common": 5}, {"common": 0, "block_shingles": 500, "tile_rows": 7}, {"common": 0, "block_shingles": 500, "tile_rows": 7, "many": 0}])
+def test_groups_of_texts_between_alike_and_unlike(spark, blocks, monkeypatch):
+    monkeypatch.setattr("runlens.llm.simhash.LARGE", 6)
     rng = random.Random(4)
     texts = []
     for _ in range(4):
