@@ -248,6 +248,29 @@ def _read_table(folder: str, columns: list[str]) -> Any:
     return pa.concat_tables(parts) if parts else None
 
 
+def _read_sorted(folder: str, key: str, value: str) -> tuple[Any, Any]:
+    """Two number columns of a written table in order of the first, read file by file into their places."""
+    import numpy as np
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    fs, base = filesystem(folder)
+    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".parquet") and f.size)
+    sizes = [pq.ParquetFile(fs.open_input_file(p)).metadata.num_rows for p in found]
+    keys, values, at = np.zeros(sum(sizes), dtype=np.int64), None, 0
+    for path, n in zip(found, sizes, strict=True):
+        part = pq.read_table(fs.open_input_file(path), columns=[key, value])
+        own = part[value].to_numpy()
+        values = np.zeros(len(keys), dtype=own.dtype) if values is None else values
+        keys[at : at + n], values[at : at + n] = part[key].to_numpy(), own
+        at += n
+    values = np.zeros(0) if values is None else values
+    if (keys[1:] < keys[:-1]).any():  # whole tables are written in order, those of a part are not
+        sort = np.argsort(keys, kind="stable")
+        keys, values = keys[sort], values[sort]
+    return keys, values
+
+
 def _held_one(name: str, key: str, make: Any) -> Any:
     """A worker's only object of this kind: another key replaces it."""
     held = worker_cache("lm-tables", dict, large=True).setdefault(name, {})
@@ -285,12 +308,11 @@ class ShareTable:
     def __init__(self, folder: str):
         import numpy as np
 
-        table = _read_table(folder, ["code", "share"])
-        code, share = (np.zeros(0, dtype=np.int64), np.zeros(0)) if table is None else (table[x].to_numpy() for x in ("code", "share"))
-        del table
-        code = code.view(np.uint64)
-        sort = np.argsort(code)
-        self.code, self.share = code[sort], share[sort]
+        code, self.share = _read_sorted(folder, "code", "share")
+        self.code = code.view(np.uint64)
+        if len(code) and code[0] < 0:  # codes of eight bytes that a signed order puts first
+            sort = np.argsort(self.code)
+            self.code, self.share = self.code[sort], self.share[sort]
 
     def of(self, codes: Any) -> Any:
         import numpy as np
@@ -304,12 +326,8 @@ class WordTable:
     def __init__(self, folder: str):
         import numpy as np
 
-        table = _read_table(folder, ["h", "c"])
-        h, c = (np.zeros(0, dtype=np.int64),) * 2 if table is None else (table[x].to_numpy() for x in ("h", "c"))
-        del table
-        sort = np.argsort(h)
-        self.h, self.c = h[sort], c[sort].astype(np.int32 if not len(c) or c.max() < 1 << 31 else np.int64)
-        del h, c, sort
+        self.h, c = _read_sorted(folder, "h", "c")
+        self.c = c.astype(np.int32 if not len(c) or c.max() < 1 << 31 else np.int64)
         self.shared: dict[bytes, int] = {}
         twice = np.unique(self.h[1:][self.h[1:] == self.h[:-1]])
         if len(twice):
@@ -413,7 +431,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     scratch = Scratch(df.sparkSession, "lm")
     docs = ids_and_texts(df, id_col, text_col)
     counted = docs.mapInArrow(_count(folds, fold), COUNTS).groupBy("word").agg(F.sum("c").alias("c")).where("c > 0").withColumn("h", F.xxhash64("word"))
-    words = scratch.write(counted, "words")
+    words = scratch.write(counted.repartitionByRange("h").sortWithinPartitions("h"), "words")
     n_words, total = words.agg(F.count(F.lit(1)), F.sum("c")).first()
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     ends = docs.select("doc_id").where(~held).count()
@@ -427,7 +445,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         short = [(r.code, r.c) for r in grams.where("c > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("c").alias("c")).collect()]
     last_two = F.shiftright("code", 8).bitwiseAND(0xFFFF).cast("int")
     dealt = grams.repartitionById(slices, F.pmod(F.hash(last_two), F.lit(slices)).cast("int")) if slices > 1 else grams.repartition(1)
-    shares = scratch.write(dealt.mapInArrow(_log_shares(order, short), "code long, share double"), "shares")
+    logs = scratch.write(dealt.mapInArrow(_log_shares(order, short), "code long, share double"), "logs")
+    shares = scratch.write(logs.repartitionByRange("code").sortWithinPartitions("code"), "shares")
+    scratch.drop("logs")
 
     if n_codes <= max_codes and n_words <= max_words:
         out = docs.mapInArrow(_score_docs(f"{scratch.path}/shares", f"{scratch.path}/words", stats, order, folds, fold), RESULT)

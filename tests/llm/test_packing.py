@@ -72,7 +72,10 @@ def test_awkward_rows(spark):
     check(pack(awkward(spark, texts), capacity=16).collect(), dict(enumerate(texts)), 16)
     assert pack(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
-    assert sorted(r.length for r in pack(twice).collect()) == [2, 2, 2]
+    rows = pack(twice).collect()
+    crc = lambda t: zlib.crc32(np.array(ids_of(t, 0), dtype="<u4").tobytes())
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == sorted([(1, 0, 0, 2, crc("a"))] * 2 + [(None, 0, 0, 2, crc("b"))], key=str)
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 3
 
 
 def test_encoder_equals_the_library():
