@@ -23,7 +23,7 @@ TILE_ROWS, TASK_COMPARISONS, TASK_TILE_PAIRS = 8192, 20_000_000, 256
 BLOCK_SHINGLES = 2_000_000
 #: Smallest hashes of a set by which texts meet, texts of a band beyond which its hash says nothing, and the bands with
 #: fewer texts that a text must have to do without tiles. Bands up to whose number their table is broadcast.
-SKETCH, COMMON, NEEDED, MAX_BROADCAST_BANDS = 16, 1000, 12, 200_000
+SKETCH, COMMON, NEEDED, MAX_BROADCAST_BANDS = 24, 1000, 12, 200_000
 #: Pairs of tiles or blocks beyond which each is first compared by itself, the rows that make a component large then, and
 #: the component of rows that are in none.
 MANY_PAIRS, LARGE, NO_COMP = 256, 1000, -1
@@ -668,16 +668,19 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Which fingerprints meet: a text lies in one band for each of the `sketch` smallest hashes of its set, and in a
     band every pair is compared by exclusive-or and bit counts. Each of the smallest hashes of a pair at 0.8 is
-    shared with a chance of 0.8, so that a pair without a common band has one of 0.2 ** 16. Bands of more than
-    `common` texts (shingles of licenses and the like) are not compared. A text left with fewer than `needed` other
-    bands is compared by tiles with all texts of its kind instead: these are sorted by their counts of shingles and
-    cut into tiles; a tile meets the tiles whose ranges of shingle counts and population counts can hold partners,
-    and compares every pair there. What the candidates connect is then verified in groups, large ones in pairs of
-    blocks. Both compare a very large group of near copies within tiles (blocks) first, sorted and in random order, and
-    then only what this has not connected. So the work follows the number of texts, except among unlike texts that
-    consist of very common shingles, where it follows the square. Rows that repeat an id have the component of their own text. Sets that only null ids
-    have are components of their own (null). Nulls, empty texts and tables and other columns as in
-    simhash_components.
+    shared with a chance of 0.8, so that a pair without a common band has one of 0.2 ** 24. Bands of more than
+    `common` texts (shingles of licenses and the like) are not compared, which leaves a text with `needed` others a
+    chance of 0.4 ** 12 (one in 60,000) to miss a pair at worst, where half of its shingles are so common and all
+    differences lie in the other half. A text left with fewer than `needed` other bands is compared by tiles with all
+    texts of its kind instead: these are sorted by their counts of shingles and cut into tiles; a tile meets the tiles
+    whose ranges of shingle counts and population counts can hold partners, and compares every pair there. What the
+    candidates connect is then verified in groups, large ones in pairs of blocks. Both compare a very large group of
+    near copies within tiles (blocks) first, sorted and in random order, and then only what this has not connected. So
+    the work follows the number of texts, except among unlike texts that consist of very common shingles, where it
+    follows the square.
+
+    Rows that repeat an id have the component of their own text. Sets that only null ids have are components of their
+    own (null). Nulls, empty texts and tables and other columns as in simhash_components.
     """
     return _similar(df, id_col, text_col, shingle, similarity, words64, tile_rows, block_shingles, sketch, needed, common, many).drop("sign")
 
