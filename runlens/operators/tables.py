@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from ..functions.values import is_null_like, output_root, type_family, within_expected, within_symmetric
+from ..functions.values import PROFILES, is_null_like, output_root, type_family, within_expected, within_symmetric
 
 CELLS = "row_idx long, column string, kind string, reference string, candidate string"
 
@@ -182,11 +182,13 @@ def tolerances(df: DataFrame, policies: Mapping[str, tuple[float, float]], defau
     return df.withColumns({"atol": atol, "rtol": rtol})
 
 
-def output_parity(expected: DataFrame, actual: DataFrame, keys: list[str], policies: Mapping[str, tuple[float, float]] | None = None, default: tuple[float, float] = (1e-6, 1e-5), nan_equal: bool = False, inf_equal: bool = True) -> DataFrame:
+def output_parity(expected: DataFrame, actual: DataFrame, keys: list[str], policies: Mapping[str, tuple[float, float]] | None = None, default: tuple[float, float] | str = (1e-6, 1e-5), nan_equal: bool = False, inf_equal: bool = True) -> DataFrame:
     """Leaf by leaf: keys..., path, root, reason (null if equal), abs_error, rel_error.
 
-    Both sides are leaf tables keys..., path, num, str. A number is held to |e - a| <= atol + rtol * |e|.
+    Both sides are leaf tables keys..., path, num, str. A number is held to |e - a| <= atol + rtol * |e|; the default
+    (atol, rtol) may be named by its number format, as in values.PROFILES.
     """
+    default = PROFILES[default] if isinstance(default, str) else default
     e = expected.select(*keys, "path", F.col("num").alias("e_num"), F.col("str").alias("e_str"), F.lit(True).alias("e_"))
     a = actual.select(*keys, "path", F.col("num").alias("a_num"), F.col("str").alias("a_str"), F.lit(True).alias("a_"))
     both = tolerances(e.join(a, [*keys, "path"], "full_outer"), policies or {}, default)

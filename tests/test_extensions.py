@@ -303,3 +303,23 @@ def test_the_gate_from_paths(spark, tmp_path):
     assert gate_of("sick")[0] == 1
     record("same", 3, 0.9, metadata={"seed": 3, "parity": {"passed": False}})
     assert gate_of("same")[0] == 1
+
+
+def test_small_helpers(spark, tmp_path):
+    from runlens.operators import behaviour, tables
+
+    rows = spark.createDataFrame([(-0.05,), (0.2,)], "upper double")
+    assert [r.regression for r in behaviour.behaviour_decision(rows, {"accuracy": 0.01}).orderBy("upper").collect()] == [True, False]
+    leaf = lambda v: spark.createDataFrame([(1, "$", v, None)], "k int, path string, num double, str string")
+    verdict = lambda profile: tables.output_parity(leaf(1.0), leaf(1.0005), ["k"], default=profile).first().reason
+    assert verdict("fp16") is None and verdict("fp64") == "value"
+
+    class Artifacts:
+        def artifact(self, path, name):
+            class Held:
+                def download(self, folder):
+                    return f"{folder}/{path}/{name}"
+
+            return Held()
+
+    assert trackers.import_capsule(Artifacts(), "team/run", "capsule.zip", str(tmp_path)).endswith("team/run/capsule.zip")
