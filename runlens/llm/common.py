@@ -22,22 +22,28 @@ def worker_cache(name: str, make: Any, large: bool = False) -> Any:
     held = sys.__dict__.setdefault("_runlens_worker_cache", {})
     if name not in held:
         if large:
-            for other in [k for k, (_, big) in held.items() if big]:
-                del held[other]
+            free_large_caches()
         held[name] = (make(), large)
     return held[name][0]
 
 
 def free_large_caches() -> None:
-    """Let go of the worker's large object; for tasks that have none of their own."""
+    """Let go of the worker's large object, and give freed memory back to the system: a worker lives through many
+    stages, and what an earlier one needed would count against the next."""
+    import ctypes
     import gc
 
+    import pyarrow as pa
+
     held = sys.__dict__.get("_runlens_worker_cache", {})
-    large = [k for k, (_, big) in held.items() if big]
-    for name in large:
+    for name in [k for k, (_, big) in held.items() if big]:
         del held[name]
-    if large:
-        gc.collect()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 #: Lists that take down every scratch folder opened while they are here.
@@ -143,8 +149,3 @@ def drop_rows(docs: DataFrame, id_col: str, text_col: str, removed: DataFrame, m
     if small_enough(gone, max_broadcast_rows):
         gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col(own_id)) & (sign_of(docs[text_col]) == F.col(own_sign)), "left_anti")
-
-
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

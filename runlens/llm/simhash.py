@@ -448,6 +448,7 @@ def _verify(shingle: int, similarity: float) -> Any:
         import numpy as np
         import pyarrow as pa
 
+        free_large_caches()
         links, now, group, seen = _Links(), None, _Group(similarity), set()
 
         def close() -> None:
