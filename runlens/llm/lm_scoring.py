@@ -28,7 +28,7 @@ ORDER = 5
 #: each). With more, the documents are written in parts, and each part gets the codes and words that it has.
 MAX_CODES, MAX_WORDS = 6_000_000, 5_000_000
 #: Rows of the trie that one task works on.
-SLICE_ROWS = 1_500_000
+SLICE_ROWS = 300_000
 #: Different words or byte strings that a counting task gathers before it passes them on, and bytes worked on at once.
 MAX_COUNTED, MAX_GRAMS, BLOCK_BYTES = 300_000, 1_500_000, 500_000
 #: What stands behind a word and at the end of a text (no word has these bytes); the number of symbols.
@@ -265,7 +265,7 @@ def _read_sorted(folder: str, key: str, value: str) -> tuple[Any, Any]:
         keys[at : at + n], values[at : at + n] = part[key].to_numpy(), own
         at += n
     values = np.zeros(0) if values is None else values
-    if (keys[1:] < keys[:-1]).any():  # whole tables are written in order, those of a part are not
+    if (keys[1:] < keys[:-1]).any():  # of several slices
         sort = np.argsort(keys, kind="stable")
         keys, values = keys[sort], values[sort]
     return keys, values
@@ -431,7 +431,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     scratch = Scratch(df.sparkSession, "lm")
     docs = ids_and_texts(df, id_col, text_col)
     counted = docs.mapInArrow(_count(folds, fold), COUNTS).groupBy("word").agg(F.sum("c").alias("c")).where("c > 0").withColumn("h", F.xxhash64("word"))
-    words = scratch.write(counted.repartitionByRange("h").sortWithinPartitions("h"), "words")
+    words = scratch.write(counted, "words")
     n_words, total = words.agg(F.count(F.lit(1)), F.sum("c")).first()
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     ends = docs.select("doc_id").where(~held).count()
@@ -445,9 +445,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
         short = [(r.code, r.c) for r in grams.where("c > 0").groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("c").alias("c")).collect()]
     last_two = F.shiftright("code", 8).bitwiseAND(0xFFFF).cast("int")
     dealt = grams.repartitionById(slices, F.pmod(F.hash(last_two), F.lit(slices)).cast("int")) if slices > 1 else grams.repartition(1)
-    logs = scratch.write(dealt.mapInArrow(_log_shares(order, short), "code long, share double"), "logs")
-    shares = scratch.write(logs.repartitionByRange("code").sortWithinPartitions("code"), "shares")
-    scratch.drop("logs")
+    shares = scratch.write(dealt.mapInArrow(_log_shares(order, short), "code long, share double"), "shares")
 
     if n_codes <= max_codes and n_words <= max_words:
         out = docs.mapInArrow(_score_docs(f"{scratch.path}/shares", f"{scratch.path}/words", stats, order, folds, fold), RESULT)
