@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import spread
+
 SQL_EDGES = "id string, name string, relation string, dynamic boolean"
 #: Table functions that read a file.
 SCAN_FUNCTIONS = ("read_parquet", "parquet_scan", "read_csv", "read_csv_auto", "read_json", "read_json_auto")
@@ -118,7 +120,7 @@ def read_sql(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = [(i, *edge) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for edge in sql_lineage(text or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return df.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, SQL_EDGES)
+    return spread(df.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))).mapInArrow(run, SQL_EDGES)
 
 
 OPENLINEAGE = "struct<eventType:string,job:struct<namespace:string,name:string>,inputs:array<struct<namespace:string,name:string>>,outputs:array<struct<namespace:string,name:string>>>"
