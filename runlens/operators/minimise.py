@@ -84,16 +84,21 @@ def ddmin(items: Sequence[Any], predicate: Callable[[list[Any]], bool] | Evaluat
     return current
 
 
+#: Row numbers of a frame that is one task's work and isn't written again.
+SMALL_FRAME = 100_000
+
+
 def shrink_rows(df: DataFrame, predicate: Callable[[DataFrame], bool], row: str = "row_idx", **limits: Any) -> DataFrame:
     """ddmin over ranges of row numbers: a candidate is a filter, so rows never leave the cluster.
 
-    The kept rows are a union of ranges, and each evaluation is one job over the frame, which is written once.
+    The kept rows are a union of ranges, and each evaluation is one job over what was written last: the frame is written
+    anew, and the former one's rows not read again, once half of its rows have gone.
     """
     held = checkpointed(df)
     low, high = held.agg(F.min(row), F.max(row)).first()
     if low is None:
         return df
-    size = high - low + 1
+    size = written = high - low + 1
 
     def frame(ranges: list[tuple[int, int]]) -> DataFrame:
         keep = F.lit(False)
@@ -109,6 +114,10 @@ def shrink_rows(df: DataFrame, predicate: Callable[[DataFrame], bool], row: str
         width = max(1, width // 2)
         pieces = [(a, min(a + width, e)) for s, e in current for a in range(s, e, width)]
         current = _joined(ddmin(pieces, test))
+        left = sum(b - a for a, b in current)
+        if left <= written // 2 and written > SMALL_FRAME:
+            kept = frame(current)
+            held, written = checkpointed(kept if left > SMALL_FRAME else kept.repartition(1)), left
         if test.spent:
             break
     return frame(current)
