@@ -12,3 +12,8 @@ def test_draws_of_a_large_group_are_no_rows(spark, monkeypatch, name):
     monkeypatch.setattr(statistics, "resampled", None)
     monkeypatch.setattr(statistics, "SMALL_DRAWS", 0, raising=False)
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_poisson_weights_are_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "poisson_draw", None)
+    assert catalogue.QUERIES["poisson_bootstrap"](spark, SF).count() > 0
