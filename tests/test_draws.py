@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 from contextlib import redirect_stdout
 
 import pytest
@@ -51,6 +52,17 @@ def test_large_groups_are_drawn_in_workers_and_not_exploded(spark, monkeypatch):
         assert query(spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("small", [0, statistics.SMALL_DRAWS])
+def test_statistics_of_resamples_are_never_broadcast(spark, monkeypatch, small):
+    """Few rows look small and have groups * resamples statistics on each side."""
+    monkeypatch.setattr(statistics, "SMALL_DRAWS", small)
+    rows = spark.range(600).selectExpr("id", "id % 150 AS g", "cast(id AS double) AS value")
+    for kind in ("p95", "mean"):
+        out = statistics.independent_bootstrap(rows, rows, ["g"], ["id"], "value", 20, 1, aggregate=kind)
+        joins = re.findall(r"(\w+Join) \[g#\d+L, r#\d+\]", plan(out))
+        assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_poisson_sums_are_those_of_the_exploded_weights(spark):
     df = samples(spark)
     one = statistics.poisson_draw(df, ["id", "h"], 4, 5).groupBy("g", "h", "r").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"))
