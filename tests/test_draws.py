@@ -45,6 +45,19 @@ def test_draws_in_workers_are_those_of_the_join(spark, kind):
     assert key(draws.drawn_statistics(df, ["g"], ["id"], "value", 5, 3, kind)) == pytest.approx(key(joined))
 
 
+@pytest.mark.parametrize("key", ["nullif(id % 2000, 7)", "if(id % 2 = 0, -1, 1) * double(id % 4)"])
+def test_small_groups_among_large_ones_are_drawn_by_one_share(spark, monkeypatch, key):
+    df = spark.range(9000).selectExpr(f"CASE WHEN id % 3 < 2 THEN {key} ELSE 5 END AS g", "id", "CASE WHEN id % 7 = 0 THEN NULL ELSE cast(id * 7919 % 1013 AS double) / 10 END AS value").where("g IS NOT NULL OR id % 2 = 0")
+    drawn_from, map_in_arrow = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **k: (drawn_from.append(self), map_in_arrow(self, *a, **k))[1])
+    for kind in ("p95", "sum"):
+        joined = statistics.resampled(statistics.indexed(df.where("g IS NOT NULL"), ["g"], ["id"], "value"), ["g"], 30, 3).groupBy("g", "r").agg(statistics.AGGREGATES[kind]("value").alias("s"))
+        found = lambda rows: {(r.g, r.r): r.s for r in rows.where("g IS NOT NULL").collect()}
+        assert found(draws.drawn_statistics(df, ["g"], ["id"], "value", 30, 3, kind)) == pytest.approx(found(joined))
+    if "double" not in key:
+        assert drawn_from[1].count() < 3 * df.select("g").distinct().count()
+
+
 def test_large_groups_are_drawn_in_workers_and_not_exploded(spark, monkeypatch):
     monkeypatch.setattr(statistics, "resampled", None)
     for query in (experiments.independent_bootstrap, experiments.paired_bootstrap):
